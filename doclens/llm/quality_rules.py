@@ -32,7 +32,7 @@ _ROW = np.uint64(0xA0761D6478BD642F)
 class Rules:
     """Largest share of a text's word characters inside repeated n-grams (by n) and repeated lines, and of symbols a word."""
 
-    coverage: dict[int, float] = field(default_factory=lambda: {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20})
+    coverage: dict[int, float] = field(default_factory=lambda: dict.fromkeys(range(5, 11), 0.3))
     line_coverage: float = 0.3
     symbols_per_word: float = 0.1
     min_words: int = 50
