@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doclens.llm.decontaminate import OP5_SQL, op5_decontaminate
 from doclens.llm.quality_rules import op10_quality_rules
+from doclens.llm.warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_quality_rules": op10_quality_rules}
+    return {"op3_warc": op3_warc, "op5_decontaminate": op5_decontaminate, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3_SQL, "op5_decontaminate": OP5_SQL}
