@@ -50,7 +50,7 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size of df. It sets numbers of partitions and buckets only, never results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 8) -> int:
