@@ -8,8 +8,8 @@ Only the last window of such a group can be short. The first pass is written to
 tokenised once and a lost executor repeats only its own partitions.
 
 Token ids come from a public vocabulary file (never trained here), special tokens not added, followed by `end_id`.
-Texts are tokenised by their runs between ASCII white space, which this vocabulary never joins; runs seen before come
-from a cache of bounded size.
+Texts are tokenised by runs of characters that this vocabulary never joins; runs seen before come from a cache of bounded
+size that a worker keeps between tasks.
 
 Defined cases. A null or empty text is the end id alone. Null and repeated ids are carried along as they are: each row is
 a document of its own. Further columns do not enter the result. An empty table gives an empty result.
@@ -18,6 +18,7 @@ a document of its own. Further columns do not enter the result. An empty table g
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,11 +41,61 @@ class Packing:
     end_id: int = 1
     fill: bool = True
     merge_partitions: int = 256
-    cached_words: int = 300_000
+    cached_words: int = 500_000
+
+
+_LETTER, _SIGN, _OTHER = 1, 2, 3
+_KIND = np.full(256, _OTHER, dtype=np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[97:123] = _LETTER
+_KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = _SIGN
+
+
+def runs(text: bytes) -> list[bytes]:
+    """Parts that this vocabulary never joins: cut at ASCII white space and between an ASCII letter and an ASCII sign.
+
+    A-Z are lower-cased, as the vocabulary does. Apostrophes stay with their neighbours.
+    """
+    text = text.lower()
+    kind = _KIND[np.frombuffer(text, dtype=np.uint8)]
+    at = np.flatnonzero((kind[1:] ^ kind[:-1] == _LETTER ^ _SIGN) & (kind[1:] != 0) & (kind[:-1] != 0)) + 1
+    return (np.insert(np.frombuffer(text, dtype=np.uint8), at, 32).tobytes() if len(at) else text).split()
+
+
+#: How byte-level vocabularies spell bytes: printable ones as themselves, the others from code point 256 on.
+_SPELT = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]
+_BYTE_AS = {b: chr(b) for b in _SPELT} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(_SPELT))}
+
+
+class _Generation(dict):
+    """Ids of runs seen; a run that is new here is looked for in the generation before, then tokenised."""
+
+    def __init__(self, tokenizer, before: dict):
+        super().__init__()
+        self.tokenizer, self.model, self.before = tokenizer, tokenizer.model, before
+
+    def __missing__(self, run: bytes) -> bytes:
+        found = self.before.get(run)
+        if found is None:
+            text = run.decode("utf-8", "replace")
+            ids = [t.id for t in self.model.tokenize(spelt)] if (spelt := _spelling(text)) else self.tokenizer.encode(text, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[run] = found
+        return found
+
+
+def _spelling(text: str) -> str | None:
+    """A run of Latin letters as the vocabulary's model takes it, past normaliser and splitter, which leave it whole."""
+    if text.isalpha():
+        if text.isascii():
+            return text
+        if max(text) < "\u0250" and (text := text.lower()).isalpha():
+            return "".join(_BYTE_AS[b] for b in text.encode())
+    return None
 
 
 class Encoder:
-    """Token ids of UTF-8 texts as little-endian 32-bit bytes."""
+    """Token ids of UTF-8 texts as little-endian 32-bit bytes. Two generations of about `cached_words` runs each are remembered."""
 
     def __init__(self, path: str | None, cached_words: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,23 +103,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.most, self.cache = cached_words, {}
-
-    def _ids(self, words: list[bytes]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False):
-            yield np.array(found.ids, dtype="<u4").tobytes()
+        self.most, self.known = cached_words, _Generation(self.tokenizer, {})
 
     def block(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        wanted = set().union(*split)
-        if len(self.cache) + len(wanted) > self.most:
-            self.cache = {}
-        missing = [w for w in wanted if w not in self.cache]
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            self.cache.update(zip(some, self._ids(some), strict=True))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        if len(self.known) > self.most:
+            self.known.before = {}
+            self.known = _Generation(self.tokenizer, dict(self.known))
+        get = self.known.__getitem__
+        return [self._whole(t) if b"<|" in t else b"".join(map(get, runs(t))) for t in texts]
+
+    def _whole(self, text: bytes) -> bytes:
+        """Of a text that may spell a special token, which is sought before anything else."""
+        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder_for(path: str | None, cached_words: int) -> Encoder:
+    """One encoder a worker process, so that its cache outlives a task."""
+    return _encoders.get((path, cached_words)) or _encoders.setdefault((path, cached_words), Encoder(path, cached_words))
 
 
 @dataclass
@@ -177,7 +232,7 @@ def pack(docs: DataFrame, how: Packing | None = None, tokenizer_path: str | None
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, rows, packer = Encoder(tokenizer_path, how.cached_words), None, None
+        encoder, rows, packer = encoder_for(tokenizer_path, how.cached_words), None, None
         for batch in batches:
             if packer is None:
                 rows = _Rows(id_col, batch.schema.types[0], TaskContext.get().partitionId() << 36, keep_ids)
