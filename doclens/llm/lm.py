@@ -31,8 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.llm.common import bound_batches, buckets_for, crc_mod, cut, table
-from doclens.llm.tally import PART, add_up, parts, totals_in_order
-from doclens.llm.textbytes import LOWER, SPACE, mix, pieces, prefix_hash, span_hash, spans
+from doclens.llm.tally import PART, add_up, parts, squeeze, totals_in_order, unsqueeze
+from doclens.llm.textbytes import LOWER, SPACE, mix, pieces, prefix_hash, row_blocks, span_hash, spans
 
 BLOCK = 8 << 20
 END, START, RARE = np.uint64(0x0E4D), np.uint64(0x57A27), np.uint64(0x2A2E)
@@ -44,47 +44,39 @@ class Model:
     mix: float = 0.6
 
 
-def _plane(ids: np.ndarray) -> bytes:
-    """Ids below 2**24 as three planes of bytes, which compress better than whole ids."""
-    return b"".join(((ids >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16))
-
-
-def _unplane(data: bytes) -> np.ndarray:
-    low, mid, high = np.frombuffer(data, dtype=np.uint8).reshape(3, -1).astype(np.int64)
-    return low | mid << 8 | high << 16
-
-
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all rows, end tokens included, and the number of tokens of each row."""
-    data = LOWER[data]
-    starts, ends, rows = spans(data, offsets, SPACE)
-    n = len(offsets) - 1
-    words = np.bincount(rows, minlength=n)
-    return np.insert(span_hash(prefix_hash(data), starts, ends), np.cumsum(words), END), words + 1
+    found, lengths = [], []
+    for a, b in row_blocks(offsets, 1 << 20):
+        own = offsets[a : b + 1] - offsets[a]
+        text = LOWER[data[offsets[a] : offsets[b]]]
+        starts, ends, rows = spans(text, own, SPACE)
+        words = np.bincount(rows, minlength=b - a)
+        found.append(np.insert(span_hash(prefix_hash(text), starts, ends), np.cumsum(words), END))
+        lengths.append(words + 1)
+    return np.concatenate(found), np.concatenate(lengths)
 
 
 class Block:
-    """A block's documents as numbers: ids of tokens in `keys`, lengths, and which documents teach."""
+    """A block's documents as numbers: ids of its distinct tokens (most frequent in the block first), lengths, and which documents teach."""
 
     def __init__(self, row: dict):
         self.docs = row["docs"]
-        self.keys = np.frombuffer(row["uniq"], dtype="<u8")
-        self.ids = _unplane(row["ids"])
-        self.lengths = np.frombuffer(row["lengths"], dtype="<u4").astype(np.int64)
+        self.order = np.argsort(-unsqueeze(row["seen"], "<u4").astype(np.int64), kind="stable")
+        self.ids = unsqueeze(row["ids"], "<u4").astype(np.int64)
+        self.lengths = unsqueeze(row["lengths"], "<u4").astype(np.int64)
         self.learn = np.frombuffer(row["learn"], dtype=np.uint8)
         self.row_of = np.repeat(np.arange(len(self.lengths)), self.lengths)
 
-    def align(self, totals: np.ndarray) -> np.ndarray:
-        """Totals given in the order of sorted keys, in the order of `keys`."""
-        out = np.zeros(len(self.keys), dtype=np.int64)
-        out[np.argsort(self.keys)] = totals
-        return out
+    def align(self, by_key: np.ndarray) -> np.ndarray:
+        """Values given in the order of sorted keys, in the order of ids."""
+        return by_key[self.order]
 
-    def arcs(self, counts: np.ndarray, model: Model) -> dict[str, np.ndarray]:
+    def arcs(self, counts: np.ndarray, keys: np.ndarray, model: Model) -> dict[str, np.ndarray]:
         """The bigrams that leave a state: positions, distinct bigrams (sorted by key), which one each position takes, their
-        counts in the block's training documents, and for each the history's and the word's place in `keys` (one past the
-        end: start of text, or a rare word)."""
-        n = len(self.keys)
+        counts in the block's training documents, and for each the ids of history and word (one past the last: start of text,
+        or a rare word). `keys` holds the hashes of frequent words."""
+        n = len(counts)
         frequent = np.append(counts >= model.min_count, True)
         history = np.empty(len(self.ids), dtype=np.int64)
         history[1:] = self.ids[:-1]
@@ -93,13 +85,13 @@ class Block:
         word = np.where(frequent[self.ids[at]], self.ids[at], n)
         codes, which = np.unique(history[at] * (n + 1) + word, return_inverse=True)
         left, right = codes // (n + 1), codes % (n + 1)
-        keys = mix(np.append(self.keys, START)[left] * np.uint64(0x9E3779B97F4A7C15) + mix(np.append(self.keys, RARE)[right]))
-        order = np.argsort(keys)
+        names = mix(np.append(keys, START)[left] * np.uint64(0x9E3779B97F4A7C15) + mix(np.append(keys, RARE)[right]))
+        order = np.argsort(names)
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         which = place[which]
         seen = np.bincount(which, weights=self.learn[self.row_of[at]], minlength=len(codes)).astype(np.int64)
-        return {"at": at, "keys": keys[order], "which": which, "seen": seen, "left": left[order], "right": right[order]}
+        return {"at": at, "keys": names[order], "which": which, "seen": seen, "left": left[order], "right": right[order]}
 
 
 def _empty(schema: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -131,35 +123,35 @@ def language_model_scores(docs: DataFrame, learn: Column, model: Model | None =
                 rank[by_count] = np.arange(len(keys))
                 seen = np.bincount(which, weights=np.repeat(taught, lengths), minlength=len(keys)).astype(np.int64)
                 rows = [(block, b, k, c, None, None, None, None, None) for b, k, c in parts(keys, seen, buckets)]
-                rows.append((block, -1, None, None, batch.column(0).slice(first, n).to_pylist(), keys[by_count].astype("<u8").tobytes(), _plane(rank[which]), lengths.astype("<u4").tobytes(), taught.tobytes()))
+                rows.append((block, -1, None, None, batch.column(0).slice(first, n).to_pylist(), squeeze(counts.astype("<u4")), squeeze(rank[which].astype("<u4")), squeeze(lengths.astype("<u4")), taught.tobytes()))
                 types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(batch.schema.types[0]), *[pa.binary()] * 4]
-                names = ["block", "bucket", "keys", "counts", "docs", "uniq", "ids", "lengths", "learn"]
+                names = ["block", "bucket", "keys", "counts", "docs", "seen", "ids", "lengths", "learn"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 block += 1
 
-    held = cut(chosen.mapInArrow(first_pass, f"{PART}, docs array<{kind}>, uniq binary, ids binary, lengths binary, learn binary"), "lm-blocks")
-    blocks = held.filter("bucket = -1").select("block", "docs", "uniq", "ids", "lengths", "learn")
+    held = cut(chosen.mapInArrow(first_pass, f"{PART}, docs array<{kind}>, seen binary, ids binary, lengths binary, learn binary"), "lm-blocks")
+    blocks = held.filter("bucket = -1").select("block", "docs", "seen", "ids", "lengths", "learn")
 
-    least = model.min_count
-    words = cut(add_up(held.filter("bucket >= 0"), lambda sums: (sums.sum(), (sums > 0).sum(), sums[sums >= least].sum(), (sums >= least).sum()), "n_sum long, v_sum long, f_sum long, f_n long"), "lm-words")
+    least = max(1, model.min_count)
+    words = cut(add_up(held.filter("bucket >= 0"), lambda sums: (sums.sum(), (sums > 0).sum(), sums[sums >= least].sum(), (sums >= least).sum()), "n_sum long, v_sum long, f_sum long, f_n long", shared=least), "lm-words")
     got = words.filter("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_sum", "v_sum", "f_sum", "f_n"))).first()
     n_all, norm = int(got["n_sum"]), int(got["n_sum"]) + int(got["v_sum"]) + 1
     rare_mass = 1 - (int(got["f_sum"]) + int(got["f_n"])) / norm
     starts = int(chosen.filter("learn").count())
-    words = words.filter("block >= 0").select("block", "bucket", "totals")
+    words = words.filter("block >= 0").select("block", "bucket", "totals", "shared")
 
     def second_pass(_: tuple, meta: pa.Table, own: pa.Table) -> pa.Table:
         rows = []
         for row in meta.to_pylist():
             b = Block(row)
-            arcs = b.arcs(b.align(totals_in_order(own)), model)
+            arcs = b.arcs(*map(b.align, totals_in_order(own, least)), model)
             rows.extend((row["block"], k, x, c) for k, x, c in parts(arcs["keys"], arcs["seen"], buckets))
         types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["block", "bucket", "keys", "counts"])
 
     bigrams = add_up(blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(second_pass, PART))
-    both = words.withColumn("order", F.lit(1)).unionByName(bigrams.withColumn("order", F.lit(2)))
+    both = words.withColumn("order", F.lit(1)).unionByName(bigrams.withColumn("shared", F.lit(None).cast("binary")).withColumn("order", F.lit(2)))
     result = f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def third_pass(_: tuple, meta: pa.Table, own: pa.Table) -> pa.Table:
@@ -168,15 +160,15 @@ def language_model_scores(docs: DataFrame, learn: Column, model: Model | None =
         out = []
         for row in meta.to_pylist():
             b = Block(row)
-            counts = b.align(totals_in_order(own.filter(pc.equal(own.column("order"), 1))))
-            arcs = b.arcs(counts, model)
-            pairs = totals_in_order(own.filter(pc.equal(own.column("order"), 2)))
+            counts, keys = map(b.align, totals_in_order(own.filter(pc.equal(own.column("order"), 1)), least))
+            arcs = b.arcs(counts, keys, model)
+            pairs, _ = totals_in_order(own.filter(pc.equal(own.column("order"), 2)))
             log_p = np.log10((counts + 1) / norm)
             base = log_p[b.ids]
             score = base.copy()
             history = np.append(counts, starts)[arcs["left"]]
             share = np.divide(pairs, history, out=np.zeros(len(pairs)), where=history > 0)
-            rare = arcs["right"] == len(b.keys)
+            rare = arcs["right"] == len(counts)
             p = np.where(rare, rare_mass, 10 ** np.append(log_p, 0.0)[arcs["right"]])
             # the weight over that of the empty state's arc; a start of text that was never seen is no state
             gain = np.where(history > 0, np.log10(model.mix * share / np.maximum(p, 1e-300) + 1 - model.mix), 0.0)

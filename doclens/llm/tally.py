@@ -4,11 +4,13 @@ A block is what one Python call sees of the corpus; it reduces its keys (64-bit
 them into buckets of the key space and sends each part as one binary value. A bucket adds up the parts that it gets and
 returns the totals to each block in the order in which they came, so keys travel once, counts come back, and a key that a
 third of all documents hold is one entry a block. Nothing is collected on the driver.
+
+Numbers travel as byte planes under zstd, sorted keys as differences.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,47 +20,72 @@ PART = "block long, bucket int, keys binary, counts binary"
 TOTALS = "block long, bucket int, totals binary"
 
 
-def parts(keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, keys, counts) of sorted distinct keys."""
+def squeeze(a: np.ndarray) -> bytes:
+    """The array's bytes, all first bytes, then all second bytes and so on, compressed."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+
+
+def unsqueeze(data: bytes, kind: str) -> np.ndarray:
+    size, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True) if size else b"", dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def parts(keys: np.ndarray, counts: np.ndarray, buckets: int, width: int = 8) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, keys, counts) of sorted distinct keys. Of each key its `width` high bytes are sent; keys equal in them share a total."""
     bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
     at = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+    high = keys >> np.uint64(64 - 8 * width)
     for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
         if hi > lo:
-            yield b, keys[lo:hi].astype("<u8").tobytes(), counts[lo:hi].astype("<u4").tobytes()
+            yield b, squeeze(np.diff(high[lo:hi], prepend=np.uint64(0))), squeeze(counts[lo:hi].astype("<u4"))
 
 
 def joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Binary values end to end as one array, and their n + 1 offsets."""
-    arrays = [np.frombuffer(x, dtype=kind) for x in column.to_pylist()]
+    """Squeezed arrays end to end, and their n + 1 offsets."""
+    arrays = [unsqueeze(x, kind) for x in column.to_pylist()]
     sizes = np.array([0, *(len(a) for a in arrays)], dtype=np.int64)
     return (np.concatenate(arrays) if arrays else np.zeros(0, dtype=kind)), np.cumsum(sizes)
 
 
-def add_up(spread: DataFrame, stats_of=None, stats: str = "") -> DataFrame:
-    """Rows of TOTALS from rows of PART. `stats_of` (totals of the bucket's distinct keys -> integers) adds a row of block -1 a bucket."""
+def add_up(spread: DataFrame, stats_of: Callable | None = None, stats: str = "", width: int = 8, shared: int = 0) -> DataFrame:
+    """Rows of TOTALS from rows of PART. `stats_of` (totals of the bucket's distinct keys -> integers) adds a row of block -1 a bucket.
+
+    With `shared`, the column of that name holds each block's keys (their `width` high bytes) of at least that total.
+    """
     names = [f.split()[0] for f in stats.split(",") if f.strip()]
+    shift = np.uint64(64 - 8 * width)
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        keys, at = joined(group.column("keys"), "<u8")
+        arrays = [np.cumsum(unsqueeze(x, "<u8"), dtype=np.uint64) << shift for x in group.column("keys").to_pylist()]
+        keys, at = np.concatenate(arrays), np.cumsum([0, *map(len, arrays)])
         counts, _ = joined(group.column("counts"), "<u4")
         _, which = np.unique(keys, return_inverse=True)
         sums = np.bincount(which, weights=counts).astype("<i8")
         back = sums[which]
         blocks = group.column("block").to_pylist()
-        out = {"block": blocks, "bucket": [key[0].as_py()] * len(blocks), "totals": [back[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]}
+        cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+        out = {"block": blocks, "bucket": [key[0].as_py()] * len(blocks), "totals": [squeeze(back[a:b]) for a, b in cuts]}
+        if shared:
+            out["shared"] = [squeeze(keys[a:b][back[a:b] >= shared]) for a, b in cuts]
         out |= {n: [None] * len(blocks) for n in names}
         if stats_of is not None:
-            out["block"].append(-1)
-            out["bucket"].append(key[0].as_py())
-            out["totals"].append(None)
-            for n, v in zip(names, stats_of(sums), strict=True):
-                out[n].append(int(v))
-        types = [pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * len(names)]
+            last = {"block": -1, "bucket": key[0].as_py()} | dict(zip(names, map(int, stats_of(sums)), strict=True))
+            for n, column in out.items():
+                column.append(last.get(n))
+        types = [pa.int64(), pa.int32(), pa.binary(), *[pa.binary()] * bool(shared), *[pa.int64()] * len(names)]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out.values(), types, strict=True)], names=list(out))
 
-    return spread.select("block", "bucket", "keys", "counts").groupBy("bucket").applyInArrow(run, TOTALS + (f", {stats}" if stats else ""))
+    schema = TOTALS + ", shared binary" * bool(shared) + (f", {stats}" if stats else "")
+    return spread.select("block", "bucket", "keys", "counts").groupBy("bucket").applyInArrow(run, schema)
 
 
-def totals_in_order(group: pa.Table) -> np.ndarray:
-    """A block's totals in the order of its sorted distinct keys, from its rows of TOTALS."""
-    return joined(group.sort_by("bucket").column("totals"), "<i8")[0]
+def totals_in_order(group: pa.Table, shared: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A block's totals in the order of its sorted distinct keys, and the keys where add_up was told to share them (else 0)."""
+    group = group.sort_by("bucket")
+    totals, _ = joined(group.column("totals"), "<i8")
+    keys = np.zeros(len(totals), dtype=np.uint64)
+    if shared:
+        keys[totals >= shared] = joined(group.column("shared"), "<u8")[0]
+    return totals, keys
