@@ -40,7 +40,7 @@ END, START, RARE = np.uint64(0x0E4D), np.uint64(0x57A27), np.uint64(0x2A2E)
 
 @dataclass(frozen=True)
 class Model:
-    min_count: int = 100
+    min_count: int = 5
     mix: float = 0.6
 
 
