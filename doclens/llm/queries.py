@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from doclens.llm.decontaminate import OP5_SQL, op5_decontaminate
 from doclens.llm.langid import op2_language_id
 from doclens.llm.lm import op9_lm_scoring
+from doclens.llm.near_dup import op8_ngram_join
 from doclens.llm.packing import op6_packing
 from doclens.llm.quality_rules import op10_quality_rules
 from doclens.llm.sharding import op7_sharding
@@ -18,7 +19,7 @@ from doclens.llm.warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_classifier": op1_quality_classifier, "op4_toxicity": op4_toxicity, "op2_language_id": op2_language_id, "op3_warc": op3_warc, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op9_lm_scoring": op9_lm_scoring, "op10_quality_rules": op10_quality_rules}
+    return {"op1_quality_classifier": op1_quality_classifier, "op4_toxicity": op4_toxicity, "op2_language_id": op2_language_id, "op3_warc": op3_warc, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_ngram_join": op8_ngram_join, "op9_lm_scoring": op9_lm_scoring, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
