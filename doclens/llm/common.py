@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from doclens.session import import_path
 
 #: Largest Arrow batch handed to a Python worker, so that a run of long texts does not fill its memory.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +26,16 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_temporary: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one temporary folder where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="doclens-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _temporary:
+            _temporary.append(tempfile.mkdtemp(prefix="doclens-"))
+        found = _temporary[0]
     return found
 
 
@@ -57,6 +61,15 @@ def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 8) -> int
     return max(least, -(-min(estimated_bytes(df), 1 << 50) // bytes_each))
 
 
+#: Rows of a few numbers that a join may broadcast (some 50 MB), checked by counting; more go through a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast only if it has at most BROADCAST_ROWS rows. To be called on narrow, written tables."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -66,6 +79,16 @@ def crc_mod(name: str, n: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % F.lit(n)
 
 
+def hash_share(*columns: Column | str) -> Column:
+    """A hash of the columns as a number in [0, 1)."""
+    return F.pmod(F.xxhash64(*columns, F.lit(77)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def share_for(wanted: int, there: int) -> float:
+    """The share of `there` rows in which a sample of `wanted` is sought, so that what is sorted for it does not grow with the input."""
+    return min(1.0, (wanted + 5 * wanted**0.5) / max(1, there))
+
+
 def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
     """The rows of docs whose text the built predicate keeps; all columns pass through untouched."""
     names = docs.columns

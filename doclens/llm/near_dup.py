@@ -4,8 +4,8 @@ A text's set holds its distinct `n`-word shingles (64-bit hashes). Two texts lin
 result is the connected component of every text. No link is lost:
 
 1. Linked sets share an element among their first |x| - ceil(percent |x| / 100) + 1 in any one global order. The order
-   used here puts a fixed quarter of the hash space first, by how many sets hold an element (rarest first), then the rest
-   by hash. The counts come from `tally`, so that they cover all texts and grow with them. Elements of one set only are
+   used here puts a fixed part of the hash space first, by how many sets hold an element (rarest first), then the rest by
+   hash; the part is 1.7 times what a prefix takes. The counts come from `tally`, so that they cover all texts and grow with them. Elements of one set only are
    left out at once; a text without near copies thus leaves no trace, and passages that many texts share come last.
 2. Texts that share such an element are joined to clusters (`components`): a star a shared element, never its pairs.
 3. The sets of a cluster meet in one prefix tree (`trie`), which is traversed by probes until every set outside the
@@ -30,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import bound_batches, buckets_for, cut, table, text_of
+from doclens.llm.common import bound_batches, buckets_for, cut, small_side, table, text_of
 from doclens.llm.components import components
 from doclens.llm.tally import PART, add_up, parts, squeeze, totals_in_order, unsqueeze
 from doclens.llm.textbytes import LOWER, SPACE, mix, pieces, prefix_hash, row_blocks, span_hash, spans, window_hash
 from doclens.llm.trie import linked
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 KEY_BYTES = 6
 _SHORT = np.uint64(0x5707)
 
@@ -85,7 +85,10 @@ def _prefix(sizes: np.ndarray, percent: int) -> np.ndarray:
     return sizes - -(-percent * sizes // 100) + 1
 
 
-_QUARTER = np.uint64(1 << 62)
+def _first_part(percent: int) -> np.uint64:
+    return np.uint64(min((1 << 64) - 1, (1 << 64) * 17 * (100 - percent) // 1000))
+
+
 _HELD = f"{PART}, docs array<struct<id: KIND, th: long, set: int>>, nodes binary, sizes binary, lows binary, places binary, extras binary, n_extras binary"
 
 
@@ -94,6 +97,7 @@ def _first_pass(join: Join, buckets: int, kind: pa.DataType | None = None):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
+        first_part = _first_part(join.percent)
         for batch in batches:
             for first, data, offsets in pieces(batch.column(1), BLOCK):
                 count = len(offsets) - 1
@@ -109,7 +113,7 @@ def _first_pass(join: Join, buckets: int, kind: pa.DataType | None = None):
                         sets.append(s)
                     of.append(place[node])
                 sizes = np.array([len(s) for s in sets], dtype=np.int64)
-                lows = np.array([int(np.searchsorted(s, _QUARTER)) for s in sets], dtype=np.int64)
+                lows = np.array([int(np.searchsorted(s, first_part)) for s in sets], dtype=np.int64)
                 low = np.concatenate([s[:k] for s, k in zip(sets, lows, strict=True)]) if sets else np.zeros(0, np.uint64)
                 keys, places, counts = np.unique(low, return_inverse=True, return_counts=True)
                 missing = np.maximum(_prefix(sizes, join.percent) - lows, 0)
@@ -190,7 +194,7 @@ def _edges_of(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     texts = docs.select(text_of("text").alias("t")).withColumn("th", F.xxhash64("t"))
-    found = texts.join(wanted, "th").select("t", "node", "grp", "part", "probe")
+    found = texts.join(small_side(cut(wanted, "wanted")), "th").select("t", "node", "grp", "part", "probe")
     return found.mapInArrow(build, "node long, grp long, part long, probe boolean, elements binary").groupBy("grp").applyInArrow(meet, "a long, b long")
 
 
@@ -267,20 +271,17 @@ def near_duplicates(docs: DataFrame, join: Join | None = None, id_col: str = "do
 
 def keep_one(docs: DataFrame, join: Join | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that of the smallest id (null ids last), with all its columns. Rows without shingles stay."""
-    found = cut(near_duplicates(docs, join, id_col, text_col).select(F.col(id_col).alias("id"), "th", "grp"), "components")
-    first = found.filter("grp IS NOT NULL").groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("w"), F.count(F.lit(1)).alias("c"))
-    keep = first.select(F.col("w.id").alias("keep_id"), F.col("w.th").alias("keep_th"))
-    empty = found.filter("grp IS NULL").select(F.col("id").alias("keep_id"), F.col("th").alias("keep_th")).distinct()
-    again = found.filter("grp IS NOT NULL").groupBy("id", "th").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("id").alias("keep_id"), F.col("th").alias("keep_th"), F.lit(True).alias("again"))
-    same = ["keep_id", "keep_th"]
-    on = lambda a, b: a["keep_id"].eqNullSafe(b["keep_id"]) & (a["keep_th"] == b["keep_th"])
-    kept = keep.unionByName(empty).alias("k")
-    again = again.alias("g")
-    marked = kept.join(again, on(kept, again), "left").select(F.col("k.keep_id").alias("keep_id"), F.col("k.keep_th").alias("keep_th"), F.coalesce("g.again", F.lit(False)).alias("again"))
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), F.col(f"`{id_col}`").alias("keep_id"), F.xxhash64(text_of(f"`{text_col}`")).alias("keep_th"))
-    left, right = held.alias("l"), marked.alias("r")
-    chosen = left.join(right, F.col("l.keep_id").eqNullSafe(F.col("r.keep_id")) & (F.col("l.keep_th") == F.col("r.keep_th"))).select("l.held", *(F.col(f"l.{c}") for c in same), "r.again")
-    once = chosen.filter("not again").unionByName(chosen.filter("again").dropDuplicates(same))  # repeated rows: one of them
+    found = cut(near_duplicates(docs, join, id_col, text_col).select(F.col(id_col).alias("drop_id"), F.col("th").alias("drop_th"), "grp"), "components")
+    keys = ["drop_id", "drop_th"]
+    inside = found.filter("grp IS NOT NULL").groupBy("grp", *keys).agg(F.count(F.lit(1)).alias("c"))
+    first = inside.groupBy("grp").agg(F.min(F.struct(F.col("drop_id").isNull().alias("none"), *keys)).alias("w"), F.count(F.lit(1)).alias("rows"), F.max("c").alias("copies")).filter("rows > 1 OR copies > 1")
+    # Listed are only the rows of components of more than one: the kept one where it is repeated, and those that go.
+    listed = inside.join(first.select("grp", "w"), "grp").withColumn("goes", ~(F.col("drop_id").eqNullSafe(F.col("w.drop_id")) & (F.col("drop_th") == F.col("w.drop_th")))).filter("goes OR c > 1")
+    listed = small_side(cut(listed.select(*keys, "goes"), "dropped"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(text_of(f"`{text_col}`")).alias("row_th"))
+    marked = held.join(listed, (held["row_th"] == listed["drop_th"]) & held["row_id"].eqNullSafe(listed["drop_id"]), "left").filter("goes IS NULL OR NOT goes")
+    # `goes` is null for a row that is listed nowhere; a repeated kept row loses its repetitions
+    once = marked.filter("goes IS NULL").select("held").unionByName(marked.filter("NOT goes").dropDuplicates(["row_id", "row_th"]).select("held"))
     return once.select(*(F.col(f"held.`{c}`").alias(c) for c in docs.columns))
 
 
