@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,6 +64,14 @@ def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 8) -> int
     return max(least, -(-min(estimated_bytes(df), 1 << 50) // bytes_each))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on and are shared with whatever runs next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Rows of a few numbers that a join may broadcast (some 50 MB), checked by counting; more go through a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -98,5 +109,6 @@ def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[], Callable[[pa.Ar
         predicate = keep()
         for batch in batches:
             yield batch.filter(predicate(batch.column(at)))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

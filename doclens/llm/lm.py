@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import bound_batches, buckets_for, crc_mod, cut, table
+from doclens.llm.common import bound_batches, buckets_for, crc_mod, cut, give_back, table
 from doclens.llm.tally import PART, add_up, parts, squeeze, totals_in_order, unsqueeze
 from doclens.llm.textbytes import LOWER, SPACE, mix, pieces, prefix_hash, row_blocks, span_hash, spans
 
@@ -128,6 +128,7 @@ def language_model_scores(docs: DataFrame, learn: Column, model: Model | None =
                 names = ["block", "bucket", "keys", "counts", "docs", "seen", "ids", "lengths", "learn"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 block += 1
+        give_back()
 
     held = cut(chosen.mapInArrow(first_pass, f"{PART}, docs array<{kind}>, seen binary, ids binary, lengths binary, learn binary"), "lm-blocks")
     blocks = held.filter("bucket = -1").select("block", "docs", "seen", "ids", "lengths", "learn")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import bound_batches, buckets_for, cut, small_side, table, text_of
+from doclens.llm.common import bound_batches, buckets_for, cut, give_back, small_side, table, text_of
 from doclens.llm.components import components
 from doclens.llm.tally import PART, add_up, parts, squeeze, totals_in_order, unsqueeze
 from doclens.llm.textbytes import LOWER, SPACE, mix, pieces, prefix_hash, row_blocks, span_hash, spans, window_hash
@@ -129,6 +129,7 @@ def _first_pass(join: Join, buckets: int, kind: pa.DataType | None = None):
                 arrays = [held if t is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
                 block += 1
+        give_back()
 
     return run
 
@@ -171,6 +172,7 @@ def _edges_of(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
             for first, data, offsets in pieces(batch.column(0), BLOCK):
                 sets = [s.astype("<u8").tobytes() for s in _sets(data, offsets, join.n)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(sets)) for k in (1, 2, 3, 4)), pa.array(sets, pa.binary())], ["node", "grp", "part", "probe", "elements"])
+        give_back()
 
     def meet(_: tuple, group: pa.Table) -> pa.Table:
         a, b = [], []

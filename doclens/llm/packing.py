@@ -9,7 +9,7 @@ tokenised once and a lost executor repeats only its own partitions.
 
 Token ids come from a public vocabulary file (never trained here), special tokens not added, followed by `end_id`.
 Texts are tokenised by runs of characters that this vocabulary never joins; runs seen before come from a cache of bounded
-size that a worker keeps between tasks.
+size that ends with its task.
 
 Defined cases. A null or empty text is the end id alone. Null and repeated ids are carried along as they are: each row is
 a document of its own. Further columns do not enter the result. An empty table gives an empty result.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import bound_batches, cut, table
+from doclens.llm.common import bound_batches, cut, give_back, table
 from doclens.llm.textbytes import pieces
 
 VOCABULARY = "word_bpe_49k.json"
@@ -41,7 +41,7 @@ class Packing:
     end_id: int = 1
     fill: bool = True
     merge_partitions: int = 256
-    cached_words: int = 500_000
+    cached_words: int = 200_000
 
 
 _LETTER, _SIGN, _OTHER = 1, 2, 3
@@ -94,15 +94,24 @@ def _spelling(text: str) -> str | None:
     return None
 
 
+_tokenizers: dict[str, object] = {}
+
+
+def _tokenizer(path: str | None):
+    """The vocabulary, read once a worker process."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = path or public_tokenizers.path(VOCABULARY)
+    return _tokenizers.get(path) or _tokenizers.setdefault(path, Tokenizer.from_file(path))
+
+
 class Encoder:
     """Token ids of UTF-8 texts as little-endian 32-bit bytes. Two generations of about `cached_words` runs each are remembered."""
 
     def __init__(self, path: str | None, cached_words: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+        self.tokenizer = _tokenizer(path)
         self.most, self.known = cached_words, _Generation(self.tokenizer, {})
 
     def block(self, texts: list[bytes]) -> list[bytes]:
@@ -118,14 +127,6 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def encoder_for(path: str | None, cached_words: int) -> Encoder:
-    """One encoder a worker process, so that its cache outlives a task."""
-    return _encoders.get((path, cached_words)) or _encoders.setdefault((path, cached_words), Encoder(path, cached_words))
-
-
 @dataclass
 class Window:
     used: int
@@ -232,7 +233,7 @@ def pack(docs: DataFrame, how: Packing | None = None, tokenizer_path: str | None
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, rows, packer = encoder_for(tokenizer_path, how.cached_words), None, None
+        encoder, rows, packer = Encoder(tokenizer_path, how.cached_words), None, None
         for batch in batches:
             if packer is None:
                 rows = _Rows(id_col, batch.schema.types[0], TaskContext.get().partitionId() << 36, keep_ids)
@@ -248,6 +249,8 @@ def pack(docs: DataFrame, how: Packing | None = None, tokenizer_path: str | None
             if rest := packer.leftovers():
                 rows.window(rest, still_open=True)
             yield from rows.take()
+        del encoder
+        give_back()
 
     done = cut(chosen.mapInArrow(first_pass, schema), "packed")
 
