@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from doclens.llm.common import bound_batches, crc_mod, keep_rows, table
+from doclens.llm.common import bound_batches, crc_mod, hash_share, keep_rows, share_for, table
 from doclens.llm.textbytes import BASE, BYTE_CODE, mix, pieces, powers, prefix_hash, spans
 
 BLOCK = 2 << 20
@@ -192,9 +192,13 @@ class Identifier:
 def learn_languages(docs: DataFrame, learn: Column, s: Settings | None = None, path: str | None = None, text_col: str = "text", lang_col: str = "lang") -> Identifier:
     """Piece probabilities of every language of the learning rows, on at most `sample_rows` of its texts, in hash order."""
     s = s or Settings()
-    usable = docs.filter(learn & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= s.sample_bytes))
-    ranked = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    found = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= s.sample_rows).select("lang", "text").toArrow()
+    lang, th = F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("th")
+    usable = docs.filter(learn & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= s.sample_bytes)).select(lang, th, F.col(text_col).alias("text"))
+    shares = [(r["lang"], share_for(s.sample_rows, r["count"])) for r in usable.groupBy("lang").count().collect()]  # one row a language
+    sought = usable.select("lang", "th").join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double")), "lang").filter(hash_share("th") < F.col("share"))
+    ranked = sought.groupBy("lang", "th").count().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("th")))
+    chosen = F.broadcast(ranked.filter(F.col("r") <= s.sample_rows).select("lang", "th"))  # sample_rows a language
+    found = usable.join(chosen, ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text")).orderBy("lang", "th").select("lang", "text").toArrow()
     vocabulary = Pieces(path, s.longest_piece)
     languages = sorted(set(found.column("lang").to_pylist()))
     p = np.empty((len(vocabulary.lengths), len(languages)))

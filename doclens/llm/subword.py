@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import bound_batches, crc_mod, table
+from doclens.llm.common import bound_batches, crc_mod, hash_share, share_for, table
 from doclens.llm.textbytes import SPACE, column_bytes, cut_long, pieces, prefix_hash, span_hash, spans
 
 BLOCK = 1 << 19
@@ -131,8 +131,9 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn, rows: int,
 
     Ids are chosen on the labels alone; the texts of that bounded set come back through a broadcast of it.
     """
-    order = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("/sample")))
+    order = hash_share("doc_id")
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).filter(learn & F.col("label").isin(0, 1))
+    known = known.filter(order < share_for(rows, known.count()))
     ids = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(order, "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes)
     found = texts.join(F.broadcast(ids), "doc_id").orderBy(order, "doc_id", "text").limit(rows).select("text", "label").toArrow()
