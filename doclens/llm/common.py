@@ -56,12 +56,13 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size of df. It sets numbers of partitions and buckets only, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The optimizer's size of df, or a kilobyte a row where it has none. It sets numbers of partitions and buckets only, never results."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else 1000 * df.count()
 
 
 def buckets_for(df: DataFrame, bytes_each: int = 8 << 20, least: int = 8) -> int:
-    return max(least, -(-min(estimated_bytes(df), 1 << 50) // bytes_each))
+    return max(least, -(-estimated_bytes(df) // bytes_each))
 
 
 def give_back() -> None:
