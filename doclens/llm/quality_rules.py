@@ -136,3 +136,31 @@ def keep_good(docs: DataFrame, rules: Rules | None = None, text_col: str = "text
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_report(table(spark, sf_dir, "documents"))
+
+
+def _op10_sql(rules: Rules) -> str:
+    def again(n: int) -> str:
+        return f"(SELECT doc_id, n AS n, sum(c) AS covered FROM (SELECT DISTINCT doc_id, {n} AS n, unnest(range(i, i + {n})) AS i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS r FROM (SELECT doc_id, i, array_to_string(w[i:i + {n - 1}], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM t))) WHERE r > 1) JOIN c USING (doc_id, i) GROUP BY doc_id, n)"
+
+    share = lambda x: f"coalesce({x}, 0) / greatest(word_chars, 1)::DOUBLE"
+    covers = ", ".join(f"{share(f'c{k}')} AS coverage_{k}" for k in rules.coverage)
+    bad = " OR ".join(f"coverage_{k} > {m}" for k, m in rules.coverage.items())
+    words = r"'[^\x20\x09-\x0D]+'"
+    return f"""
+WITH t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {words}) AS w FROM documents),
+c AS MATERIALIZED (SELECT doc_id, generate_subscripts(w, 1) AS i, len(unnest(w)) AS c FROM t),
+v AS ({" UNION ALL ".join(again(k) for k in rules.coverage)}),
+pv AS (SELECT doc_id, {", ".join(f"max(covered) FILTER (n = {k}) AS c{k}" for k in rules.coverage)} FROM v GROUP BY doc_id),
+g3 AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM g3 QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1) GROUP BY doc_id),
+ln AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY j) AS r FROM (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS j FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM t)) WHERE regexp_matches(line, {words})),
+dl AS (SELECT doc_id, count(*) AS n, sum(list_sum(list_transform(regexp_extract_all(line, {words}), lambda x: len(x)))) AS chars FROM ln WHERE r > 1 GROUP BY doc_id),
+b AS (SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce((SELECT sum(c) FROM c WHERE c.doc_id = t.doc_id), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dl.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, dl.chars AS line_chars FROM t LEFT JOIN dl USING (doc_id) LEFT JOIN rep USING (doc_id)),
+m AS (SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {share("line_chars")} AS line_coverage, {covers}
+  FROM b LEFT JOIN pv ON pv.doc_id = b.doc_id),
+f AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.repeat_percent} * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND NOT (line_coverage > {rules.line_coverage} OR n_symbols > {rules.symbols_per_word} * n_words OR {bad}) AS kept FROM f
+"""
+
+
+OP10_SQL = _op10_sql(Rules())

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from doclens.llm.decontaminate import OP5_SQL, op5_decontaminate
 from doclens.llm.langid import op2_language_id
 from doclens.llm.lm import op9_lm_scoring
-from doclens.llm.near_dup import op8_ngram_join
+from doclens.llm.near_dup import OP8_SQL, op8_ngram_join
 from doclens.llm.packing import op6_packing
-from doclens.llm.quality_rules import op10_quality_rules
+from doclens.llm.quality_rules import OP10_SQL, op10_quality_rules
 from doclens.llm.sharding import op7_sharding
 from doclens.llm.subword import op1_quality_classifier
 from doclens.llm.toxicity import op4_toxicity
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_decontaminate": OP5_SQL}
+    return {"op3_warc": OP3_SQL, "op5_decontaminate": OP5_SQL, "op8_ngram_join": OP8_SQL, "op10_quality_rules": OP10_SQL}
