@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from doclens.functions import text as tx
 from doclens.functions.stopwords import STOP_WORDS
+from doclens.operators import corpus as cp
 from doclens.operators import evaluate as ev
 from doclens.operators import images as im
 from doclens.operators import ingest as ig
@@ -719,3 +720,43 @@ def _(spark, d):
     width = 64 + idf.count()
     scaled = lambda part: ml.random_fourier_features(ml.standard_scaled(part, train), width, gamma=1 / width)
     return ml.fit_predict(ml.linear_svc(), scaled(train), scaled(test))[1]
+
+
+# ---- summaries and samples --------------------------------------------------------------------------------------
+
+
+@query("x20_corpus_summary", f"WITH {TOK}, t AS (SELECT doc_id, class, unnest(w) AS term FROM toks), z AS (SELECT class, count(*) AS k, count(DISTINCT term) AS v FROM t GROUP BY ROLLUP (class)), s AS (SELECT class, count(*) AS n FROM toks GROUP BY ROLLUP (class)) SELECT coalesce(s.class, 'TOTAL') AS class, n::BIGINT AS n_docs, coalesce(k, 0)::BIGINT AS n_tokens, coalesce(v, 0)::BIGINT AS n_terms FROM s LEFT JOIN z ON s.class IS NOT DISTINCT FROM z.class")
+def _(spark, d):
+    return cp.corpus_summary(corpus(spark, d), words())
+
+
+@query("t6_seeded_sample", "SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || '-42'), doc_id LIMIT 20")
+def _(spark, d):
+    return cp.seeded_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 20)
+
+
+@query("x21_text_distance", "SELECT event_id, levenshtein(event_type, lower(props))::BIGINT AS distance FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", cp.text_distance(F.col("event_type"), F.lower("props")).alias("distance"))
+
+
+@query("e5_weighted", f"{FULL} SELECT model, round(sum(precision * support) / sum(support), 6) AS precision, round(sum(recall * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1 FROM rp GROUP BY model")
+def _(spark, d):
+    return ev.weighted(ev.class_report(ev.confusion(predictions(spark, d)))).select("model", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query("e7_best_model", f"{FULL} SELECT model, accuracy, f1 FROM mt ORDER BY accuracy DESC, ord LIMIT 1")
+def _(spark, d):
+    return metrics(spark, d).orderBy(F.desc("accuracy"), "ord").limit(1).select("model", "accuracy", "f1")
+
+
+@query("k7_report_lines")
+def _(spark, d):
+    from doclens.sources.sinks import report_lines
+
+    return report_lines(ev.full_report(predictions(spark, d)))
+
+
+@query("i5_binarised", f"WITH {PIX}, c AS (SELECT img_id, v, count(*) AS n FROM px GROUP BY ALL), u AS (SELECT img_id, v, sum(n) OVER w AS w0, sum(n * v) OVER w AS s0, sum(n) OVER (PARTITION BY img_id) AS t, sum(n * v) OVER (PARTITION BY img_id) AS s FROM c WINDOW w AS (PARTITION BY img_id ORDER BY v)), b AS (SELECT img_id, v, CASE WHEN t = w0 THEN 0 ELSE round(w0 * (t - w0) * (s0::DOUBLE / w0 - (s - s0)::DOUBLE / (t - w0)) * (s0::DOUBLE / w0 - (s - s0)::DOUBLE / (t - w0)), 6) END AS x FROM u), th AS (SELECT img_id, v AS threshold FROM b QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY x DESC, v) = 1) SELECT img_id, y, x, CASE WHEN v > threshold THEN 255 ELSE 0 END AS v FROM px JOIN th USING (img_id)")
+def _(spark, d):
+    return im.binarised(pixels(spark, d)).select("img_id", "y", "x", "v")

@@ -193,3 +193,34 @@ def test_paged_source(spark, tmp_path):
     spark.dataSource.register(PagedRows)
     got = spark.read.format("paged_rows").option("url", "file://" + str(tmp_path) + "/page_{offset}.json").option("total", 5).option("page", 2).load()
     assert sorted(r["row"] for r in got.collect()) == [json.dumps({"k": k}) for k in range(5)]
+
+
+def test_sinks_guards_and_saved_index(spark, tmp_path, capsys):
+    from doclens.__main__ import main
+    from doclens.operators.corpus import require_documents, throughput
+    from doclens.sources import sinks
+
+    for name, text in (("memo/memo_1.txt", "invoice payment total"), ("memo/memo_2.txt", "payment schedule meeting"), ("form/form_1.txt", "address name form")):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_text(text)
+    main(["index", str(tmp_path / "t"), str(tmp_path / "ix")])
+    main(["search", str(tmp_path / "ix"), "payment invoice"])
+    shown = capsys.readouterr().out
+    assert "invoice payment total" in shown and "address" not in shown
+    docs = so.text_corpus(spark, str(tmp_path / "t"))
+    assert require_documents(docs, 3) is docs
+    with pytest.raises(ValueError, match="fewer than 4"):
+        require_documents(docs, 4)
+    sinks.write_vocabulary(spark.createDataFrame([("b",), ("a",)], "term string"), str(tmp_path / "v"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "v")).collect()] == ["a", "b"]
+    rows = spark.createDataFrame([("m", 0, 0), ("m", 1, 0)], "model string, label int, predicted int")
+    sinks.write_report(ev.full_report(rows), str(tmp_path / "r"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert len(lines) == 5 and any("accuracy" in line and "0.5000" in line for line in lines)
+    metrics = ev.model_metrics(rows).withColumn("kind", F.lit("k"))
+    sinks.write_metrics(metrics, str(tmp_path / "j"))
+    assert so.cached_metrics(spark, str(tmp_path / "j")).first()["accuracy"] == 0.5
+    assert throughput(10, 4.0) == 2.5 and throughput(1, 0) == 0.0
+    images = spark.createDataFrame([("a", "x.png", b"1"), ("a", "y.png", b"2")], "class string, name string, content binary")
+    sinks.write_images(images, str(tmp_path / "i"), 128, spark.createDataFrame([("x.png",)], "name string"))
+    assert [r["name"] for r in spark.read.parquet(str(tmp_path / "i")).collect()] == ["y.png"]
