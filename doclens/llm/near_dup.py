@@ -45,7 +45,7 @@ _SHORT = np.uint64(0x5707)
 class Join:
     n: int = 4
     percent: int = 85
-    group_elements: int = 1 << 20
+    group_elements: int = 1 << 18
     pivots: int = 4
 
 
