@@ -55,10 +55,7 @@ def automaton(keys: list[str], items: list[list[str]]):
 
 def hits(text: bytes, machine) -> list[tuple[int, int, tuple[str, ...]]]:
     """(first word, word after the last, items) of every occurrence of a window in the text."""
-    folded = b" ".join(text.translate(_FOLD_BYTES).split(b" "))
-    if b"  " in folded:
-        folded = b" ".join(folded.split())
-    normal = f" {folded.decode('utf-8', 'surrogateescape').strip(' ')} "
+    normal = f" {b' '.join(text.translate(_FOLD_BYTES).split()).decode('utf-8', 'surrogateescape')} "
     found = list(machine.iter(normal))
     if not found:
         return []

@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,10 +95,6 @@ class Block:
         return {"at": at, "keys": names[order], "which": which, "seen": seen, "left": left[order], "right": right[order]}
 
 
-def _empty(schema: list[tuple[str, pa.DataType]]) -> pa.Table:
-    return pa.table({n: pa.array([], t) for n, t in schema})
-
-
 def language_model_scores(docs: DataFrame, learn: Column, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score (unigrams, base 10) and score (the automaton's log10 probability)."""
     model = model or Model()
@@ -156,8 +153,6 @@ def language_model_scores(docs: DataFrame, learn: Column, model: Model | None =
     result = f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def third_pass(_: tuple, meta: pa.Table, own: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
         out = []
         for row in meta.to_pylist():
             b = Block(row)
@@ -178,7 +173,7 @@ def language_model_scores(docs: DataFrame, learn: Column, model: Model | None =
             known = np.bincount(b.row_of, weights=counts[b.ids] > 0, minlength=n).astype(np.int64)
             kind_of = meta.schema.field("docs").type.value_type
             out.append(pa.table({id_col: pa.array(b.docs, kind_of), "n_tokens": b.lengths, "n_known": known, "train_tokens": np.full(n, n_all), "base_score": np.bincount(b.row_of, weights=base, minlength=n), "score": np.bincount(b.row_of, weights=score, minlength=n)}))
-        return pa.concat_tables(out) if out else _empty([(id_col, pa.null())])
+        return pa.concat_tables(out)  # a block with totals has its documents
 
     return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(third_pass, result)
 

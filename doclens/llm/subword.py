@@ -163,4 +163,4 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, s: Settings | None =
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, s = table(spark, sf_dir, "documents"), Settings()
     model = fit_quality(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0, s)
-    return classify(docs, model, s, 0.3).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return classify(docs, model, s, 0.3).select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

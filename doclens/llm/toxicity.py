@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from doclens.llm.common import crc_mod, table
 from doclens.llm.subword import classify, sample
@@ -139,4 +140,4 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, s: Settings | None =
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, s = table(spark, sf_dir, "documents"), Settings()
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0, s)
-    return classify(docs, model, s, 0.5, score).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return classify(docs, model, s, 0.5, score).select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
