@@ -377,7 +377,7 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     _, test = split_vectors(spark, d)
     other = lambda name, p: test.select(F.lit(name).alias("model"), "label", p.cast("int").alias("predicted"))
     parity = F.when(F.col("vec_id") % 2 == 0, F.col("label")).otherwise((F.col("label") + 1) % 10)
-    return knn(spark, d).select(F.lit("knn").alias("model"), "label", "predicted").unionByName(other("parity", parity)).unionByName(other("constant", F.lit(0)))
+    return knn(spark, d).select(F.lit("knn").alias("model"), "label", "predicted").unionByName(other("parity", parity)).unionByName(other("constant", F.lit(0))).persist()  # reports read them several times
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -461,7 +461,7 @@ GLCM = " UNION ALL ".join(f"SELECT img_id, {dy} AS dy, {dx} AS dx, a.i, b.i AS j
 
 @query("i2_glcm_features", f"WITH {PIX}, q AS (SELECT img_id, y, x, v // 4 AS i FROM px), o AS ({GLCM}), s AS (SELECT img_id, dy, dx, i, j FROM o UNION ALL SELECT img_id, dy, dx, j, i FROM o), c AS (SELECT img_id, dy, dx, i, j, count(*) AS n FROM s GROUP BY ALL), p AS (SELECT *, n / sum(n) OVER (PARTITION BY img_id, dy, dx)::DOUBLE AS p FROM c), g AS (SELECT img_id, dy, dx, sum(p * (i - j) * (i - j)) AS a, sum(p * abs(i - j)) AS b, sum(p / (1 + (i - j) * (i - j))) AS h, sqrt(sum(p * p)) AS e, sum(p * i) AS m, sum(p * i * i) AS q2, sum(p * i * j) AS ij FROM p GROUP BY ALL) SELECT img_id, dy, dx, round(a, 6) AS contrast, round(b, 6) AS dissimilarity, round(h, 6) AS homogeneity, round(e, 6) AS energy, round(CASE WHEN q2 - m * m < 1e-12 THEN 1 ELSE (ij - m * m) / (q2 - m * m) END, 6) AS correlation FROM g")
 def _(spark, d):
-    return im.glcm_features(pixels(spark, d))
+    return im.glcm_features(pixels(spark, d).persist())  # one self-join an offset
 
 
 @query("i5_otsu_threshold", f"WITH {PIX}, c AS (SELECT img_id, v, count(*) AS n FROM px GROUP BY ALL), u AS (SELECT img_id, v, sum(n) OVER w AS w0, sum(n * v) OVER w AS s0, sum(n) OVER (PARTITION BY img_id) AS t, sum(n * v) OVER (PARTITION BY img_id) AS s FROM c WINDOW w AS (PARTITION BY img_id ORDER BY v)), b AS (SELECT img_id, v, CASE WHEN t = w0 THEN 0 ELSE round(w0 * (t - w0) * (s0::DOUBLE / w0 - (s - s0)::DOUBLE / (t - w0)) * (s0::DOUBLE / w0 - (s - s0)::DOUBLE / (t - w0)), 6) END AS x FROM u) SELECT img_id, v AS threshold FROM b QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY x DESC, v) = 1")
