@@ -118,7 +118,7 @@ def _first_pass(join: Join, buckets: int, kind: pa.DataType | None = None):
                 keys, places, counts = np.unique(low, return_inverse=True, return_counts=True)
                 missing = np.maximum(_prefix(sizes, join.percent) - lows, 0)
                 extras = [s[k : k + m] for s, k, m in zip(sets, lows, missing, strict=True) if m]
-                rows = [(block, b, k, c, *[None] * 7) for b, k, c in parts(keys, counts, buckets, KEY_BYTES)]
+                rows = [(block, b, k, c, *[None] * 7) for b, k, c in parts(keys, counts, buckets, KEY_BYTES, int(first_part))]
                 ids, ths = batch.column(0).slice(first, count), batch.column(2).slice(first, count)
                 docs = pa.StructArray.from_arrays([ids, ths, pa.array(of, pa.int32())], ["id", "th", "set"])
                 rows.append((block, -1, None, None, 0, np.array(list(place), dtype="<i8").tobytes(), sizes.astype("<u4").tobytes(), lows.astype("<u4").tobytes(), squeeze(places.astype("<u4")), b"".join(e.astype("<u8").tobytes() for e in extras), missing.astype("<u4").tobytes()))
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, join: Join | None = None, id_col: str = "do
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    buckets = buckets_for(docs, 16 << 20)
+    buckets = buckets_for(docs, 4 << 20)
     keyed = docs.select("id", "text", F.xxhash64(text_of("text")).alias("th"))
     held = cut(keyed.mapInArrow(_first_pass(join, buckets), _HELD.replace("KIND", kind)), "shingles")
 

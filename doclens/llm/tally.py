@@ -32,9 +32,12 @@ def unsqueeze(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1).view(kind)
 
 
-def parts(keys: np.ndarray, counts: np.ndarray, buckets: int, width: int = 8) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, keys, counts) of sorted distinct keys. Of each key its `width` high bytes are sent; keys equal in them share a total."""
-    bounds = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
+def parts(keys: np.ndarray, counts: np.ndarray, buckets: int, width: int = 8, limit: int = 1 << 64) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, keys, counts) of sorted distinct keys below `limit`, which the buckets share evenly.
+
+    Of each key its `width` high bytes are sent; keys equal in them share a total.
+    """
+    bounds = np.array([b * limit // buckets for b in range(1, buckets)], dtype=np.uint64)
     at = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
     high = keys >> np.uint64(64 - 8 * width)
     for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
