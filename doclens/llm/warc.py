@@ -58,7 +58,7 @@ def _header_block(date: str) -> Column:
 def write_archive(pages: DataFrame, path: str, min_payload: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes one record for each row of pages (page_id, url, html) under path.
 
-    Payload bytes pass one shuffle, and only those of responses: sharers are found on digests alone.
+    Sharers are found on digests alone. Payload bytes pass one shuffle, after each task has dropped the copies that it holds.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     records = pages.select("page_id", F.col("url").cast("string").alias("url"), F.sha2(payload, 256).alias("payload_key"), base32_sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
@@ -68,10 +68,8 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, date: str =
     typed = joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
     typed.select("page_id", "payload_key", "payload_bytes", "payload_digest", "record_type", "refers_to", _header_block(date).alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
-    stored = pages.select("page_id", F.sha2(payload, 256).alias("payload_key"), payload.alias("payload"))
-    owners = firsts.select(F.col("first_id"), F.col("payload_key").alias("owner_key"))
-    owned = stored.join(owners, (F.col("payload_key") == F.col("owner_key")) & F.col("page_id").eqNullSafe(F.col("first_id"))).select("payload_key", "payload")
-    owned.dropDuplicates(["payload_key"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    stored = pages.select(F.sha2(payload, 256).alias("payload_key"), payload.alias("payload"))
+    stored.dropDuplicates(["payload_key"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
