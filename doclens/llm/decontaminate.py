@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 from doclens.llm.common import bound_batches, table
 from doclens.llm.textbytes import LOWER, NOT_WORD, pieces, spans
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _FOLD = LOWER.copy()
 _FOLD[NOT_WORD[LOWER]] = 32
 _FOLD_BYTES = _FOLD.tobytes()

@@ -31,7 +31,7 @@ from pyspark.sql import Window
 from doclens.llm.common import bound_batches, crc_mod, hash_share, keep_rows, share_for, table
 from doclens.llm.textbytes import BASE, BYTE_CODE, mix, pieces, powers, prefix_hash, spans
 
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 WORD = 31
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _NOT_LETTER = np.ones(256, dtype=bool)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from doclens.llm.common import bound_batches, keep_rows, table
 from doclens.llm.textbytes import SPACE, mix, pieces, prefix_hash, span_hash, spans, sums, window_hash
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 NEWLINE = np.zeros(256, dtype=bool)
