@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from doclens.llm.common import bound_batches, crc_mod, hash_share, keep_rows, share_for, table
+from doclens.llm.common import bound_batches, crc_mod, cut, hash_share, keep_rows, share_for, table
 from doclens.llm.textbytes import BASE, BYTE_CODE, mix, pieces, powers, prefix_hash, spans
 
 BLOCK = 1 << 20
@@ -42,7 +42,7 @@ _LOG2_SLOTS = 18
 
 @dataclass(frozen=True)
 class Settings:
-    """`sample_rows` texts a language at most, none of more than `sample_bytes` bytes, are learned from."""
+    """`sample_rows` distinct texts a language are learned from, or all it has. Texts of more than `sample_bytes` bytes come last and count with that many bytes."""
 
     sample_rows: int = 400
     sample_bytes: int = 20_000
@@ -189,16 +189,39 @@ class Identifier:
         return np.where(letters, best, -1), np.where(letters, share, 0.0)
 
 
+def _sample(usable: DataFrame, s: Settings) -> DataFrame:
+    """lang, th of min(sample_rows, all) distinct texts of every language of usable (lang, th, long): the first by hash, long texts after all others."""
+    spark = usable.sparkSession
+    order = [F.col("long"), hash_share("th"), F.col("th")]
+
+    def first(rows: DataFrame) -> DataFrame:
+        ranked = rows.groupBy("lang", "th", "long").count().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+        return cut(ranked.filter(F.col("r") <= s.sample_rows).select("lang", "th"), "sampled")
+
+    # Copies share one hash, so the share in which texts are sought is that of distinct texts.
+    there = usable.groupBy("lang").agg(F.approx_count_distinct(F.when(~F.col("long"), F.col("th"))).alias("short"), F.count_if("long").alias("longs")).collect()  # one row a language
+    shares = {r["lang"]: share_for(s.sample_rows, r["short"]) for r in there}
+    limits = spark.createDataFrame(list(shares.items()), "lang string, share double")
+    chosen = first(usable.join(F.broadcast(limits), "lang").filter(~F.col("long") & (hash_share("th") < F.col("share"))))
+    found = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    lacking = [(r["lang"],) for r in there if found.get(r["lang"], 0) < s.sample_rows and (shares[r["lang"]] < 1 or r["longs"])]
+    if lacking:  # few distinct texts of the usual length, or an estimate too high: all texts of these languages are ranked
+        names = F.broadcast(spark.createDataFrame(lacking, "lang string"))
+        chosen = chosen.join(names, "lang", "left_anti").unionByName(first(usable.join(names, "lang")))
+    return chosen
+
+
 def learn_languages(docs: DataFrame, learn: Column, s: Settings | None = None, path: str | None = None, text_col: str = "text", lang_col: str = "lang") -> Identifier:
     """Piece probabilities of every language of the learning rows, on at most `sample_rows` of its texts, in hash order."""
     s = s or Settings()
-    lang, th = F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("th")
-    usable = docs.filter(learn & F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= s.sample_bytes)).select(lang, th, F.col(text_col).alias("text"))
-    shares = [(r["lang"], share_for(s.sample_rows, r["count"])) for r in usable.groupBy("lang").count().collect()]  # one row a language
-    sought = usable.select("lang", "th").join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share double")), "lang").filter(hash_share("th") < F.col("share"))
-    ranked = sought.groupBy("lang", "th").count().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("th")))
-    chosen = F.broadcast(ranked.filter(F.col("r") <= s.sample_rows).select("lang", "th"))  # sample_rows a language
-    found = usable.join(chosen, ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text")).orderBy("lang", "th").select("lang", "text").toArrow()
+    lang, th, text = F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("th"), F.col(text_col)
+    long = F.octet_length(text) > s.sample_bytes
+    head = F.rtrim(F.make_valid_utf8(F.substring(text.cast("binary"), 1, s.sample_bytes).cast("string")), F.lit("\ufffd"))
+    known = docs.filter(learn & F.col(lang_col).isNotNull() & text.isNotNull())
+    usable = known.select(lang, th, long.alias("long"))
+    chosen = F.broadcast(_sample(usable, s))  # sample_rows a language
+    texts = known.select(lang, th, F.when(long, head).otherwise(text).alias("text"))
+    found = texts.join(chosen, ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text")).orderBy("lang", "th").select("lang", "text").toArrow()
     vocabulary = Pieces(path, s.longest_piece)
     languages = sorted(set(found.column("lang").to_pylist()))
     p = np.empty((len(vocabulary.lengths), len(languages)))

@@ -153,6 +153,26 @@ def test_held_out_accuracy(spark):
     assert held.filter("lang_pred = lang").count() >= 0.97 * held.count()
 
 
+def test_every_language_is_learned_from_what_it_has(spark, monkeypatch):
+    """Copies, long texts and estimates of the number of texts that are too high leave no language without its sample."""
+    rows = [(k, f"kopie aa{'bcdefghijk'[k % 10]} wort", "copies") for k in range(10_000)]
+    rows += [(20_000 + k, " ".join(f"wide{c}" for c in "abc") + f" {k:04d}", "wide") for k in range(3_000)]
+    rows += [(30_000 + k, "größe " * 4_000 + "x" * k, "long") for k in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    real = li._sample
+    monkeypatch.setattr(li, "_sample", lambda usable, s: seen.setdefault("chosen", real(usable, s)))
+    for far in (1, 1000):
+        seen.clear()
+        monkeypatch.setattr(li, "share_for", lambda wanted, there, far=far: min(1.0, (wanted + 5 * wanted**0.5) / max(1, there * far)))
+        model = li.learn_languages(frame, F.lit(True))
+        assert {r["lang"]: r["count"] for r in seen["chosen"].groupBy("lang").count().collect()} == {"copies": 10, "wide": 400, "long": 3}
+        assert seen["chosen"].distinct().count() == 413
+        assert model.languages == ["copies", "long", "wide"]
+    found = li.identify(frame.filter("doc_id % 1000 < 5"), model).join(frame.select("doc_id", "lang"), "doc_id")
+    assert found.filter("lang_pred <> lang").count() == 0
+
+
 def test_forward_algorithm_by_force():
     s = li.Settings()
     vocabulary = li.Pieces(None, s.longest_piece)
