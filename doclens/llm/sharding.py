@@ -1,14 +1,19 @@
 """Operator 7, sharding by balanced label propagation.
 
-Documents with equal text are linked; every document starts in the shard its id hashes to. Each round joins the shard
-counts of every group of links with its members, and members ask to move to the shard that holds most of their group.
-Quotas admit moves only as far as the target has room: large blocks of copies one by one, the others by a share of a
-hash. Rounds end when nothing moves or after `rounds`. Documents without links cost no edge wherever they go, so they
-fill what is left; members beyond a shard's quota join them. Shards then differ by at most one row (the law `rows`).
+Documents with equal text are linked; every document starts in the shard its id hashes to. In each round every group of
+links that is not settled asks for the shard that holds most of its members, among those with room. Groups settle whole,
+and only they take room: members that will leave hold none. Large groups are settled first, one by one; one that fits
+nowhere whole is laid over as few shards as can hold it. The others are admitted by a share of a hash, and those turned
+away ask for their next-best shard. Rounds end when every group is settled: a shard asked for more than its room is
+closed, so there are at most as many rounds as shards.
 
-All rounds work on (group, first shard) blocks with their counts, never on pairs or on lists of members, so a group of any
-size is at most `shards` rows. The driver sees shards x shards totals and blocks of more than 1/256 of a shard's quota,
-which cannot be many.
+Documents without links cost no edge wherever they go, so they fill what is left; the members beyond a shard's quota
+(the share of a hash is met but roughly) fill it first, in order of group, so that a group is split by them only where a
+shard ends. Shards then differ by at most one row (the law `rows`).
+
+All rounds work on groups with one count a first shard, never on pairs or on lists of members, so a group of any size is
+at most `shards` numbers. The driver sees one total a shard and groups of more than 1/256 of a shard's quota, which
+cannot be many.
 
 Defined cases. A null text is a text of no bytes (size 1), equal to an empty one. Null ids hash alike and are spread by
 the final filling. Repeated rows are documents of their own. An empty table gives an empty result; further columns do not
@@ -32,69 +37,122 @@ def _share(*columns: Column | str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def propagate(blocks: DataFrame, caps: list[int], rounds: int = 4) -> DataFrame:
-    """blocks (grp, origin, label, n): label propagation under caps. Returns the blocks with their last label."""
-    spark, shards = blocks.sparkSession, len(caps)
-    for turn in range(rounds):
-        held = blocks.groupBy("grp", "label").agg(F.sum("n").alias("c"))
-        best = held.groupBy("grp").agg(F.max_by("label", F.struct("c", F.xxhash64("grp", "label"))).alias("target"))
-        wish = blocks.join(best, "grp")
-        heavy_from = max(2, min(caps) // 256)
-        asked = wish.groupBy("label", "target").agg(F.sum("n").alias("all"), F.sum(F.when((F.col("n") < heavy_from) & (F.col("label") != F.col("target")), F.col("n")).otherwise(0)).alias("light")).collect()
-        room = list(caps)
-        for r in asked:
-            room[r["label"]] -= r["all"]
-        granted = []
-        for r in wish.filter((F.col("n") >= heavy_from) & (F.col("label") != F.col("target"))).select("grp", "origin", "target", "n").orderBy(F.desc("n"), "grp", "origin").collect():
-            if r["n"] <= room[r["target"]]:
-                room[r["target"]] -= r["n"]
-                granted.append((r["grp"], r["origin"]))
-        light = [sum(r["light"] for r in asked if r["target"] == t) for t in range(shards)]
-        share = [min(1.0, max(0, room[t]) / light[t]) if light[t] else 0.0 for t in range(shards)]
-        if not granted and not any(light[t] and share[t] for t in range(shards)):
-            break
-        admitted = (F.col("n") < heavy_from) & (_share("grp", "origin", F.lit(turn)) < F.element_at(F.array(*map(F.lit, share)), F.col("target") + 1))
-        moved = wish
-        if granted:
-            moved = moved.join(F.broadcast(spark.createDataFrame(granted, "grp long, origin int").withColumn("granted", F.lit(True))), ["grp", "origin"], "left")
-            admitted = admitted | F.coalesce(F.col("granted"), F.lit(False))
-        blocks = cut(moved.select("grp", "origin", F.when(admitted, F.col("target")).otherwise(F.col("label")).alias("label"), "n"), "labels")
-    return blocks
-
-
-def shard(docs: DataFrame, shards: int = 16, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def settle_heavy(groups: list[tuple[int, int, dict[int, int]]], room: list[int]) -> tuple[dict[int, int], dict[int, list[tuple[int, int]]]]:
+    """Shards of groups (grp, total, members by shard), largest first, and the pieces (shard, rows) of those that fit nowhere whole. Takes their room."""
+    whole, pieces = {}, {}
+    for grp, total, parts in sorted(groups, key=lambda g: (-g[1], g[0])):
+        got, left = [], total
+        while left:
+            # most members first; ties differ by group
+            order = sorted((t for t in range(len(room)) if room[t] > 0), key=lambda t: (-parts.get(t, 0), (t + grp) % len(room)))
+            fits = [t for t in order if room[t] >= left]
+            to = fits[0] if fits else max(order, key=lambda t: room[t])
+            n = min(left, room[to])
+            room[to] -= n
+            left -= n
+            got.append((to, n))
+        if len(got) == 1:
+            whole[grp] = got[0][0]
+        else:
+            pieces[grp] = got
+    return whole, pieces
+
+
+def propagate(groups: DataFrame, room: list[int]) -> DataFrame:
+    """groups (grp, total, parts: origin -> members): every group's shard as `label`, by rounds under what room there is."""
+    shards, settled, turn = len(room), [], 0
+    left, room = groups, list(room)
+    while True:
+        choices = [t for t in range(shards) if room[t] > 0] or list(range(shards))
+        asks = [F.struct(F.coalesce(F.element_at("parts", F.lit(t)), F.lit(0).cast("long")).alias("c"), F.xxhash64("grp", F.lit(t)).alias("tie"), F.lit(t).alias("to")) for t in choices]
+        wish = left.withColumn("label", (F.greatest(*asks) if len(asks) > 1 else asks[0])["to"])
+        asked = {r["label"]: r["n"] for r in wish.groupBy("label").agg(F.sum("total").alias("n")).collect()}
+        if not any(asked[t] > room[t] for t in asked) or not any(room[t] > 0 for t in range(shards)):
+            return _together([*settled, wish])
+        share = [min(1.0, max(0, room[t]) / asked[t]) if t in asked else 1.0 for t in range(shards)]
+        room = [max(0, n - asked.get(t, 0)) for t, n in enumerate(room)]
+        admitted = _share("grp", F.lit(turn)) < F.element_at(F.array(*map(F.lit, share)), F.col("label") + 1)
+        settled.append(wish.filter(admitted))
+        left, turn = cut(wish.filter(~admitted).select("grp", "total", "parts"), "groups"), turn + 1
+
+
+def _together(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0].select("grp", "total", "parts", "label")
+    for frame in frames[1:]:
+        out = out.unionByName(frame.select("grp", "total", "parts", "label"))
+    return out
+
+
+def runs_of(load: list[int], caps: list[int], pieces: list[list[tuple[int, int]]]) -> list[list[tuple[int, int, int]]]:
+    """Where the rows of each label go: runs (first row, shard, first slot) by label.
+
+    `load` has the rows of every shard's own label, of every group in pieces, and of those without links, in this order."""
+    shards = len(caps)
+    used, out = [0] * shards, [[] for _ in load]
+    for k, got in enumerate(pieces):
+        at = 0
+        for to, n in got:
+            out[shards + k].append((at, to, used[to]))
+            used[to] += n
+            at += n
+    beyond = []
+    for t in range(shards):
+        stay = min(load[t], caps[t] - used[t])
+        if stay:
+            out[t].append((0, t, used[t]))
+            used[t] += stay
+        beyond.append((t, stay))
+    free = sorted((t for t in range(shards) if used[t] < caps[t]), key=lambda t: used[t] - caps[t])
+    for label, at in [*beyond, (len(load) - 1, 0)]:
+        while at < load[label]:
+            to = free[0]
+            n = min(load[label] - at, caps[to] - used[to])
+            out[label].append((at, to, used[to]))
+            used[to] += n
+            at += n
+            if used[to] == caps[to]:
+                free.pop(0)
+    return out
+
+
+def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, size, text_crc32, law, shard, slot, grown_shard."""
-    text = text_of(text_col)
+    spark, text = docs.sparkSession, text_of(text_col)
     row = docs.select(F.col(id_col), text.alias("t")).select(id_col, (F.octet_length("t") + 1).cast("long").alias("size"), F.crc32(F.col("t").cast("binary")).alias("text_crc32"), F.xxhash64("t").alias("grp"), F.monotonically_increasing_id().alias("row"))
     base = cut(row.withColumn("origin", F.pmod(F.xxhash64(id_col, "grp"), F.lit(shards)).cast("int")), "sized")
-
-    parts = base.groupBy("grp", "origin").agg(F.count(F.lit(1)).alias("n"))
-    linked = parts.groupBy("grp").agg(F.collect_list(F.struct("origin", "n")).alias("parts"), F.sum("n").alias("total")).filter("total > 1")
-    blocks = cut(linked.select("grp", F.explode("parts").alias("p")).select("grp", "p.origin", F.col("p.origin").alias("label"), "p.n"), "blocks")
     caps = quotas(base.count(), shards)
-    blocks = propagate(blocks, caps, rounds)
 
-    load = [0] * shards
-    for r in blocks.groupBy("label").agg(F.sum("n").alias("n")).collect():
+    parts = base.groupBy("grp", "origin").agg(F.count(F.lit(1)).alias("n"))
+    linked = parts.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("origin", "n"))).alias("parts"), F.sum("n").alias("total")).filter("total > 1")
+    groups = cut(linked.select("grp", "total", "parts"), "groups")
+    heavy_from = max(2, min(caps) // 256)
+    heavy = [(r["grp"], r["total"], dict(r["parts"])) for r in groups.filter(F.col("total") >= heavy_from).collect()]
+    room = list(caps)
+    whole, pieces = settle_heavy(heavy, room)
+    laid = sorted(pieces)
+    labels = {**whole, **{g: shards + k for k, g in enumerate(laid)}}
+    light = propagate(groups.filter(F.col("total") < heavy_from), room)
+    if labels:
+        few = F.broadcast(spark.createDataFrame(list(labels.items()), "grp long, label int"))
+        light = _together([light, groups.join(few, "grp")])
+    settled = cut(light.select("grp", "label", F.explode("parts").alias("origin", "n")), "labels")
+
+    rest = shards + len(laid)
+    load = [0] * (rest + 1)
+    for r in settled.groupBy("label").agg(F.sum("n").alias("n")).collect():
         load[r["label"]] = r["n"]
-    placed = base.join(blocks.select("grp", "origin", "label"), ["grp", "origin"], "left").withColumn("label", F.coalesce("label", F.lit(shards)))
+    load[rest] = sum(caps) - sum(load)
+    placed = base.join(settled.select("grp", "origin", "label"), ["grp", "origin"], "left").withColumn("label", F.coalesce("label", F.lit(rest)))
     ranked = _rank(placed.select(id_col, "size", "text_crc32", "grp", "label", "row"), ["label", "grp", "row"], buckets_for(base, 4 << 20))
 
-    # Rows are in order of label. Of label s, the first min(load, quota) stay; the others and all unlinked rows fill up.
-    stay = [min(n, c) for n, c in zip(load, caps, strict=True)]
-    starts = [sum(load[:s]) for s in range(shards + 1)]
-    spare = [sum(n - c for n, c in zip(load[:s], stay[:s], strict=True)) for s in range(shards + 1)]
-    fill = [0]
-    for c, n in zip(caps, stay, strict=True):
-        fill.append(fill[-1] + c - n)
-    pick = lambda values, at: F.element_at(F.array(*(F.lit(int(v)).cast("long") for v in values)), at + 1)
-    label = F.col("label")
-    within = F.col("rank") - pick(starts, label)
-    stays = (label < shards) & (within < pick([*stay, 0], label))
-    pool = pick(spare, label) + within - pick([*stay, 0], label)
-    to = sum((F.when(pool >= F.lit(int(e)), 1).otherwise(0) for e in fill[1:-1]), F.lit(0))
-    final = ranked.withColumn("shard", F.when(stays, label).otherwise(to).cast("int")).withColumn("slot", F.when(stays, within).otherwise(pick(stay, to) + pool - pick(fill, to)))
-    return final.select(id_col, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    # Rows are in order of label; each label has runs of rows that go to one shard.
+    starts = [sum(load[:k]) for k in range(rest + 1)]
+    runs = [(k, starts[k], found) for k, found in enumerate(runs_of(load, caps, [pieces[g] for g in laid])) if found]
+    to_runs = F.broadcast(spark.createDataFrame(runs, "label int, start long, runs array<struct<at: long, to: int, slot: long>>"))
+    within = F.col("rank") - F.col("start")
+    run = F.element_at(F.filter("runs", lambda r: r["at"] <= F.col("rank") - F.col("start")), -1)
+    final = ranked.join(to_runs, "label").select(id_col, "size", "text_crc32", within.alias("within"), run.alias("run"))
+    return final.select(id_col, "size", "text_crc32", F.lit("rows").alias("law"), F.col("run.to").alias("shard"), (F.col("run.slot") + F.col("within") - F.col("run.at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _rank(rows: DataFrame, keys: list[str], partitions: int) -> DataFrame:

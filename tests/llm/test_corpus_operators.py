@@ -160,6 +160,33 @@ def test_shards_are_even_and_keep_copies_together(spark, docs):
     assert split <= 20
 
 
+def shards_by_text(spark, rows):
+    found = sh.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_shards(rows, found, 16)
+    texts, where = dict(rows), collections.defaultdict(set)
+    for r in found:
+        where[texts[r["doc_id"]]].add(r["shard"])
+    return where
+
+
+@pytest.mark.parametrize("n", [1_600, 32_000])
+def test_a_hot_group_takes_as_few_shards_as_hold_it(spark, n):
+    where = shards_by_text(spark, [(k, "hot" if k % 3 == 0 else f"copy {k // 12} {k % 3}") for k in range(n)])
+    assert len(where["hot"]) == 6
+    assert sum(len(s) > 1 for t, s in where.items() if t != "hot") <= 31
+
+
+@pytest.mark.parametrize("n", [1_600, 32_000])
+def test_groups_of_a_table_of_copies_stay_whole(spark, n):
+    where = shards_by_text(spark, [(k, f"copy {k // 4}") for k in range(n)])
+    assert sum(len(s) > 1 for s in where.values()) <= 31
+
+
+def test_most_rows_in_groups(spark):
+    where = shards_by_text(spark, [(k, f"copy {k // 4}" if k % 40 < 36 else f"single {k}") for k in range(24_000)])
+    assert sum(len(s) > 1 for s in where.values()) <= 31
+
+
 @pytest.mark.parametrize("kind", ["odd", "hot", "empty", "few"])
 def test_shards_of_odd_tables(spark, kind):
     rows = {"odd": odd_rows(), "hot": [(k, "hot" if k % 3 == 0 else f"t{k}", None, None, 0) for k in range(900)], "empty": [], "few": odd_rows()[:3]}[kind]
