@@ -17,7 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_path(class_name: Column, doc_id: Column) -> Column:
-    return F.concat(class_name, F.lit("/"), class_name, F.lit("_"), F.lpad(doc_id.cast("string"), 5, "0"), F.lit(".txt"))
+    """class/class_id.txt with at least five digits; lpad would shorten longer ids."""
+    name = doc_id.cast("string")
+    return F.concat(class_name, F.lit("/"), class_name, F.lit("_"), F.lpad(name, F.greatest(F.lit(5), F.length(name)), F.lit("0")), F.lit(".txt"))
 
 
 def documents_corpus(spark: SparkSession, sf_dir: str, min_chars: int = 1, class_col: str = "lang") -> DataFrame:

@@ -6,6 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from doclens.catalog import QUERIES
 from doclens.functions import image_kernels as ik
 from doclens.functions import text as tx
 from doclens.functions.porter2 import stem
@@ -171,6 +172,15 @@ def test_text_and_image_trees(spark, tmp_path):
     assert [r["name"] for r in so.image_files(spark, str(tmp_path), cap=1).collect()] == ["memo_3.png"]
 
 
+def test_paths_of_long_ids(spark, tmp_path):
+    ids = [7, 99_999, 100_000, 123_456, 123_457, 1_234_567_890_123, None]
+    spark.createDataFrame([(k, f"text {k}", "en") for k in ids], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["path"] for r in so.documents_corpus(spark, str(tmp_path)).collect()}
+    assert found == {k: None if k is None else f"en/en_{k:05d}.txt" for k in ids}
+    paths = QUERIES["p1_path_parts"](spark, str(tmp_path)).collect()
+    assert len(paths) == len(ids)
+
+
 def test_streaming_top_up(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [(k, "a" if k % 3 else "b") for k in range(30)]
