@@ -1,14 +1,14 @@
 """Operator 2, language identification by segmentation-marginalised unigrams.
 
 The pieces are those of a fixed public byte-level vocabulary that consist of letters (or bytes beyond ASCII), lower-case,
-with or without the leading space that starts a word. Each language has a probability for every piece, learned by
+with or without the leading space that starts a word, as far as they fit in a word (30,888 of 30,891 do). Each language has a probability for every piece, learned by
 expectation maximisation on a bounded sample of its texts. A text is scored, language by language, with the forward
 algorithm: the probability of a word is the sum over all its segmentations into pieces of the product of their
 probabilities; a text's is the product over its words. All words of a block are run through the recursion together in
 numpy; equal words are computed once.
 
 Words are runs of ASCII letters and bytes beyond ASCII, lower-cased, each with a leading space; parts of `WORD` bytes of a
-longer run are words of their own. Every byte of the vocabulary is a piece, so every word has a segmentation.
+longer run are words of their own, also where that is inside a character, and no segmentation crosses from one to the next. Every byte of the vocabulary is a piece, so every word has a segmentation.
 
 Defined cases. A null text, or one without a letter, is `und` with score 0. Null languages are not learned from; without
 any learned language every text is `und`. Ties go to the language that sorts first. Rows are scored one by one, so
@@ -46,7 +46,7 @@ class Settings:
 
     sample_rows: int = 400
     sample_bytes: int = 20_000
-    longest_piece: int = 8
+    longest_piece: int = WORD + 1
     rounds: int = 4
     floor: float = 1e-7
 

@@ -199,6 +199,18 @@ def test_forward_algorithm_by_force():
             assert logs[k, j] == pytest.approx(np.log(total(b" " + w.encode(), j)))
 
 
+def test_long_pieces_are_segments():
+    s = li.Settings()
+    vocabulary = li.Pieces(None, s.longest_piece)
+    index = {int(h): k for k, h in enumerate(vocabulary.hashes)}
+    for piece in (b" government", b" international", b" responsibilities"):
+        k = index[li._hash(piece)]
+        p = np.full((len(index), 1), 1e-9)
+        p[k] = 0.5
+        logs = li.Lattice(vocabulary, s.longest_piece, np.frombuffer(piece[1:], dtype=np.uint8), np.array([0]), np.array([len(piece) - 1])).logs(p)
+        assert logs[0, 0] == pytest.approx(np.log(0.5), abs=1e-3)
+
+
 def test_expected_counts_spell_the_words():
     s = li.Settings()
     vocabulary = li.Pieces(None, s.longest_piece)
