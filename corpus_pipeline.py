@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: Learned models and token vocabularies are beyond SQL; tests/llm/test_pipeline.py holds run() against plain Python.
+#: Learned models and token vocabularies are beyond SQL; tests/llm/test_corpus_operators.py holds run() against plain Python.
 ORACLE_SQL: str | None = None
 
 

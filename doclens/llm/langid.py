@@ -42,13 +42,15 @@ _LOG2_SLOTS = 18
 
 @dataclass(frozen=True)
 class Settings:
-    """`sample_rows` distinct texts a language are learned from, or all it has. Texts of more than `sample_bytes` bytes come last and count with that many bytes."""
+    """`sample_rows` distinct texts a language are learned from, or all it has. Texts of more than `sample_bytes` bytes come last and count with that many bytes.
+    A text is foreign to a language if its log probability a byte is lower by `margin` than that of 99 % of the texts learned from."""
 
     sample_rows: int = 400
     sample_bytes: int = 20_000
     longest_piece: int = WORD + 1
     rounds: int = 4
     floor: float = 1e-7
+    margin: float = 1.5
 
 
 class Pieces:
@@ -168,25 +170,27 @@ def _distinct(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int,
 
 
 class Identifier:
-    def __init__(self, languages: list[str], p: np.ndarray, path: str | None, s: Settings):
-        self.languages, self.p, self.path, self.longest = languages, p, path, s.longest_piece
+    def __init__(self, languages: list[str], p: np.ndarray, least: np.ndarray, path: str | None, s: Settings):
+        self.languages, self.p, self.least, self.path, self.longest = languages, p, least, path, s.longest_piece
 
-    def identify(self, column: pa.Array, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the language (-1: und) and its share of the texts' probability."""
+    def identify(self, column: pa.Array, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language (-1: und), its share of the texts' probability, and whether the text fits it: log probability a byte of `least` or more."""
         n, k = len(column), len(self.languages)
-        total = np.zeros((n, k))
+        total, size = np.zeros((n, k)), np.zeros(n)
         if k:
             for first, count, data, starts, sizes, rows, which in _distinct(column):
                 if len(starts):
                     logs = Lattice(vocabulary, self.longest, data, starts, sizes).logs(self.p)
+                    size[first : first + count] += np.bincount(rows, weights=sizes[which] + 1.0, minlength=count)
                     for j in range(k):
                         total[first : first + count, j] += np.bincount(rows, weights=logs[which, j], minlength=count)
         letters = pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)
         if not k:
-            return np.full(n, -1), np.zeros(n)
+            return np.full(n, -1), np.zeros(n), np.zeros(n, dtype=bool)
         best = total.argmax(axis=1)
+        fits = letters & (total.max(axis=1) >= self.least[best] * size)
         share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        return np.where(letters, best, -1), np.where(letters, share, 0.0)
+        return np.where(letters, best, -1), np.where(letters, share, 0.0), fits
 
 
 def _sample(usable: DataFrame, s: Settings) -> DataFrame:
@@ -224,20 +228,27 @@ def learn_languages(docs: DataFrame, learn: Column, s: Settings | None = None, p
     found = texts.join(chosen, ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text")).orderBy("lang", "th").select("lang", "text").toArrow()
     vocabulary = Pieces(path, s.longest_piece)
     languages = sorted(set(found.column("lang").to_pylist()))
-    p = np.empty((len(vocabulary.lengths), len(languages)))
+    p, least = np.empty((len(vocabulary.lengths), len(languages))), np.full(len(languages), -np.inf)
     for j, language in enumerate(languages):
         texts = found.filter(pc.equal(found.column("lang"), language)).column("text").combine_chunks()
         q = np.full((len(p), 1), 1 / len(p))
-        lattices = []
-        for _, _, data, starts, sizes, _, which in _distinct(texts, 1 << 30):
+        lattices, words = [], []
+        for first, _, data, starts, sizes, rows, which in _distinct(texts, 1 << 30):
             if len(starts):
                 lattices.append((Lattice(vocabulary, s.longest_piece, data, starts, sizes), np.bincount(which)))
+                words.append((first + rows, which, sizes[which] + 1.0))
         for _ in range(s.rounds):
             used = sum((lattice.expected(q, weights.astype(float)) for lattice, weights in lattices), np.zeros(len(p)))
             q = (np.maximum(used / max(used.sum(), 1.0), s.floor))[:, None]
             q /= q.sum()
         p[:, j] = q[:, 0]
-    return Identifier(languages, p, path, s)
+        own, size = np.zeros(len(texts)), np.zeros(len(texts))
+        for (lattice, _), (rows, which, sizes) in zip(lattices, words, strict=True):
+            own += np.bincount(rows, weights=lattice.logs(q)[which, 0], minlength=len(texts))
+            size += np.bincount(rows, weights=sizes, minlength=len(texts))
+        if size.any():
+            least[j] = np.quantile(own[size > 0] / size[size > 0], 0.01) - s.margin
+    return Identifier(languages, p, least, path, s)
 
 
 def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,7 +261,7 @@ def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Pieces(shared.value.path, shared.value.longest)
         for batch in batches:
-            best, share = shared.value.identify(batch.column(1), vocabulary)
+            best, share, _ = shared.value.identify(batch.column(1), vocabulary)
             names = pa.array([*shared.value.languages, "und"])
             yield pa.RecordBatch.from_arrays([batch.column(0), names.take(pa.array(np.where(best < 0, len(names) - 1, best))), pa.array(share)], [id_col, "lang_pred", "score"])
 
@@ -258,7 +269,7 @@ def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_co
 
 
 def keep_identified(docs: DataFrame, model: Identifier, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows with a language of at least `min_score`, with all their columns; `und` goes."""
+    """The rows with a language of at least `min_score` that fit it, with all their columns; `und` and texts foreign to all languages go."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -266,8 +277,8 @@ def keep_identified(docs: DataFrame, model: Identifier, min_score: float = 0.5,
         vocabulary = Pieces(shared.value.path, shared.value.longest)
 
         def keep(column: pa.Array) -> pa.Array:
-            best, share = shared.value.identify(column, vocabulary)
-            return pa.array((best >= 0) & (share >= min_score))
+            best, share, fits = shared.value.identify(column, vocabulary)
+            return pa.array((best >= 0) & (share >= min_score) & fits)
 
         return keep
 

@@ -173,6 +173,18 @@ def test_every_language_is_learned_from_what_it_has(spark, monkeypatch):
     assert found.filter("lang_pred <> lang").count() == 0
 
 
+def test_foreign_and_random_texts_are_not_kept(spark, docs):
+    rng = np.random.default_rng(1)
+    drawn = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9))) for _ in range(80)) for _ in range(20)]
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto " * 5
+    russian = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью " * 5
+    foreign = spark.createDataFrame([(k, t) for k, t in enumerate([*drawn, finnish, russian])], "doc_id long, text string")
+    model = li.learn_languages(docs, F.lit(True))
+    assert li.keep_identified(foreign, model).count() == 0
+    good = qr.keep_good(docs)
+    assert li.keep_identified(good, model).count() >= 0.99 * good.count()
+
+
 def test_forward_algorithm_by_force():
     s = li.Settings()
     vocabulary = li.Pieces(None, s.longest_piece)
