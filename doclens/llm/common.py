@@ -33,9 +33,11 @@ _temporary: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one temporary folder where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one temporary folder on a local master (tests); a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _temporary:
             _temporary.append(tempfile.mkdtemp(prefix="doclens-"))
         found = _temporary[0]
@@ -52,7 +54,16 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     path = scratch(spark, name)
     writer = df.write.option("compression", "zstd") if partition_by is None else df.write.option("compression", "zstd").partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if partition_by is None else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if partition_by is None else spark.read.parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what cut() wrote for these frames. To be called once all that reads them has been written itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -73,13 +84,35 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-#: Rows of a few numbers that a join may broadcast (some 50 MB), checked by counting; more go through a shuffle.
-BROADCAST_ROWS = 500_000
+#: Of a key's rows, those with more than 1/HOT of all rows are hot; there are fewer than HOT such keys.
+HOT = 1000
+
+
+def look_up(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
+    """rows (key never null) with the columns of facts (one row a key; `held` is its number of rows in rows), which every key has.
+
+    The facts of hot keys, fewer than HOT whatever the input, are broadcast, so that their rows stay where they are; all others are shuffled.
+    """
+    hot = facts.filter(F.col("held") * HOT > total).drop("held")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.drop("held"), key))
+
+
+#: Words of 64 bits in a filter, at most: its broadcast is bounded (2**20 rows of two longs) whatever the input.
+FILTER_WORDS_LOG2 = 20
+
 
+def mark_listed(rows: DataFrame, hashed: str, listed: DataFrame, n_listed: int, as_col: str) -> DataFrame:
+    """rows with a boolean `as_col`: false only where the 64-bit hash in column `hashed` is not in `listed` (one column of that name).
 
-def small_side(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast only if it has at most BROADCAST_ROWS rows. To be called on narrow, written tables."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    A Bloom filter of one bit a hash, in tables: words of 64 bits, four or so listed hashes a word, until the bound is met. Beyond it
+    the filter lets more rows through, and the caller's exact join does more work, with the same result.
+    """
+    log2 = max(6, min(FILTER_WORDS_LOG2, (n_listed // 4).bit_length()))
+    place = lambda c: F.shiftrightunsigned(c, 64 - log2)
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} & 63 AS int))")
+    words = listed.select(place(hashed).alias("filter_word"), bit(f"`{hashed}`").alias("bit")).groupBy("filter_word").agg(F.bit_or("bit").alias("filter_bits"))
+    joined = rows.join(F.broadcast(words), place(hashed) == F.col("filter_word"), "left")
+    return joined.withColumn(as_col, F.coalesce(F.col("filter_bits").bitwiseAND(bit(f"`{hashed}`")) != 0, F.lit(False))).drop("filter_word", "filter_bits")
 
 
 def text_of(name: str = "text") -> Column:

@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doclens.llm.common import cut
+from doclens.llm.common import cut, discard
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, label (the smallest node reachable) for every node of edges (a long, b long).
 
     Each round takes the smallest label among a node's neighbours, then the label of that label, so long chains shorten
-    by halves. Labels are written to the shared folder each round, which also ends the lineage.
+    by halves. Labels are written to the shared folder each round, which also ends the lineage. The joins are on written
+    tables, so that Spark can split the centre of a star and a label that many nodes share.
     """
     once = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    once = cut(once, "edges")
-    both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut(once.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*"), "edges")
     labels = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
     for _ in range(most_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        least = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        least = cut(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
         of = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
         jumped = cut(least.join(of, "label").select("node", "old", F.least("label", "next").alias("label")), "labels")
+        discard(labels, least)
         labels = jumped.select("node", "label")
+        labels._scratch = jumped._scratch
         if jumped.filter("old <> label").isEmpty():
+            discard(both)
             return labels
     raise RuntimeError(f"components: labels still change after {most_rounds} rounds")

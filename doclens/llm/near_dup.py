@@ -8,9 +8,13 @@ result is the connected component of every text. No link is lost:
    hash; the part is 1.7 times what a prefix takes. The counts come from `tally`, so that they cover all texts and grow with them. Elements of one set only are
    left out at once; a text without near copies thus leaves no trace, and passages that many texts share come last.
 2. Texts that share such an element are joined to clusters (`components`): a star a shared element, never its pairs.
-3. The sets of a cluster meet in one prefix tree (`trie`), which is traversed by probes until every set outside the
-   largest component was probed. Clusters beyond `group_elements` are dealt into blocks: each block is joined by itself
-   and with the cluster's pivots; then every set outside the cluster's largest component is probed against all blocks.
+3. The sets of clusters are built again from one text a node. Texts are found by a filter of bounded size on their hash; each
+   task drops the copies that it holds, the rest is shuffled to the list of wanted hashes, and the sets are written once.
+   The plan is the same for every size of input.
+4. The sets of a cluster meet in one prefix tree (`trie`), which is traversed by probes until every set outside the
+   largest component was probed. Clusters beyond `group_elements` are dealt into blocks by their rarest shared element: each
+   block is joined by itself and with the cluster's pivots; then every set outside the cluster's largest component is
+   probed against those blocks that hold a set with which it shares an element of both prefixes.
 
 Equal sets are one node throughout, so exact copies, however many, are one entry a block of input.
 
@@ -30,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import bound_batches, buckets_for, cut, give_back, small_side, table, text_of
+from doclens.llm.common import bound_batches, buckets_for, cut, discard, give_back, look_up, mark_listed, table, text_of
 from doclens.llm.components import components
-from doclens.llm.tally import PART, add_up, parts, squeeze, totals_in_order, unsqueeze
-from doclens.llm.textbytes import LOWER, SPACE, mix, pieces, prefix_hash, row_blocks, span_hash, spans, window_hash
+from doclens.llm.tally import PART, add_up, by_key, parts, squeeze, totals_in_order, unsqueeze
+from doclens.llm.textbytes import mix, pieces, row_blocks, window_hash, word_hashes
 from doclens.llm.trie import linked
 
 BLOCK = 2 << 20
-KEY_BYTES = 6
+KEY_BITS = 48
 _SHORT = np.uint64(0x5707)
 
 
@@ -51,9 +55,7 @@ class Join:
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
-    data = LOWER[data]
-    starts, ends, rows = spans(data, offsets, SPACE)
-    words = span_hash(prefix_hash(data), starts, ends)
+    words, rows = word_hashes(data, offsets)
     at = np.searchsorted(rows, np.arange(len(offsets)))
     hashes = window_hash(words, n)
     out = []
@@ -118,7 +120,7 @@ def _first_pass(join: Join, buckets: int, kind: pa.DataType | None = None):
                 keys, places, counts = np.unique(low, return_inverse=True, return_counts=True)
                 missing = np.maximum(_prefix(sizes, join.percent) - lows, 0)
                 extras = [s[k : k + m] for s, k, m in zip(sets, lows, missing, strict=True) if m]
-                rows = [(block, b, k, c, *[None] * 7) for b, k, c in parts(keys, counts, buckets, KEY_BYTES, int(first_part))]
+                rows = [(block, b, k, c, *[None] * 7) for b, k, c in parts(keys, counts, buckets, KEY_BITS, int(first_part))]
                 ids, ths = batch.column(0).slice(first, count), batch.column(2).slice(first, count)
                 docs = pa.StructArray.from_arrays([ids, ths, pa.array(of, pa.int32())], ["id", "th", "set"])
                 rows.append((block, -1, None, None, 0, np.array(list(place), dtype="<i8").tobytes(), sizes.astype("<u4").tobytes(), lows.astype("<u4").tobytes(), squeeze(places.astype("<u4")), b"".join(e.astype("<u8").tobytes() for e in extras), missing.astype("<u4").tobytes()))
@@ -145,9 +147,9 @@ def _postings(join: Join):
             places = unsqueeze(row["places"], "<u4").astype(np.int64)
             held_by, keys = totals_in_order(own, shared=2)
             of = np.repeat(np.arange(len(names)), lows)
-            held = np.minimum(held_by[places], (1 << 16) - 1) if len(places) else places
-            order = np.sort(of << 40 | held << 24 | places)  # sets have under 2**23 a block; rarest first, then by hash
-            of, held, places = order >> 40, order >> 24 & 0xFFFF, order & 0xFFFFFF
+            held = held_by[places] if len(places) else places
+            order = np.lexsort((places, held, of))  # rarest first, then by hash
+            of, held, places = of[order], held[order], places[order]
             position = np.arange(len(of)) - np.repeat(np.cumsum(lows) - lows, lows)
             chosen = (position < _prefix(sizes, join.percent)[of]) & (held > 1) if len(of) else np.zeros(0, bool)
             tokens += [keys[places[chosen]], np.frombuffer(row["extras"], dtype="<u8")]
@@ -157,23 +159,31 @@ def _postings(join: Join):
     return run
 
 
-def _edges_of(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """Links (a, b) inside the groups of `wanted` (th, node, grp, part, probe): one text a node, its set built again.
+def _texts_of(docs: DataFrame, listed: DataFrame, n_listed: int) -> DataFrame:
+    """th, t of one text for each th of listed (a written table of distinct th), or few more texts."""
+    texts = docs.select(text_of("text").alias("t")).withColumn("th", F.xxhash64("t"))
+    found = mark_listed(texts, "th", listed.select("th"), n_listed, "wanted").filter("wanted")
+    return found.groupBy("th").agg(F.min("t").alias("t"))
+
 
-    Sets of the same grp and part are joined; where some are probes, only those against all.
-    """
+def _build(rows: DataFrame, join: Join) -> DataFrame:
+    """rows (t and others) with `elements`, the set of t, in place of t."""
+    names = [c for c in rows.columns if c != "t"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple] = set()
         for batch in batches:
-            node, grp, part = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            fresh = [k for k, key in enumerate(zip(node, grp, part, strict=True)) if not (key in sent or sent.add(key))]
-            batch = batch.take(pa.array(fresh, pa.int64()))
             for first, data, offsets in pieces(batch.column(0), BLOCK):
                 sets = [s.astype("<u8").tobytes() for s in _sets(data, offsets, join.n)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(sets)) for k in (1, 2, 3, 4)), pa.array(sets, pa.binary())], ["node", "grp", "part", "probe", "elements"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k + 1).slice(first, len(sets)) for k in range(len(names))), pa.array(sets, pa.binary())], [*names, "elements"])
         give_back()
 
+    kept = rows.select("t", *names)
+    return kept.mapInArrow(build, ", ".join(f"{c} {kind}" for c, kind in kept.drop("t").dtypes) + ", elements binary")
+
+
+def _links(sets: DataFrame, join: Join, tasks: int) -> DataFrame:
+    """Links (a, b) among sets (node, grp, part, probe, elements) of the same grp and part; where some are probes, only those against all."""
+
     def meet(_: tuple, group: pa.Table) -> pa.Table:
         a, b = [], []
         group = group.sort_by([("part", "ascending"), ("node", "ascending")])
@@ -187,53 +197,60 @@ def _edges_of(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
             starts = np.flatnonzero(np.append(True, part[rows][1:] != part[rows][:-1]))
             elements = group.column("elements")
             for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
-                sets = [np.frombuffer(elements[r].as_py(), dtype="<u8") for r in rows[lo:hi].tolist()]
+                found = [np.frombuffer(elements[r].as_py(), dtype="<u8") for r in rows[lo:hi].tolist()]
                 mask = probes[lo:hi] if probes[lo:hi].any() else None
-                for k, r in enumerate(linked(sets, join.percent, mask)):
+                for k, r in enumerate(linked(found, join.percent, mask)):
                     if r != k:
                         a.append(node[rows[lo + k]])
                         b.append(node[rows[lo + r]])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    texts = docs.select(text_of("text").alias("t")).withColumn("th", F.xxhash64("t"))
-    found = texts.join(small_side(cut(wanted, "wanted")), "th").select("t", "node", "grp", "part", "probe")
-    return found.mapInArrow(build, "node long, grp long, part long, probe boolean, elements binary").groupBy("grp").applyInArrow(meet, "a long, b long")
+    return by_key(sets.select("node", "grp", "part", "probe", "elements"), "grp", tasks).groupBy("grp").applyInArrow(meet, "a long, b long")
 
 
-def _clusters(docs: DataFrame, rows: DataFrame, labels: DataFrame, join: Join) -> DataFrame:
-    """node, component of the nodes in clusters (labels: node, label)."""
-    known = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("th").alias("th"), F.min("n").alias("n"))
-    members = cut(labels.join(known, "node"), "members")
-    sized = members.groupBy("label").agg(F.sum("n").alias("elements"))
-    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    groups = max(1, -(-int(total) // (join.group_elements // 2)))
+def _clusters(docs: DataFrame, known: DataFrame, labels: DataFrame, postings: DataFrame, join: Join) -> DataFrame:
+    """node, label of the linked nodes in clusters (labels: node, label; known: node, th, n)."""
+    members = cut(labels.join(known.select("node", "th", "n"), "node"), "members")
+    sized = cut(members.groupBy("label").agg(F.sum("n").alias("elements")), "clusters")
+    got = members.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("c")).first()
+    total = int(got["n"])
+    groups = max(1, -(-total // (join.group_elements // 2)))
+    tasks = max(8, total >> 20)
     dealt = members.join(sized.withColumn("blocks", F.ceil(F.col("elements") / join.group_elements).cast("long")), "label")
-    small = dealt.filter("blocks = 1").select("th", "node", F.pmod(F.xxhash64("label"), F.lit(groups)).alias("grp"), F.col("label").alias("part"), F.lit(False).alias("probe"))
-    large = cut(dealt.filter("blocks > 1").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))), "large")
-    if large.isEmpty():
-        return components(_edges_of(docs, small, join))
+    lone = F.col("blocks") == 1
+    rarest = postings.groupBy("node").agg(F.min(F.xxhash64("token")).alias("home"))  # near copies most often share it
+    dealt = dealt.join(rarest, "node").withColumn("block", F.when(lone, 0).otherwise(F.pmod("home", F.col("blocks"))))
     part = lambda *c: F.xxhash64(*c)
-    ranked = large.groupBy("label", "blocks").agg(F.min_by("node", F.xxhash64("node", F.lit(1))).alias("p0"), *(F.min_by("node", F.xxhash64("node", F.lit(k + 1))).alias(f"p{k}") for k in range(1, join.pivots)))
-    pivots = ranked.select("label", "blocks", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(join.pivots))))).alias("node"))
-    pivots = pivots.join(large.select("node", "th"), "node").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    first = large.select("th", "node", "label", "block").unionByName(pivots.select("th", "node", "label", "block"))
-    first = first.select("th", "node", part("label", "block").alias("grp"), part("label", "block").alias("part"), F.lit(False).alias("probe"))
-    edges = cut(_edges_of(docs, small.unionByName(first), join), "links")
-
-    at = large.join(components(edges).select("node", F.col("label").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    dealt = dealt.withColumn("grp", F.when(lone, F.pmod(F.xxhash64("label"), F.lit(groups))).otherwise(part("label", "block"))).withColumn("part", F.when(lone, F.col("label")).otherwise(part("label", "block")))
+    texts = _texts_of(docs, members, int(got["c"])).join(dealt.select("th", "node", "label", "n", "blocks", "block", "grp", "part"), "th")
+    sets = cut(_build(texts.drop("th"), join).withColumn("probe", F.lit(False)), "sets")
+    discard(sized)
+    large = sets.filter("blocks > 1")
+    if large.isEmpty():
+        return components(_links(sets, join, tasks))
+    ranked = large.groupBy("label", "blocks").agg(*(F.min_by("node", F.xxhash64("node", F.lit(k + 1))).alias(f"p{k}") for k in range(join.pivots)))
+    pivots = cut(ranked.select("label", "blocks", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(join.pivots))))).alias("node")), "pivots")
+    spread = large.join(pivots.select("node"), "node").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    spread = spread.withColumn("grp", part("label", "block")).withColumn("part", F.col("grp"))
+    edges = cut(_links(sets.unionByName(spread.select(sets.columns)), join, tasks), "links")
+
+    at = large.select("node", "label", "n", "block").join(components(edges).select("node", F.col("label").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     at = cut(at, "placed")
-    largest = at.groupBy("label", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("label").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"))
-    outside = at.join(largest, "label").filter("comp <> largest")
+    largest = cut(at.groupBy("label", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("label").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest")), "largest")
+    outside = cut(at.join(largest, "label").filter("comp <> largest").select("node", "label", "n", F.col("block").alias("own")), "outside")
     if outside.isEmpty():
         return components(edges)
-    # Every set outside its cluster's largest component meets all blocks, in runs of a block's elements.
-    runs = outside.groupBy("label").agg(F.ceil(F.sum("n") / join.group_elements).cast("long").alias("runs"))
-    probes = outside.join(runs, "label").withColumn("run", F.pmod(F.xxhash64("node", F.lit(9)), F.col("runs"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    held = at.join(runs, "label").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)))
-    second = held.select("th", "node", "label", "block", "run", F.lit(False).alias("probe")).unionByName(probes.select("th", "node", "label", "block", "run", F.lit(True).alias("probe")))
+    # A set outside its cluster's largest component meets the other blocks that hold one of its shared prefix elements, in runs of a block's elements.
+    held = cut(postings.join(at.select("node", "block"), "node").select("token", "block").distinct(), "token-blocks")
+    visits = cut(postings.join(outside, "node").join(held, "token").filter("block <> own").select("node", "label", "n", "block").distinct(), "visits")
+    runs = visits.groupBy("label", "block").agg(F.ceil(F.sum("n") / join.group_elements).cast("long").alias("runs"))
+    probes = visits.join(runs, ["label", "block"]).withColumn("run", F.pmod(F.xxhash64("node", F.lit(9)), F.col("runs")))
+    base = at.select("node", "label", "block").join(runs, ["label", "block"]).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)))
     key = part("label", "block", "run")
-    more = _edges_of(docs, second.select("th", "node", key.alias("grp"), key.alias("part"), "probe"), join)
-    return components(edges.unionByName(more))
+    second = probes.select("node", key.alias("grp"), F.lit(True).alias("probe")).unionByName(base.select("node", key.alias("grp"), F.lit(False).alias("probe")))
+    again = cut(second.withColumn("part", F.col("grp")), "second")
+    visited = runs.agg(F.coalesce(F.sum("runs"), F.lit(0))).first()[0]  # groups of two blocks' elements at most: a task each
+    return components(edges.unionByName(_links(again.join(large.select("node", "elements"), "node"), join, max(8, int(visited)))))
 
 
 def near_duplicates(docs: DataFrame, join: Join | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,15 +259,18 @@ def near_duplicates(docs: DataFrame, join: Join | None = None, id_col: str = "do
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    buckets = buckets_for(docs, 4 << 20)
+    buckets = buckets_for(docs, 8 << 20)
     keyed = docs.select("id", "text", F.xxhash64(text_of("text")).alias("th"))
     held = cut(keyed.mapInArrow(_first_pass(join, buckets), _HELD.replace("KIND", kind)), "shingles")
 
-    own = add_up(held.filter("bucket >= 0"), width=KEY_BYTES, shared=2)
+    own = add_up(held.filter("bucket >= 0"), buckets, bits=KEY_BITS, shared=2)
     meta = held.filter("bucket = -1").select("block", "nodes", "sizes", "lows", "places", "extras", "n_extras")
-    postings = cut(meta.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_postings(join), "token long, node long"), "postings")
-    stars = postings.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("other")).filter("b < other").select("token", "b")
-    labels = components(postings.join(stars, "token").select(F.col("node").alias("a"), "b"))
+    meet = by_key(meta, "block", buckets).groupBy("block").cogroup(by_key(own, "block", buckets).groupBy("block"))
+    postings = cut(meet.applyInArrow(_postings(join), "token long, node long"), "postings")
+    stars = cut(postings.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("other")).filter("b < other").select("token", "b"), "stars")
+    shared = cut(postings.join(stars, "token").select("token", "node", "b"), "shared")
+    discard(postings, stars)
+    labels = components(shared.select(F.col("node").alias("a"), "b"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,26 +284,40 @@ def near_duplicates(docs: DataFrame, join: Join | None = None, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([docs_of.field("id"), docs_of.field("th"), pa.array(np.where(none, 0, sizes[pick])), pa.array(nodes[pick], mask=none)], ["id", "th", "n", "node"])
 
     rows = cut(held.filter("bucket = -1").select("docs", "nodes", "sizes").mapInArrow(expand, f"id {kind}, th long, n long, node long"), "documents")
-    found = _clusters(docs, rows, labels, join).withColumnRenamed("label", "comp")
-    grouped = rows.join(found, "node", "left").select("id", "th", "n", F.coalesce("comp", "node").alias("grp"))
-    smallest = grouped.filter("grp IS NOT NULL").groupBy("grp").agg(F.min("id").alias("least"))
-    out = grouped.join(smallest, "grp", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("grp").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), "th", "grp")
+    discard(held)
+    filled, bare = rows.filter("node IS NOT NULL"), rows.filter("node IS NULL")
+    known = cut(filled.groupBy("node").agg(F.min("th").alias("th"), F.min("n").alias("n"), F.min("id").alias("own_least"), F.count(F.lit(1)).alias("held")), "nodes")
+    found = cut(_clusters(docs, known, labels, shared.select("token", "node"), join).withColumnRenamed("label", "grp"), "grouped")
+    named = cut(found.join(known.select("node", "own_least"), "node"), "named")
+    least = cut(named.groupBy("grp").agg(F.min("own_least").alias("least")), "least")
+    of_node = cut(named.join(least, "grp").select("node", "grp", "least"), "of-node")
+    facts = cut(known.select("node", "own_least", "held").join(of_node, "node", "left").select("node", "held", F.coalesce("grp", "node").alias("grp"), F.when(F.col("grp").isNull(), F.col("own_least")).otherwise(F.col("least")).alias("component_id")), "facts")
+    total = known.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+    out = look_up(filled, facts, "node", int(total)).select("id", "n", "component_id", "th", "grp")
+    out = out.unionByName(bare.select("id", "n", F.col("id").alias("component_id"), "th", F.lit(None).cast("long").alias("grp")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "th", "grp")
 
 
 def keep_one(docs: DataFrame, join: Join | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, that of the smallest id (null ids last), with all its columns. Rows without shingles stay."""
-    found = cut(near_duplicates(docs, join, id_col, text_col).select(F.col(id_col).alias("drop_id"), F.col("th").alias("drop_th"), "grp"), "components")
+    found = near_duplicates(docs, join, id_col, text_col).select(F.col(id_col).alias("drop_id"), F.col("th").alias("drop_th"), "grp").filter("grp IS NOT NULL")
     keys = ["drop_id", "drop_th"]
-    inside = found.filter("grp IS NOT NULL").groupBy("grp", *keys).agg(F.count(F.lit(1)).alias("c"))
-    first = inside.groupBy("grp").agg(F.min(F.struct(F.col("drop_id").isNull().alias("none"), *keys)).alias("w"), F.count(F.lit(1)).alias("rows"), F.max("c").alias("copies")).filter("rows > 1 OR copies > 1")
+    inside = cut(found.groupBy("grp", *keys).agg(F.count(F.lit(1)).alias("c")), "components")
+    first = inside.groupBy("grp").agg(F.min(F.struct(F.col("drop_id").isNull().alias("none"), *keys)).alias("w"), F.count(F.lit(1)).alias("held"), F.max("c").alias("copies"))
+    first = cut(first, "firsts")
+    several = first.filter("held > 1 OR copies > 1")
+    total = several.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
     # Listed are only the rows of components of more than one: the kept one where it is repeated, and those that go.
-    listed = inside.join(first.select("grp", "w"), "grp").withColumn("goes", ~(F.col("drop_id").eqNullSafe(F.col("w.drop_id")) & (F.col("drop_th") == F.col("w.drop_th")))).filter("goes OR c > 1")
-    listed = small_side(cut(listed.select(*keys, "goes"), "dropped"))
+    inside = inside.join(several.select("grp"), "grp", "left_semi")
+    listed = look_up(inside, several.select("grp", "w", "held"), "grp", int(total)).withColumn("goes", ~(F.col("drop_id").eqNullSafe(F.col("w.drop_id")) & (F.col("drop_th") == F.col("w.drop_th")))).filter("goes OR c > 1")
+    listed = cut(listed.select(*keys, "goes"), "dropped")
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("held"), F.col(f"`{id_col}`").alias("row_id"), F.xxhash64(text_of(f"`{text_col}`")).alias("row_th"))
-    marked = held.join(listed, (held["row_th"] == listed["drop_th"]) & held["row_id"].eqNullSafe(listed["drop_id"]), "left").filter("goes IS NULL OR NOT goes")
+    # Rows whose text is listed nowhere stay where they are; the others are shuffled to the list, by id too, so that copies part.
+    marked = mark_listed(held, "row_th", listed.select(F.col("drop_th").alias("row_th")), listed.count(), "maybe")
+    some = marked.filter("maybe")
+    some = some.join(listed, (some["row_th"] == listed["drop_th"]) & some["row_id"].eqNullSafe(listed["drop_id"]), "left").filter("goes IS NULL OR NOT goes")
     # `goes` is null for a row that is listed nowhere; a repeated kept row loses its repetitions
-    once = marked.filter("goes IS NULL").select("held").unionByName(marked.filter("NOT goes").dropDuplicates(["row_id", "row_th"]).select("held"))
+    once = marked.filter("NOT maybe").select("held").unionByName(some.filter("goes IS NULL").select("held")).unionByName(some.filter("NOT goes").dropDuplicates(["row_id", "row_th"]).select("held"))
     return once.select(*(F.col(f"held.`{c}`").alias(c) for c in docs.columns))
 
 

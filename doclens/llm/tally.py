@@ -23,23 +23,24 @@ TOTALS = "block long, bucket int, totals binary"
 def squeeze(a: np.ndarray) -> bytes:
     """The array's bytes, all first bytes, then all second bytes and so on, compressed."""
     planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
-    return len(planes).to_bytes(8, "little") + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+    packed = pa.compress(planes, "zstd", asbytes=True) if len(planes) > 64 else planes
+    return len(planes).to_bytes(8, "little") + packed
 
 
 def unsqueeze(data: bytes, kind: str) -> np.ndarray:
     size, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True) if size else b"", dtype=np.uint8)
+    planes = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True) if size > 64 else data[8:], dtype=np.uint8)
     return np.ascontiguousarray(planes.reshape(width, -1).T).reshape(-1).view(kind)
 
 
-def parts(keys: np.ndarray, counts: np.ndarray, buckets: int, width: int = 8, limit: int = 1 << 64) -> Iterator[tuple[int, bytes, bytes]]:
+def parts(keys: np.ndarray, counts: np.ndarray, buckets: int, bits: int = 64, limit: int = 1 << 64) -> Iterator[tuple[int, bytes, bytes]]:
     """(bucket, keys, counts) of sorted distinct keys below `limit`, which the buckets share evenly.
 
-    Of each key its `width` high bytes are sent; keys equal in them share a total.
+    Of each key its `bits` high bits are sent; keys equal in them share a total.
     """
     bounds = np.array([b * limit // buckets for b in range(1, buckets)], dtype=np.uint64)
     at = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-    high = keys >> np.uint64(64 - 8 * width)
+    high = keys >> np.uint64(64 - bits)
     for b, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
         if hi > lo:
             yield b, squeeze(np.diff(high[lo:hi], prepend=np.uint64(0))), squeeze(counts[lo:hi].astype("<u4"))
@@ -52,26 +53,47 @@ def joined(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(arrays) if arrays else np.zeros(0, dtype=kind)), np.cumsum(sizes)
 
 
-def add_up(spread: DataFrame, stats_of: Callable | None = None, stats: str = "", width: int = 8, shared: int = 0) -> DataFrame:
+def by_key(df: DataFrame, key: str, tasks: int) -> DataFrame:
+    """df dealt to `tasks` tasks by key: a number that the caller derives from the size of its input, so that no task grows with it."""
+    return df.repartition(max(1, tasks), key)
+
+
+def _totals(arrays: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of sorted key arrays with counts: each one's totals, and the totals of the distinct keys. Keys are added up range by range."""
+    size = sum(map(len, arrays))
+    n = max(1, size >> 20)
+    longest = max(arrays, key=len)
+    edges = [longest[len(longest) * k // n] for k in range(1, n)]
+    cuts = [[0, *np.searchsorted(a, np.array(edges, dtype=np.uint64)).tolist(), len(a)] for a in arrays]
+    back, distinct = [np.empty(len(a), dtype="<i8") for a in arrays], []
+    for k in range(n):
+        own = [slice(c[k], c[k + 1]) for c in cuts]
+        keys = np.concatenate([a[s] for a, s in zip(arrays, own, strict=True)])
+        _, which = np.unique(keys, return_inverse=True)
+        sums = np.bincount(which, weights=np.concatenate([c[s] for c, s in zip(counts, own, strict=True)])).astype("<i8")
+        distinct.append(sums)
+        at = 0
+        for b, s in zip(back, own, strict=True):
+            b[s] = sums[which[at : at + s.stop - s.start]]
+            at += s.stop - s.start
+    return back, np.concatenate(distinct)
+
+
+def add_up(spread: DataFrame, tasks: int, stats_of: Callable | None = None, stats: str = "", bits: int | Callable[[int], int] = 64, shared: int = 0) -> DataFrame:
     """Rows of TOTALS from rows of PART. `stats_of` (totals of the bucket's distinct keys -> integers) adds a row of block -1 a bucket.
 
-    With `shared`, the column of that name holds each block's keys (their `width` high bytes) of at least that total.
+    With `shared`, the column of that name holds each block's keys (their `bits` high bits) of at least that total.
     """
     names = [f.split()[0] for f in stats.split(",") if f.strip()]
-    shift = np.uint64(64 - 8 * width)
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
+        shift = np.uint64(64 - (bits(key[0].as_py()) if callable(bits) else bits))
         arrays = [np.cumsum(unsqueeze(x, "<u8"), dtype=np.uint64) << shift for x in group.column("keys").to_pylist()]
-        keys, at = np.concatenate(arrays), np.cumsum([0, *map(len, arrays)])
-        counts, _ = joined(group.column("counts"), "<u4")
-        _, which = np.unique(keys, return_inverse=True)
-        sums = np.bincount(which, weights=counts).astype("<i8")
-        back = sums[which]
+        back, sums = _totals(arrays, [unsqueeze(x, "<u4") for x in group.column("counts").to_pylist()])
         blocks = group.column("block").to_pylist()
-        cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
-        out = {"block": blocks, "bucket": [key[0].as_py()] * len(blocks), "totals": [squeeze(back[a:b]) for a, b in cuts]}
+        out = {"block": blocks, "bucket": [key[0].as_py()] * len(blocks), "totals": [squeeze(b) for b in back]}
         if shared:
-            out["shared"] = [squeeze(keys[a:b][back[a:b] >= shared]) for a, b in cuts]
+            out["shared"] = [squeeze(a[b >= shared]) for a, b in zip(arrays, back, strict=True)]
         out |= {n: [None] * len(blocks) for n in names}
         if stats_of is not None:
             last = {"block": -1, "bucket": key[0].as_py()} | dict(zip(names, map(int, stats_of(sums)), strict=True))
@@ -81,7 +103,7 @@ def add_up(spread: DataFrame, stats_of: Callable | None = None, stats: str = "",
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out.values(), types, strict=True)], names=list(out))
 
     schema = TOTALS + ", shared binary" * bool(shared) + (f", {stats}" if stats else "")
-    return spread.select("block", "bucket", "keys", "counts").groupBy("bucket").applyInArrow(run, schema)
+    return by_key(spread.select("block", "bucket", "keys", "counts"), "bucket", tasks).groupBy("bucket").applyInArrow(run, schema)
 
 
 def totals_in_order(group: pa.Table, shared: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -127,6 +127,41 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def ranges(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `most` bytes that end between words or rows; where one word is longer, it stays whole."""
+    n, at = len(data), 0
+    while at < n:
+        to = min(n, at + most)
+        if to < n:
+            row = max(at, int(offsets[np.searchsorted(offsets, to, "right") - 1]))
+            gaps = np.flatnonzero(apart[data[row:to]])
+            to = row + int(gaps[-1]) + 1 if len(gaps) else row
+            if to <= at:  # one word so far: on to its end
+                ahead = int(offsets[np.searchsorted(offsets, at + most, "right")])
+                gaps = np.flatnonzero(apart[data[at + most : ahead]])
+                to = at + most + int(gaps[0]) if len(gaps) else ahead
+        yield at, to
+        at = to
+
+
+def rows_within(offsets: np.ndarray, at: int, to: int) -> tuple[int, np.ndarray]:
+    """The first row that has bytes of the range, and the offsets, within it, of that row and the others that have."""
+    first, last = int(np.searchsorted(offsets, at, "right")) - 1, int(np.searchsorted(offsets, to, "left"))
+    return first, np.clip(offsets[first : last + 1], at, to) - at
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word of the texts, A-Z lower-cased. What is worked on at once is bounded, so the memory for a long text is that of its words' hashes."""
+    hashes, rows = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+    for at, to in ranges(data, offsets, apart, most):
+        part = LOWER[data[at:to]]
+        first, own = rows_within(offsets, at, to)
+        a, b, r = spans(part, own, apart)
+        hashes.append(span_hash(prefix_hash(part), a, b))
+        rows.append(r + first)
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
 _STEP = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64) | 1) for k in range(64)]
 
 
