@@ -7,6 +7,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import EXTRA, SCHEMA, components_by_force, odd_rows, shingles, space_words, with_extras
 from hypothesis import given, settings
@@ -22,6 +23,7 @@ from doclens.llm import sharding as sh
 from doclens.llm import tally, trie, warc
 from doclens.llm.common import crc_mod, cut, scratch
 from doclens.llm.queries import oracle_sql, queries
+from doclens.llm.textbytes import column_bytes
 
 SF = "/root/testdata/sf0.001"
 PAGES = "page_id long, url string, html string, header string, payload_key string"
@@ -262,8 +264,8 @@ def test_trie_search_by_force():
 
 def test_tally_round_trip():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64) << np.uint64(1))
-    for width in (6, 8):
-        shift = np.uint64(64 - 8 * width)
+    for width in (41, 48, 64):
+        shift = np.uint64(64 - width)
         got = np.concatenate([np.cumsum(tally.unsqueeze(k, "<u8"), dtype=np.uint64) << shift for _, k, _ in tally.parts(keys, np.ones(1000), 7, width)])
         assert (got == keys >> shift << shift).all()
     assert len(tally.unsqueeze(tally.squeeze(np.zeros(0, "<u4")), "<u4")) == 0
@@ -275,28 +277,30 @@ def test_tally_round_trip():
 def lm_by_force(rows, learn, model):
     texts = [[*space_words(t), None] for _, t in rows]
     taught = [w for w, r in zip(texts, rows, strict=True) if learn(r[0])]
-    counts = collections.Counter(w for text in taught for w in text)
-    n, v = sum(counts.values()), len(counts)
-    frequent = {w for w, c in counts.items() if c >= model.min_count}
-    name = lambda w: ("word", w) if w in frequent else "rare"
-    pairs = collections.Counter((h, name(w)) for text in taught for h, w in zip(["start", *map(name, text[:-1])], text, strict=True))
-    p1 = lambda w: (counts[w] + 1) / (n + v + 1)
-    rare_mass = 1 - sum(map(p1, frequent))
+    c1 = collections.Counter(w for text in taught for w in text)
+    c2 = collections.Counter(p for text in taught for p in zip([0, *text[:-1]], text, strict=True))
+    c3 = collections.Counter(p for text in taught for p in zip([0, *text[:-2]], text[:-1], text[1:]))  # noqa: B905
+    n, v = sum(c1.values()), len(c1)
+    p1 = lambda w: (c1[w] + 1) / (n + v + 1)
+    first = lambda h: c1[h] if h else len(taught)
     out = []
     for text in texts:
         base = score = 0.0
-        for h, w in zip(["start", *text[:-1]], text, strict=True):
-            before = len(taught) if h == "start" else counts[h] if h in frequent else 0
-            key = ("start" if h == "start" else name(h), name(w))
-            inside = 1 if w in frequent else p1(w) / rare_mass
-            score += math.log10(model.mix * pairs[key] / before * inside + (1 - model.mix) * p1(w) if before else p1(w))
+        for k, w in enumerate(text):
+            h = text[k - 1] if k else 0
+            p = (c2[h, w] + model.pair_weight * p1(w)) / (first(h) + model.pair_weight)
+            if k:
+                g = text[k - 2] if k > 1 else 0
+                p = (c3[g, h, w] + model.triple_weight * p) / (c2[g, h] + model.triple_weight)
+            score += math.log10(p)
             base += math.log10(p1(w))
-        out.append((len(text), sum(counts[w] > 0 for w in text), n, base, score))
+        out.append((len(text), sum(c1[w] > 0 for w in text), n, base, score))
     return out
 
 
-@pytest.mark.parametrize("model", [lm.Model(), lm.Model(min_count=2, mix=0.8)])
-def test_language_model_by_force(spark, docs, model):
+@pytest.mark.parametrize("model", [lm.Model(), lm.Model(pair_weight=2, triple_weight=0.5, segment=2)])
+def test_language_model_by_force(spark, docs, model, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 100_000)
     frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([r[:2] for r in odd_rows() if r[0] is not None], "doc_id long, text string").withColumn("doc_id", F.col("doc_id") + 10_000)).repartition(3)
     rows = [tuple(r) for r in frame.collect()]
     learn = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
@@ -307,6 +311,30 @@ def test_language_model_by_force(spark, docs, model):
         assert any(g == pytest.approx(want, rel=1e-9, abs=1e-6) for g in got[doc_id])
 
 
+def test_probabilities_of_every_state_sum_to_one(docs):
+    rows = [r["text"] for r in docs.select("text").limit(40).collect()]
+    data, offsets = column_bytes(pa.array(rows))
+    row = dict(zip(lm.COLUMNS, lm.block_row(data, offsets, np.array([k % 5 != 0 for k in range(len(rows))], dtype=np.uint8)), strict=True)) | {"docs": rows}
+    block = lm.Block(row)
+    words, pairs, triples = block.counts()
+    n, v = int(words.sum()), int((words > 0).sum())
+    machine = lm.Automaton(block, words, pairs, triples, n, v, 32, lm.Model())
+    arcs = collections.defaultdict(dict)
+    for s, w, weight in zip(machine.arc_from.tolist(), machine.arc_word.tolist(), machine.arc_weight.tolist(), strict=True):
+        if s or words[w]:
+            arcs[s][w] = 10**weight
+    known = {0: arcs[0]}
+    assert sum(arcs[0].values()) == pytest.approx(1 - 1 / (n + v + 1))  # all but the share of unknown words
+    for order in (1, 2):
+        for s in np.flatnonzero(machine.order == order)[:300].tolist():
+            fail, to = 10 ** machine.fail_weight[s], int(machine.fail_to[s])
+            if to not in known:
+                known[to] = {w: 10 ** machine.fail_weight[to] * p for w, p in arcs[0].items()} | arcs[to]
+            known[s] = {w: fail * p for w, p in known[to].items()} | arcs[s]
+            unknown = fail * (10 ** machine.fail_weight[to] if to else 1.0) / (n + v + 1)
+            assert sum(known[s].values()) + unknown == pytest.approx(1)
+
+
 def test_language_model_of_odd_tables(spark):
     odd = spark.createDataFrame(with_extras(odd_rows()), EXTRA)
     found = lm.language_model_scores(odd, crc_mod("doc_id", 7) != 2).collect()
