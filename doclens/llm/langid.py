@@ -1,18 +1,23 @@
 """Operator 2, language identification by segmentation-marginalised unigrams.
 
 The pieces are those of a fixed public byte-level vocabulary that consist of letters (or bytes beyond ASCII), lower-case,
-with or without the leading space that starts a word, as far as they fit in a word (30,888 of 30,891 do). Each language has a probability for every piece, learned by
+with or without the leading space that starts a word. Each language has a probability for every piece, learned by
 expectation maximisation on a bounded sample of its texts. A text is scored, language by language, with the forward
 algorithm: the probability of a word is the sum over all its segmentations into pieces of the product of their
-probabilities; a text's is the product over its words. All words of a block are run through the recursion together in
+probabilities; a text's is the product over its words. The words of a block are run through the recursion together in
 numpy; equal words are computed once.
 
-Words are runs of ASCII letters and bytes beyond ASCII, lower-cased, each with a leading space; parts of `WORD` bytes of a
-longer run are words of their own, also where that is inside a character, and no segmentation crosses from one to the next. Every byte of the vocabulary is a piece, so every word has a segmentation.
+Words are runs of ASCII letters and bytes beyond ASCII, lower-cased, each with a leading space. A long run (of a script
+without spaces, say) is cut where no piece of the vocabulary reaches across, which leaves its sum over all segmentations as
+it is; parts that stay long go through the same recursion in logarithms, byte by byte. Every byte of the vocabulary is a
+piece, so every word has a segmentation.
+
+Each language is learned in a task of its own; the driver holds the finished model, one number a piece and language.
 
 Defined cases. A null text, or one without a letter, is `und` with score 0. Null languages are not learned from; without
 any learned language every text is `und`. Ties go to the language that sorts first. Rows are scored one by one, so
-repeated rows, null ids and further columns change nothing; an empty table gives an empty result.
+repeated rows, null ids and further columns change nothing; an empty table gives an empty result. A very long text is read
+in parts that end between words.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from doclens.llm.common import bound_batches, crc_mod, cut, hash_share, keep_rows, share_for, table
-from doclens.llm.textbytes import BASE, BYTE_CODE, mix, pieces, powers, prefix_hash, spans
+from doclens.llm.textbytes import BASE, BYTE_CODE, column_bytes, mix, powers, prefix_hash, ranges, rows_within, span_hash, spans
 
 BLOCK = 1 << 20
-WORD = 31
+#: Words of up to so many bytes are run together, in plain probabilities; how many at once.
+WORD, TOGETHER = 31, 1 << 15
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _NOT_LETTER = np.ones(256, dtype=bool)
 _NOT_LETTER[97:123] = False
@@ -47,22 +53,21 @@ class Settings:
 
     sample_rows: int = 400
     sample_bytes: int = 20_000
-    longest_piece: int = WORD + 1
     rounds: int = 4
     floor: float = 1e-7
     margin: float = 1.5
 
 
 class Pieces:
-    """Hashes of the vocabulary's usable pieces in an open-addressed table."""
+    """Hashes of the vocabulary's usable pieces in an open-addressed table; `sizes` are the lengths that occur."""
 
-    def __init__(self, path: str | None, longest: int):
+    def __init__(self, path: str | None = None):
         import public_tokenizers
 
         found = [base64.b64decode(line.split()[0]) for line in open(path or public_tokenizers.path(VOCABULARY), "rb") if line.strip()]
         body = lambda p: p[1:] if p[:1] == b" " else p
-        usable = sorted({p for p in found if len(p) <= longest and (len(p) == 1 or (body(p) and not any(_NOT_LETTER[b] for b in body(p))))} | {bytes([b]) for b in range(256)})
-        self.lengths = np.array([len(p) for p in usable])
+        usable = sorted({p for p in found if len(p) == 1 or (body(p) and not any(_NOT_LETTER[b] for b in body(p)))} | {bytes([b]) for b in range(256)})
+        self.sizes = sorted({len(p) for p in usable})
         self.hashes = np.array([_hash(p) for p in usable], dtype=np.uint64)
         self.slots = np.full(1 << _LOG2_SLOTS, -1, dtype=np.int32)
         for k, h in enumerate(self.hashes.tolist()):
@@ -88,37 +93,72 @@ def _hash(piece: bytes) -> int:
     return int(mix(np.array([total & ((1 << 64) - 1)], dtype=np.uint64))[0])
 
 
-def words_of(column_bytes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and rows of the words of lower-cased texts, long runs cut."""
-    starts, ends, rows = spans(column_bytes, offsets, _NOT_LETTER)
-    sizes = ends - starts
-    if len(sizes) and sizes.max() > WORD:
-        n = -(-sizes // WORD)
-        part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        starts = np.repeat(starts, n) + part * WORD
-        ends, rows = np.minimum(starts + WORD, np.repeat(ends, n)), np.repeat(rows, n)
-    return starts, ends, rows
+def hits(vocabulary: Pieces, text: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends, sizes and numbers of all pieces in text, in order of end; none crosses from one run (a number a byte) to the next."""
+    prefix, found = prefix_hash(text), []
+    for n in vocabulary.sizes:
+        if n <= len(text):
+            start = np.flatnonzero(run[: len(text) - n + 1] == run[n - 1 :])
+            piece = vocabulary.find(span_hash(prefix, start, start + n))
+            hit = np.flatnonzero(piece >= 0)
+            found.append((start[hit] + n, np.full(len(hit), n), piece[hit]))
+    ends, sizes, pieces = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(ends, kind="stable")
+    return ends[order], sizes[order], pieces[order]
+
+
+def words_of(vocabulary: Pieces, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, sizes, leading spaces (1 or 0) and rows of the words of lower-cased texts, long runs cut where no piece reaches across."""
+    starts, ends, rows = spans(data, offsets, _NOT_LETTER)
+    sizes, lead = ends - starts, np.ones(len(starts), dtype=np.int64)
+    long = np.flatnonzero(sizes > WORD)
+    if not len(long):
+        return starts, sizes, lead, rows
+    # the long runs end to end, each with its space
+    whole = sizes[long] + 1
+    first = np.cumsum(whole) - whole
+    run = np.repeat(np.arange(len(long)), whole)
+    at = np.arange(len(run)) - first[run] - 1  # byte of the run, -1 for the space
+    text = np.where(at < 0, np.uint8(32), data[np.maximum(starts[long][run] + at, 0)])
+    stop, n, _ = hits(vocabulary, text, run)
+    across = np.zeros(len(text) + 1, dtype=np.int64)
+    np.add.at(across, stop - n + 1, 1)
+    np.add.at(across, stop, -1)
+    cut = np.flatnonzero((np.cumsum(across)[: len(text)] == 0) | (at < 0))  # no piece covers both this byte and the one before
+    size = np.diff(np.append(cut, len(text)))
+    of, spaced = long[run[cut]], (at[cut] < 0).astype(np.int64)
+    short = np.flatnonzero(sizes <= WORD)
+    parts = (starts[of] + np.maximum(at[cut], 0), size - spaced, spaced, rows[of])
+    return tuple(np.concatenate([a[short], b]) for a, b in zip((starts, sizes, lead, rows), parts, strict=True))
 
 
 class Lattice:
-    """The segmentations of distinct words, longest first. Row w of `text` is a space, then the bytes of the word."""
+    """The segmentations of distinct words (with a space before the first byte where `lead` is 1).
+
+    Those of up to WORD + 1 bytes lie in `text`, a column each, longest first; longer ones have their pieces listed in `long`.
+    """
 
-    def __init__(self, vocabulary: Pieces, longest: int, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
-        self.longest = longest
-        self.order = np.argsort(-sizes, kind="stable")
-        sizes = sizes[self.order] + 1
+    def __init__(self, vocabulary: Pieces, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, lead: np.ndarray):
+        whole = sizes + lead
+        self.n = len(whole)
+        self.order = np.argsort(-whole, kind="stable")
+        self.order = self.order[whole[self.order] <= WORD + 1]
+        sizes = whole[self.order]
         self.sizes = sizes
-        width = int(sizes[0]) if len(sizes) else 1
+        width = int(sizes[0]) if len(sizes) else 0
         text = np.full((width, len(sizes)), 32, dtype=np.uint8)
-        for k in range(1, width):
-            own = int(np.searchsorted(-sizes, -k, "left"))  # words with a byte k
-            text[k, :own] = data[starts[self.order[:own]] + k - 1]
+        begin, spaced = starts[self.order], lead[self.order]
+        for k in range(width):
+            own = np.flatnonzero((sizes > k) & (k >= spaced))
+            text[k, own] = data[begin[own] + k - spaced[own]]
         self.steps: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         code = BYTE_CODE[text]
-        up, _ = powers(longest + 1)
+        up, _ = powers(width + 1)
         for end in range(1, width + 1):
             own = int(np.searchsorted(-sizes, -end, "right"))  # words of at least `end` bytes
-            for n in range(1, min(end, longest) + 1):
+            for n in vocabulary.sizes:
+                if n > end:
+                    break
                 total = np.full(own, n, dtype=np.uint64)
                 for k in range(n):
                     total += code[end - n + k, :own] * up[k]
@@ -127,6 +167,10 @@ class Lattice:
                 if len(hit):
                     self.steps.append((end, n, hit, found[hit]))
         self.width = width
+        self.long = []
+        for k in np.flatnonzero(whole > WORD + 1).tolist():
+            own = np.concatenate([np.full(lead[k], 32, dtype=np.uint8), data[starts[k] : starts[k] + whole[k] - lead[k]]])
+            self.long.append((k, len(own), *hits(vocabulary, own, np.zeros(len(own), dtype=np.int64))))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """(width + 1, words, languages): probability of the first `i` bytes of each word, over all segmentations."""
@@ -136,11 +180,25 @@ class Lattice:
             a[end, hit] += a[end - n, hit] * p[found]
         return a
 
+    @staticmethod
+    def _log_forward(size: int, ends: np.ndarray, sizes: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """(size + 1, languages): log of the same for one long word; log_p has a row a hit."""
+        a = np.zeros((size + 1, log_p.shape[1]))
+        at = np.searchsorted(ends, np.arange(size + 2))
+        for end in range(1, size + 1):
+            own = slice(at[end], at[end + 1])
+            each = a[end - sizes[own]] + log_p[own]
+            top = each.max(axis=0)
+            a[end] = top + np.log(np.exp(each - top).sum(axis=0))
+        return a
+
     def logs(self, p: np.ndarray) -> np.ndarray:
         """(words, languages): log probability of each word, in the order in which the words were given."""
         a = self.forward(p)
-        out = np.empty((len(self.sizes), p.shape[1]))
+        out = np.empty((self.n, p.shape[1]))
         out[self.order] = np.log(a[self.sizes, np.arange(len(self.sizes))])
+        for k, size, ends, sizes, found in self.long:
+            out[k] = self._log_forward(size, ends, sizes, np.log(p[found]))[size]
         return out
 
     def expected(self, p: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -155,38 +213,45 @@ class Lattice:
             through = b[end, hit] * p[found, 0]
             b[end - size, hit] += through
             out += np.bincount(found, weights=through * a[end - size, hit], minlength=len(p))
+        for k, size, ends, sizes, found in self.long:
+            log_p = np.log(p[found])
+            ahead = self._log_forward(size, ends, sizes, log_p)[:, 0]
+            back = np.argsort(-(ends - sizes), kind="stable")  # the same recursion from the other side
+            behind = self._log_forward(size, size - (ends - sizes)[back], sizes[back], log_p[back])[:, 0]
+            out += np.bincount(found, weights=weights[k] * np.exp(ahead[ends - sizes] + log_p[:, 0] + behind[size - ends] - ahead[size]), minlength=len(p))
         return out
 
 
-def _distinct(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block of rows: first row, number of rows, lower-cased bytes, a start and size of each distinct word, and for every word its row and which one it is."""
-    for first, data, offsets in pieces(pc.utf8_lower(column.fill_null("")), block):
-        starts, ends, rows = words_of(data, offsets)
-        prefix = prefix_hash(data)
-        _, down = powers(len(prefix))
-        keys = (prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64)
-        _, at, which = np.unique(keys, return_index=True, return_inverse=True)
-        yield first, len(offsets) - 1, data, starts[at], (ends - starts)[at], rows, which
+def _distinct(vocabulary: Pieces, column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, list[Lattice], np.ndarray, np.ndarray, np.ndarray]]:
+    """Of parts of the texts: first row, number of rows, lattices of the distinct words, their sizes, and for every word its row and which one it is."""
+    data, offsets = column_bytes(pc.utf8_lower(column.fill_null("")))
+    for at, to in ranges(data, offsets, _NOT_LETTER, block):
+        part = data[at:to]
+        first, own = rows_within(offsets, at, to)
+        starts, sizes, lead, rows = words_of(vocabulary, part, own)
+        if len(starts):
+            keys = span_hash(prefix_hash(part), starts, starts + sizes) ^ lead.astype(np.uint64)
+            _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+            groups = [one[k : k + TOGETHER] for k in range(0, len(one), TOGETHER)]
+            yield first, len(own) - 1, [Lattice(vocabulary, part, starts[g], sizes[g], lead[g]) for g in groups], (sizes + lead)[one], rows, which
 
 
 class Identifier:
-    def __init__(self, languages: list[str], p: np.ndarray, least: np.ndarray, path: str | None, s: Settings):
-        self.languages, self.p, self.least, self.path, self.longest = languages, p, least, path, s.longest_piece
+    def __init__(self, languages: list[str], p: np.ndarray, least: np.ndarray, path: str | None):
+        self.languages, self.p, self.least, self.path = languages, p, least, path
 
     def identify(self, column: pa.Array, vocabulary: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language (-1: und), its share of the texts' probability, and whether the text fits it: log probability a byte of `least` or more."""
         n, k = len(column), len(self.languages)
-        total, size = np.zeros((n, k)), np.zeros(n)
-        if k:
-            for first, count, data, starts, sizes, rows, which in _distinct(column):
-                if len(starts):
-                    logs = Lattice(vocabulary, self.longest, data, starts, sizes).logs(self.p)
-                    size[first : first + count] += np.bincount(rows, weights=sizes[which] + 1.0, minlength=count)
-                    for j in range(k):
-                        total[first : first + count, j] += np.bincount(rows, weights=logs[which, j], minlength=count)
-        letters = pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)
         if not k:
             return np.full(n, -1), np.zeros(n), np.zeros(n, dtype=bool)
+        total, size = np.zeros((n, k)), np.zeros(n)
+        for first, count, lattices, sizes, rows, which in _distinct(vocabulary, column):
+            logs = np.concatenate([lattice.logs(self.p) for lattice in lattices])
+            size[first : first + count] += np.bincount(rows, weights=sizes[which].astype(float), minlength=count)
+            for j in range(k):
+                total[first : first + count, j] += np.bincount(rows, weights=logs[which, j], minlength=count)
+        letters = pc.fill_null(pc.match_substring_regex(column, r"\pL"), False).to_numpy(zero_copy_only=False)
         best = total.argmax(axis=1)
         fits = letters & (total.max(axis=1) >= self.least[best] * size)
         share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
@@ -215,6 +280,28 @@ def _sample(usable: DataFrame, s: Settings) -> DataFrame:
     return chosen
 
 
+def learn_one(vocabulary: Pieces, texts: pa.Array, s: Settings) -> tuple[np.ndarray, float]:
+    """Of one language: the probability of every piece, and the least log probability a byte of a text that fits."""
+    n = len(vocabulary.hashes)
+    q = np.full((n, 1), 1 / n)
+    known = [(first, lattices, sizes, rows, which, np.bincount(which, minlength=len(sizes)).astype(float)) for first, _, lattices, sizes, rows, which in _distinct(vocabulary, texts)]
+    for _ in range(s.rounds):
+        used = np.zeros(n)
+        for _, lattices, _, _, _, weights in known:
+            at = 0
+            for lattice in lattices:
+                used += lattice.expected(q, weights[at : at + lattice.n])
+                at += lattice.n
+        q = (np.maximum(used / max(used.sum(), 1.0), s.floor))[:, None]
+        q /= q.sum()
+    own, size = np.zeros(len(texts)), np.zeros(len(texts))
+    for first, lattices, sizes, rows, which, _ in known:
+        logs = np.concatenate([lattice.logs(q)[:, 0] for lattice in lattices])
+        own += np.bincount(first + rows, weights=logs[which], minlength=len(texts))
+        size += np.bincount(first + rows, weights=sizes[which].astype(float), minlength=len(texts))
+    return q[:, 0], float(np.quantile(own[size > 0] / size[size > 0], 0.01) - s.margin) if size.any() else -np.inf
+
+
 def learn_languages(docs: DataFrame, learn: Column, s: Settings | None = None, path: str | None = None, text_col: str = "text", lang_col: str = "lang") -> Identifier:
     """Piece probabilities of every language of the learning rows, on at most `sample_rows` of its texts, in hash order."""
     s = s or Settings()
@@ -225,30 +312,16 @@ def learn_languages(docs: DataFrame, learn: Column, s: Settings | None = None, p
     usable = known.select(lang, th, long.alias("long"))
     chosen = F.broadcast(_sample(usable, s))  # sample_rows a language
     texts = known.select(lang, th, F.when(long, head).otherwise(text).alias("text"))
-    found = texts.join(chosen, ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text")).orderBy("lang", "th").select("lang", "text").toArrow()
-    vocabulary = Pieces(path, s.longest_piece)
-    languages = sorted(set(found.column("lang").to_pylist()))
-    p, least = np.empty((len(vocabulary.lengths), len(languages))), np.full(len(languages), -np.inf)
-    for j, language in enumerate(languages):
-        texts = found.filter(pc.equal(found.column("lang"), language)).column("text").combine_chunks()
-        q = np.full((len(p), 1), 1 / len(p))
-        lattices, words = [], []
-        for first, _, data, starts, sizes, rows, which in _distinct(texts, 1 << 30):
-            if len(starts):
-                lattices.append((Lattice(vocabulary, s.longest_piece, data, starts, sizes), np.bincount(which)))
-                words.append((first + rows, which, sizes[which] + 1.0))
-        for _ in range(s.rounds):
-            used = sum((lattice.expected(q, weights.astype(float)) for lattice, weights in lattices), np.zeros(len(p)))
-            q = (np.maximum(used / max(used.sum(), 1.0), s.floor))[:, None]
-            q /= q.sum()
-        p[:, j] = q[:, 0]
-        own, size = np.zeros(len(texts)), np.zeros(len(texts))
-        for (lattice, _), (rows, which, sizes) in zip(lattices, words, strict=True):
-            own += np.bincount(rows, weights=lattice.logs(q)[which, 0], minlength=len(texts))
-            size += np.bincount(rows, weights=sizes, minlength=len(texts))
-        if size.any():
-            least[j] = np.quantile(own[size > 0] / size[size > 0], 0.01) - s.margin
-    return Identifier(languages, p, least, path, s)
+    found = texts.join(chosen, ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text")).select("lang", "th", "text")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        q, least = learn_one(Pieces(path), group.sort_by("th").column("text").combine_chunks(), s)
+        return pa.table({"lang": [key[0].as_py()], "p": pa.array([q.astype("<f8").tobytes()], pa.binary()), "least": [least]})
+
+    bound_batches(docs.sparkSession)
+    models = sorted(found.groupBy("lang").applyInArrow(run, "lang string, p binary, least double").collect(), key=lambda r: r["lang"])  # a row of fixed size a language
+    p = np.stack([np.frombuffer(r["p"], dtype="<f8") for r in models], axis=1) if models else np.zeros((0, 0))
+    return Identifier([r["lang"] for r in models], p, np.array([r["least"] for r in models]), path)
 
 
 def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,7 +332,7 @@ def identify(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x pieces of a fixed vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Pieces(shared.value.path, shared.value.longest)
+        vocabulary = Pieces(shared.value.path)
         for batch in batches:
             best, share, _ = shared.value.identify(batch.column(1), vocabulary)
             names = pa.array([*shared.value.languages, "und"])
@@ -274,7 +347,7 @@ def keep_identified(docs: DataFrame, model: Identifier, min_score: float = 0.5,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def build():
-        vocabulary = Pieces(shared.value.path, shared.value.longest)
+        vocabulary = Pieces(shared.value.path)
 
         def keep(column: pa.Array) -> pa.Array:
             best, share, fits = shared.value.identify(column, vocabulary)
