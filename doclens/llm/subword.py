@@ -1,10 +1,10 @@
 """Operator 1, a quality classifier on supervised subword embeddings.
 
-A document is the sum of averages of learned vectors of hashed features, one average a kind: its words, their shapes
-(case, digits, other signs), whether a word repeats its predecessor, and the character n-grams (over bytes) of the running
-text, by length. A softmax layer over that vector gives the classes. Vectors and layer are trained together by stochastic gradient descent in numpy
-on a bounded sample of labelled rows. Since the output is linear in the averages, scoring looks up one
-number a feature, in numpy, over whole texts.
+A document is the average of the learned vectors of all its features: its words and the character n-grams (of code points)
+of its running text, each hashed to a bucket of its own range of one table. Within a window of `window` characters a
+feature that recurs adds its vector once but counts each time, so repetition thins the average. A softmax layer over that average gives the
+classes. Vectors and layer are trained together by stochastic gradient descent in numpy on a bounded sample of labelled
+rows. Since the output is linear in the average, scoring looks up one number a feature, in numpy, over whole texts.
 
 Defined cases. A null or empty text has no features: its score is what the layer's bias gives. Without a labelled row of
 either class every score is the share of label 1 (0.5 without any). Null labels are not learned from. Rows are scored one
@@ -26,12 +26,6 @@ from doclens.llm.common import bound_batches, crc_mod, hash_share, share_for, ta
 from doclens.llm.textbytes import SPACE, column_bytes, cut_long, pieces, prefix_hash, span_hash, spans
 
 BLOCK = 1 << 19
-_SHAPE = np.arange(256, dtype=np.uint8)
-_SHAPE[48:58] = 48
-_SHAPE[65:91] = 65
-_SHAPE[97:123] = 97
-_SHAPE[128:] = 97
-_CODES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 32, 256, dtype=np.uint32) | np.uint32(1)
 _STEPS = [np.uint32(pow(0x9E3779B1, k + 1, 1 << 32)) for k in range(16)]
 
 
@@ -43,36 +37,59 @@ class Settings:
     dims: int = 8
     ngrams: tuple[int, ...] = (3, 4, 5)
     epochs: int = 8
-    rate: float = 0.2
+    rate: float = 5.0
+    window: int = 256
     sample_rows: int = 3000
     sample_bytes: int = 20_000
 
 
-def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(bucket, row) of every feature, one pair of arrays a kind."""
-    shift = np.uint64(64 - s.buckets_log2)
+def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket and row of every feature that adds its vector, and the number of features of each row.
+
+    Words are in the lower half of the table, character n-grams in the upper.
+    """
+    half = s.buckets_log2 - 1
     starts, ends, rows = spans(data, offsets, SPACE)
-    words = span_hash(prefix_hash(data), starts, ends)
-    shapes = span_hash(prefix_hash(_SHAPE[data]), starts, ends) ^ np.uint64(0x5851F42D4C957F2D)
-    again = np.zeros(len(words), dtype=np.int32)
-    again[1:] = (words[1:] == words[:-1]) & (rows[1:] == rows[:-1])
-    bucket = lambda h: ((h * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)
-    out = [(bucket(words), rows), (bucket(shapes), rows), (again, rows)]
-    row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    code = _CODES[data]
-    rolled = np.zeros(len(data), dtype=np.uint32)
+    prefix = prefix_hash(data)
+    buckets = [((span_hash(prefix, starts, ends) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - half)).astype(np.int32)]
+    of = [rows]
+    first = np.flatnonzero((data & 0xC0) != 0x80)  # of each character
+    row_of = np.searchsorted(offsets, first, "right") - 1
+    at = [np.searchsorted(first, starts)]
+    code = span_hash(prefix, first, np.append(first[1:], len(data))).astype(np.uint32)
+    rolled = np.zeros(len(first), dtype=np.uint32)
     for k in range(max(s.ngrams)):
-        size = max(0, len(data) - k)
+        size = max(0, len(first) - k)
         rolled = rolled[:size] + code[k : k + size] * _STEPS[k]
         if k + 1 in s.ngrams:
-            whole = row_of[:size] == row_of[k:]
-            found = ((rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - s.buckets_log2)
-            out.append((found[whole].astype(np.int32), row_of[:size][whole]))
-    return out
+            whole = np.flatnonzero(row_of[:size] == row_of[k:])
+            found = ((rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - half)
+            buckets.append(found[whole].astype(np.int32) + np.int32(1 << half))
+            of.append(row_of[whole])
+            at.append(whole)
+    bucket, row = np.concatenate(buckets), np.concatenate(of)
+    window = (np.concatenate(at) - np.searchsorted(first, offsets[:-1])[row]) // s.window
+    # windows in order of row get numbers of their own
+    most = np.concatenate([[0], np.cumsum(-(-np.diff(np.searchsorted(first, offsets)) // s.window))])
+    keys = np.unique((most[row] + window) << s.buckets_log2 | bucket)
+    return (keys & ((1 << s.buckets_log2) - 1)).astype(np.int32), np.searchsorted(most, keys >> s.buckets_log2, "right") - 1, np.bincount(row, minlength=len(offsets) - 1)
+
+
+def step(vectors: np.ndarray, layer: np.ndarray, bias: np.ndarray, ids: np.ndarray, weight: np.ndarray, label: int, rate: float) -> None:
+    """One step of gradient descent, in place, on the cross entropy of one document: distinct buckets `ids` with shares `weight`."""
+    held = vectors[ids]
+    mean = weight @ held
+    logits = mean @ layer + bias
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    p[label] -= 1
+    vectors[ids] = held - rate * weight[:, None] * (layer @ p)
+    layer -= rate * np.outer(mean, p)
+    bias -= rate * p
 
 
 def train(texts: pa.Array, labels: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
-    """Numbers per bucket and bias: the log-odds of class 1 are bias + the sum over kinds of their average over the features of a kind."""
+    """Numbers per bucket and bias: the log-odds of class 1 are bias + the average of the numbers of a document's features."""
     size = 1 << s.buckets_log2
     share = float(labels.mean()) if len(labels) else 0.5
     if not len(labels) or share in (0.0, 1.0):
@@ -80,12 +97,10 @@ def train(texts: pa.Array, labels: np.ndarray, s: Settings) -> tuple[np.ndarray,
         return np.zeros(size, dtype=np.float32), float(np.log(share / (1 - share)))
     bags = []
     for _, data, offsets in pieces(texts, BLOCK):
-        found = features(data, offsets, s)
+        found, row, whole = features(data, offsets, s)
         n = len(offsets) - 1
-        weights = np.concatenate([(1 / np.maximum(np.bincount(r, minlength=n), 1))[r] for _, r in found])
-        row = np.concatenate([r for _, r in found]).astype(np.int64)
-        keys, which = np.unique(row << s.buckets_log2 | np.concatenate([b for b, _ in found]), return_inverse=True)
-        weights = np.bincount(which, weights=weights, minlength=len(keys)).astype(np.float32)
+        keys, counts = np.unique(row.astype(np.int64) << s.buckets_log2 | found, return_counts=True)
+        weights = (counts / whole[keys >> s.buckets_log2]).astype(np.float32)
         at = np.searchsorted(keys >> s.buckets_log2, np.arange(n + 1))
         bags.extend(((keys[a:b] & (size - 1)).astype(np.int32), weights[a:b]) for a, b in zip(at[:-1], at[1:], strict=True))
     rng = np.random.Generator(np.random.PCG64(11))
@@ -95,17 +110,8 @@ def train(texts: pa.Array, labels: np.ndarray, s: Settings) -> tuple[np.ndarray,
         rate = s.rate * (1 - epoch / s.epochs)
         for k in rng.permutation(len(bags)):
             ids, weight = bags[k]
-            if not len(ids):
-                continue
-            held = vectors[ids]
-            mean = weight @ held
-            logits = mean @ layer + bias
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[int(labels[k])] -= 1
-            vectors[ids] = held - rate * weight[:, None] * (layer @ p)
-            layer -= rate * np.outer(mean, p)
-            bias -= rate * p
+            if len(ids):
+                step(vectors, layer, bias, ids, weight, int(labels[k]), rate)
     return vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
 
@@ -113,17 +119,16 @@ def score(column: pa.Array, numbers: np.ndarray, bias: float, s: Settings) -> np
     data, offsets = column_bytes(column)
     parts, part_row = cut_long(data, offsets, BLOCK)
     n = len(offsets) - 1
-    total, count = np.zeros((3 + len(s.ngrams), n)), np.zeros((3 + len(s.ngrams), n))
+    total, count = np.zeros(n), np.zeros(n)
     first = 0
     while first < len(part_row):
         last = max(first + 1, int(np.searchsorted(parts, parts[first] + BLOCK, "right")) - 1)
         own = parts[first : last + 1]
-        rows = part_row[first:last]
-        for kind, (bucket, row) in enumerate(features(data[own[0] : own[-1]], own - own[0], s)):
-            total[kind] += np.bincount(rows[row], weights=numbers[bucket], minlength=n)
-            count[kind] += np.bincount(rows[row], minlength=n)
+        bucket, row, whole = features(data[own[0] : own[-1]], own - own[0], s)
+        total += np.bincount(part_row[first:last][row], weights=numbers[bucket], minlength=n)
+        count += np.bincount(part_row[first:last], weights=whole, minlength=n)
         first = last
-    return 1 / (1 + np.exp(-np.clip((total / np.maximum(count, 1)).sum(axis=0) + bias, -60, 60)))
+    return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -60, 60)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn, rows: int, most_bytes: int) -> tuple[pa.Array, np.ndarray]:
