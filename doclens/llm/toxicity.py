@@ -70,13 +70,9 @@ def distinct(data: np.ndarray, offsets: np.ndarray, s: Settings, wanted: np.ndar
     return whole >> s.buckets_log2, (whole & ((1 << s.buckets_log2) - 1)).astype(np.int64)
 
 
-def train(texts: pa.Array, labels: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
-    """Weights by bucket and bias: the log-odds of class 1 are bias + the sum of the weights of a document's distinct features."""
+def log_count_ratios(texts: pa.Array, labels: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Documents with each feature, by class, and the smoothed log ratio of its shares in the classes."""
     size = 1 << s.buckets_log2
-    share = float(labels.mean()) if len(labels) else 0.5
-    if not len(labels) or share in (0.0, 1.0):
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        return np.zeros(size, dtype=np.float32), float(np.log(share / (1 - share)))
     counts = np.zeros((2, size), dtype=np.int32)
     for first, data, offsets in pieces(texts, BLOCK):
         rows, buckets = distinct(data, offsets, s)
@@ -85,6 +81,17 @@ def train(texts: pa.Array, labels: np.ndarray, s: Settings) -> tuple[np.ndarray,
             counts[y] += np.bincount(buckets[of == y], minlength=size).astype(np.int32)
     rates = (counts + s.smoothing) / (counts + s.smoothing).sum(axis=1, keepdims=True)
     ratio = np.log(rates[1] / rates[0])
+    return counts, ratio
+
+
+def train(texts: pa.Array, labels: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
+    """Weights by bucket and bias: the log-odds of class 1 are bias + the sum of the weights of a document's distinct features."""
+    size = 1 << s.buckets_log2
+    share = float(labels.mean()) if len(labels) else 0.5
+    if not len(labels) or share in (0.0, 1.0):
+        share = min(max(share, 1e-6), 1 - 1e-6)
+        return np.zeros(size, dtype=np.float32), float(np.log(share / (1 - share)))
+    counts, ratio = log_count_ratios(texts, labels, s)
     gain = np.maximum(np.abs(ratio) - 0.7, 0) * counts.sum(axis=0)
     chosen = np.sort(np.argsort(-gain, kind="stable")[: s.candidates])
     chosen = chosen[counts.sum(axis=0)[chosen] >= 3]

@@ -1,6 +1,7 @@
 """Operators that judge each row by itself: quality rules, classifiers, language, benchmark passages."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -185,51 +186,149 @@ def test_foreign_and_random_texts_are_not_kept(spark, docs):
     assert li.keep_identified(good, model).count() >= 0.99 * good.count()
 
 
+def log_forward(index: dict, log_p: np.ndarray, data: bytes) -> float:
+    """Plain forward recursion over a whole word, in logarithms."""
+    a = [0.0]
+    for end in range(1, len(data) + 1):
+        each = [a[end - n] + log_p[k] for n in range(1, end + 1) if (k := index.get(data[end - n : end])) is not None]
+        top = max(each)
+        a.append(top + math.log(sum(math.exp(x - top) for x in each)))
+    return a[-1]
+
+
+def piece_index(vocabulary: li.Pieces) -> dict:
+    import base64
+
+    import public_tokenizers
+
+    number = {int(h): k for k, h in enumerate(vocabulary.hashes)}
+    found = {base64.b64decode(line.split()[0]) for line in open(public_tokenizers.path(li.VOCABULARY), "rb") if line.strip()} | {bytes([b]) for b in range(256)}
+    return {p: number[li._hash(p)] for p in found if li._hash(p) in number}
+
+
+RUNS = ["the", "haus", "x", "übermut", "a" * 31, "international" * 20, "漢字かな混じり文を読むことができますか" * 6, "".join(np.random.default_rng(3).choice(list("etaoinsrhl"), 200)), "ภาษาไทยไม่มีช่องว่างระหว่างคำ" * 3]
+
+
 def test_forward_algorithm_by_force():
-    s = li.Settings()
-    vocabulary = li.Pieces(None, s.longest_piece)
-    rng = np.random.default_rng(2)
-    p = rng.random((len(vocabulary.lengths), 2))
+    """All segmentations of whole words count, of 200 bytes and more too, and the EM counts spell the words."""
+    vocabulary = li.Pieces()
+    index = piece_index(vocabulary)
+    p = np.random.default_rng(2).random((len(vocabulary.hashes), 2))
     p /= p.sum(axis=0)
-    index = {int(h): k for k, h in enumerate(vocabulary.hashes)}
-    words = ["the", "haus", "x", "übermut", "a" * li.WORD]
-
-    def total(data: bytes, j: int) -> float:
-        a = [1.0] + [0.0] * len(data)
-        for end in range(1, len(data) + 1):
-            for n in range(1, min(end, s.longest_piece) + 1):
-                k = index.get(li._hash(data[end - n : end]))
-                a[end] += a[end - n] * p[k, j] if k is not None else 0.0
-        return a[-1]
-
-    raw = "".join(words).encode()
-    sizes = np.array([len(w.encode()) for w in words])
-    starts = np.cumsum(sizes) - sizes
-    logs = li.Lattice(vocabulary, s.longest_piece, np.frombuffer(raw, dtype=np.uint8), starts, sizes).logs(p)
-    for k, w in enumerate(words):
+    text = " ".join(RUNS)
+    column = pa.array([text, None, "", "42 !", RUNS[5]])
+    total = np.zeros((len(column), 2))
+    for first, count, lattices, _, rows, which in li._distinct(vocabulary, column):
+        logs = np.concatenate([x.logs(p) for x in lattices])
         for j in (0, 1):
-            assert logs[k, j] == pytest.approx(np.log(total(b" " + w.encode(), j)))
+            total[first : first + count, j] += np.bincount(rows, weights=logs[which, j], minlength=count)
+    for j in (0, 1):
+        want = [log_forward(index, np.log(p[:, j]), b" " + w.encode()) for w in RUNS]
+        assert total[0, j] == pytest.approx(sum(want), rel=1e-9) and total[4, j] == pytest.approx(want[5], rel=1e-9)
+    assert (total[1:4] == 0).all()
+    q = np.full((len(vocabulary.hashes), 1), 1 / len(vocabulary.hashes))
+    size_of = np.zeros(len(q))
+    for piece, k in index.items():
+        size_of[k] = len(piece)
+    used = np.zeros(len(q))
+    for _, _, (lattice,), _, _, which in li._distinct(vocabulary, pa.array([text])):
+        used += lattice.expected(q, np.bincount(which).astype(float))
+    assert (used * size_of).sum() == pytest.approx(len(text.encode()) + 1)
+
+
+def test_words_are_cut_only_where_no_piece_reaches(monkeypatch):
+    """The same sums where long texts are read in parts and long words go through the other recursion."""
+    vocabulary = li.Pieces()
+    p = np.random.default_rng(4).random((len(vocabulary.hashes), 1)) / 1e4
+    column = pa.array([" ".join(RUNS * 3)])
+
+    def whole() -> float:
+        return sum(float(np.concatenate([x.logs(p) for x in lattices])[which].sum()) for _, _, lattices, _, _, which in li._distinct(vocabulary, column, block))
+
+    block = 1 << 20
+    want = whole()
+    block = 64
+    assert whole() == pytest.approx(want, rel=1e-9)
+    monkeypatch.setattr(li, "WORD", 3)
+    assert whole() == pytest.approx(want, rel=1e-9)
 
 
 def test_long_pieces_are_segments():
-    s = li.Settings()
-    vocabulary = li.Pieces(None, s.longest_piece)
-    index = {int(h): k for k, h in enumerate(vocabulary.hashes)}
+    vocabulary = li.Pieces()
+    index = piece_index(vocabulary)
     for piece in (b" government", b" international", b" responsibilities"):
-        k = index[li._hash(piece)]
-        p = np.full((len(index), 1), 1e-9)
-        p[k] = 0.5
-        logs = li.Lattice(vocabulary, s.longest_piece, np.frombuffer(piece[1:], dtype=np.uint8), np.array([0]), np.array([len(piece) - 1])).logs(p)
+        p = np.full((len(vocabulary.hashes), 1), 1e-9)
+        p[index[piece]] = 0.5
+        logs = li.Lattice(vocabulary, np.frombuffer(piece[1:], dtype=np.uint8), np.array([0]), np.array([len(piece) - 1]), np.array([1])).logs(p)
         assert logs[0, 0] == pytest.approx(np.log(0.5), abs=1e-3)
 
 
-def test_expected_counts_spell_the_words():
-    s = li.Settings()
-    vocabulary = li.Pieces(None, s.longest_piece)
-    q = np.full((len(vocabulary.lengths), 1), 1 / len(vocabulary.lengths))
-    raw = np.frombuffer(b"thehouse", dtype=np.uint8)
-    used = li.Lattice(vocabulary, s.longest_piece, raw, np.array([0, 3]), np.array([3, 5])).expected(q, np.array([2.0, 1.0]))
-    assert (used * vocabulary.lengths).sum() == pytest.approx(2 * 4 + 1 * 6)
+def quality_by_force(text: str, numbers: np.ndarray, bias: float, s: sw.Settings) -> float:
+    half, low = s.buckets_log2 - 1, (1 << 32) - 1
+    codes = [li._hash(c.encode()) & low for c in text]
+    found = [(m.start() // s.window, ((li._hash(m.group().encode()) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> (64 - half)) for m in re.finditer("[^\\x20\\x09-\\x0D]+", text)]
+    for n in s.ngrams:
+        for at in range(len(text) - n + 1):
+            total = sum(codes[at + k] * int(sw._STEPS[k]) for k in range(n)) & low
+            found.append((at // s.window, ((((total ^ total >> 15) * 0x2C1B3C6D) & low) >> (32 - half)) + (1 << half)))
+    total = sum(float(numbers[b]) for _, b in set(found)) / max(len(found), 1) + bias
+    return 1 / (1 + math.exp(-total))
+
+
+def test_quality_score_by_force():
+    s = sw.Settings(buckets_log2=12, window=40)
+    numbers = np.random.default_rng(5).normal(0, 3, 1 << 12)
+    texts = ["", "a", "que que que que que", "Ünïcode straße 漢字 \U0001f600 and a longer text | with | signs, " * 4, "same words same words"]
+    got = sw.score(pa.array([*texts, None]), numbers, 0.25, s)
+    assert got == pytest.approx([quality_by_force(t, numbers, 0.25, s) for t in [*texts, ""]])
+
+
+def test_quality_step_follows_the_gradient():
+    rng = np.random.default_rng(6)
+    vectors, layer, bias = rng.normal(0, 1, (6, 3)), rng.normal(0, 1, (3, 2)), rng.normal(0, 1, 2)
+    ids, weight, rate = np.array([0, 2, 5]), np.array([0.5, 0.3, 0.2]), 1e-6
+
+    def loss() -> float:
+        z = weight @ vectors[ids] @ layer + bias
+        return float(np.log(np.exp(z).sum()) - z[1])
+
+    def slope(of: np.ndarray, at: tuple) -> float:
+        held, out = of[at], []
+        for shift in (1e-5, -1e-5):
+            of[at] = held + shift
+            out.append(loss())
+        of[at] = held
+        return (out[0] - out[1]) / 2e-5
+
+    want = [np.array([slope(x, at) for at in np.ndindex(x.shape)]).reshape(x.shape) for x in (vectors, layer, bias)]
+    before = [x.copy() for x in (vectors, layer, bias)]
+    sw.step(vectors, layer, bias, ids, weight, 1, rate)
+    for old, new, gradient in zip(before, (vectors, layer, bias), want, strict=True):
+        assert (old - new) / rate == pytest.approx(gradient, rel=1e-3, abs=1e-4)
+
+
+def toxic_features(text: str, s: tox.Settings) -> set[int]:
+    low, codes = (1 << 32) - 1, [int(tox._CODES[tox._FOLD[b]]) for b in text.encode()]
+    totals = [sum(codes[at + k] * int(tox._STEPS[k]) for k in range(n)) & low for n in s.ngrams for at in range(len(codes) - n + 1)]
+    return {(((t ^ t >> 15) * 0x2C1B3C6D) & low) >> (32 - s.buckets_log2) for t in totals}
+
+
+def test_toxicity_by_force():
+    """Scores and log-count ratios, from sets of n-grams in plain Python."""
+    s = tox.Settings(buckets_log2=12, ngrams=(3, 4))
+    rng = np.random.default_rng(8)
+    weights = np.where(rng.random(1 << 12) < 0.3, rng.normal(0, 1, 1 << 12), 0.0)
+    texts = ["", "abc", "A nasty NASTY text, with signs!", "straße 漢字 " * 5, "calm words " * 9, "nasty again"]
+    want = [1 / (1 + math.exp(-sum(weights[b] for b in toxic_features(t, s)) - 0.5)) for t in texts]
+    assert tox.score(pa.array(texts), weights, 0.5, s) == pytest.approx(want)
+    labels = np.array([0, 0, 1, 0, 0, 1])
+    counts, ratio = tox.log_count_ratios(pa.array(texts), labels, s)
+    held = [toxic_features(t, s) for t in texts]
+    for b in {b for h in held for b in h} | {0, 1}:
+        n = [sum(b in h for h, y in zip(held, labels, strict=True) if y == k) for k in (0, 1)]
+        whole = [sum(len(h) for h, y in zip(held, labels, strict=True) if y == k) + (1 << 12) * s.smoothing for k in (0, 1)]
+        assert counts[:, b].tolist() == n
+        assert ratio[b] == pytest.approx(math.log((n[1] + s.smoothing) / whole[1]) - math.log((n[0] + s.smoothing) / whole[0]))
 
 
 def force_contamination(text, items, window=10):
