@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from doclens.functions import text as tx
+from doclens.functions.stemming import normalize_stemmed, stemmed_words
 from doclens.operators.corpus import require_documents
 from doclens.operators.evaluate import full_report
 from doclens.operators.search import SearchIndex
@@ -14,16 +15,17 @@ from doclens.session import import_path, local_session
 from doclens.sources.corpus import text_corpus
 from doclens.sources.sinks import report_lines
 
+#: The words that end a session.
 EXIT_WORDS = {"exit", "quit", "salir"}
 
 
 def _corpus(spark, root: str, least: int):
-    docs = text_corpus(spark, root).withColumn("doc_id", F.xxhash64("path")).withColumn("w", tx.tokens(F.col("text")))
+    docs = text_corpus(spark, root).withColumn("doc_id", F.xxhash64("path")).withColumn("w", stemmed_words(F.col("text")))
     return require_documents(docs, least)
 
 
 def _show(index: SearchIndex, spark, lines: list[str], k: int) -> None:
-    asked = spark.createDataFrame(list(enumerate(lines, 1)), "query_id int, query string").withColumn("w", tx.tokens(F.col("query")))
+    asked = spark.createDataFrame(list(enumerate(lines, 1)), "query_id int, query string").withColumn("w", stemmed_words(F.col("query")))
     index.search(asked, tx.ngrams(F.col("w"), 1, 2), k).orderBy("query_id", "rank").show(k * len(lines), truncate=60)
 
 
@@ -39,7 +41,7 @@ def main(arguments: list[str] | None = None) -> None:
     spark = local_session()
     import_path(spark)
     if args.command == "normalize":
-        _corpus(spark, args.root, 1).select("class", "path", tx.normalize(F.col("text")).alias("text")).write.mode("overwrite").partitionBy("class").parquet(args.out)
+        _corpus(spark, args.root, 1).select("class", "path", normalize_stemmed(F.col("text")).alias("text")).write.mode("overwrite").partitionBy("class").parquet(args.out)
     elif args.command == "index":
         SearchIndex.build(_corpus(spark, args.root, 1), tx.ngrams(F.col("w"), 1, 2)).save(args.out)
     elif args.command == "search":

@@ -91,7 +91,53 @@ def otsu_threshold(image: np.ndarray) -> int:
     w1 = w0[-1] - w0
     with np.errstate(divide="ignore", invalid="ignore"):
         between = np.nan_to_num(w0 * w1 * (s0 / w0 - (s0[-1] - s0) / w1) ** 2)
-    return int(np.argmax(np.round(between, 6)))
+    return int(np.argmax(np.where(n > 0, np.round(between, 6), -1.0)))  # a value that occurs
+
+
+def glcm_descriptors(levels: np.ndarray, dy: int, dx: int) -> tuple[float, float, float, float, float]:
+    """Contrast, dissimilarity, homogeneity, energy and correlation of the symmetric co-occurrence of grey levels at an offset."""
+    height, width = levels.shape
+    left, right = max(0, -dx), width - max(0, dx)
+    a, b = levels[: height - dy, left:right].ravel(), levels[dy:, left + dx : right + dx].ravel()
+    codes, n = np.unique(np.concatenate([a * 256 + b, b * 256 + a]), return_counts=True)
+    i, j, p = (codes // 256).astype(float), (codes % 256).astype(float), n / n.sum()
+    gap, mean = i - j, float((p * i).sum())
+    variance = float((p * i * i).sum()) - mean * mean
+    correlation = 1.0 if variance < 1e-12 else (float((p * i * j).sum()) - mean * mean) / variance
+    return float((p * gap * gap).sum()), float((p * abs(gap)).sum()), float((p / (1 + gap * gap)).sum()), float(np.sqrt((p * p).sum())), correlation
+
+
+def glcm_column(pixels: Column, width: int, offsets: list[tuple[int, int]], step: int = 4) -> Column:
+    """One struct an offset that the image has room for."""
+    names = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")
+
+    @F.pandas_udf("array<struct<dy: int, dx: int, " + ", ".join(f"{n}: double" for n in names) + ">>")
+    def run(batch: pd.Series) -> pd.Series:
+        def one(p) -> list[dict]:
+            levels = np.asarray(p, dtype=np.int64).reshape(-1, width) // step
+            return [{"dy": dy, "dx": dx} | dict(zip(names, glcm_descriptors(levels, dy, dx), strict=True)) for dy, dx in offsets if dy < len(levels) and abs(dx) < width]
+
+        return batch.map(one)
+
+    return run(pixels)
+
+
+def histogram_column(pixels: Column, bins: int = 256) -> Column:
+    """Relative frequencies of the grey values 0 to bins - 1."""
+
+    @F.pandas_udf("array<double>")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda p: np.bincount(np.asarray(p, dtype=np.int64), minlength=bins) / len(p))
+
+    return run(pixels)
+
+
+def otsu_column(pixels: Column) -> Column:
+    @F.pandas_udf("int")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda p: otsu_threshold(np.asarray(p, dtype=np.int64)))
+
+    return run(pixels)
 
 
 def lbp_column(pixels: Column, width: int, points: int = 24, radius: float = 3.0) -> Column:

@@ -17,16 +17,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
 
 
-def fold(text: Column) -> Column:
-    """Lower case; everything but a-z and white space is deleted (not replaced), white space collapses."""
-    kept = F.regexp_replace(F.lower(text), r"[^a-z0-9 \t\n\r\f]", "")
-    return strip(F.regexp_replace(F.regexp_replace(kept, "[0-9]+", ""), rf"{WHITE}+", " "))
-
-
 def tokens(text: Column) -> Column:
-    """The folded words of two letters or more that are no stop words, in order. Null or blank text has none."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.split(F.coalesce(fold(text), F.lit("")), " "), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    """Words of the lower-cased text from which everything but a-z and white space is deleted (not replaced): those of two letters
+    or more that are no stop words, in order. Null or blank text has none. Stop words are looked up in a hash set."""
+    letters = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z \t\n\r\f]+", "")
+    return F.filter(F.split(letters, rf"{WHITE}+"), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
 def normalize(text: Column) -> Column:
@@ -54,6 +49,7 @@ def preview(text: Column, n: int = 200) -> Column:
 
 
 def display_text(text: Column, n: int = 400) -> Column:
+    # fixed value: the mark of a shortened text
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("\n...(truncado)"))).otherwise(text)
 
 
@@ -66,9 +62,13 @@ def title_name(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
+#: The signs of the basic plane that scripts' messages use, and the sign that asks for their coloured form.
+SIGNS = "\u23f3\u2705\u26a0\u274c\u2714\ufe0f"
+
+
 def strip_astral(text: Column) -> Column:
-    """Without the characters beyond the basic plane (emoji among them)."""
-    return F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "")
+    """Without the characters beyond the basic plane (emoji among them) and without SIGNS."""
+    return F.regexp_replace(text, rf"[\x{{10000}}-\x{{10FFFF}}{SIGNS}]", "")
 
 
 def numbered_file(class_name: Column, n: Column, digits: int = 5, extension: str = "jpg") -> Column:

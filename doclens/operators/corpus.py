@@ -23,11 +23,11 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFram
 def corpus_summary(docs: DataFrame, terms: Column) -> DataFrame:
     """class, n_docs, n_tokens, n_terms and a TOTAL row."""
     post = tf.postings(docs, terms, "class")
-    sizes = docs.rollup("class").agg(F.count(F.lit(1)).alias("n_docs"))
-    by_class = post.groupBy("class").agg(F.sum("tf").alias("n_tokens"), F.countDistinct("term").alias("n_terms"))
-    total = post.agg(F.lit(None).cast("string").alias("class"), F.sum("tf").alias("n_tokens"), F.countDistinct("term").alias("n_terms"))
-    both = sizes.alias("s").join(by_class.unionByName(total).alias("t"), F.col("s.class").eqNullSafe(F.col("t.class")), "left")
-    return both.select(F.coalesce("s.class", F.lit("TOTAL")).alias("class"), "n_docs", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
+    sizes = docs.rollup("class").agg(F.count(F.lit(1)).alias("n_docs"), F.grouping("class").alias("whole"))
+    by_class = post.groupBy("class").agg(F.sum("tf").alias("n_tokens"), F.countDistinct("term").alias("n_terms")).withColumn("whole", F.lit(0).cast("byte"))
+    total = post.agg(F.lit(None).cast("string").alias("class"), F.lit(1).cast("byte").alias("whole"), F.sum("tf").alias("n_tokens"), F.countDistinct("term").alias("n_terms"))
+    both = sizes.alias("s").join(by_class.unionByName(total).alias("t"), F.col("s.class").eqNullSafe(F.col("t.class")) & (F.col("s.whole") == F.col("t.whole")), "left")
+    return both.select(F.when(F.col("s.whole") == 1, "TOTAL").otherwise(F.col("s.class")).alias("class"), "n_docs", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
 
 def text_distance(a: Column, b: Column) -> Column:

@@ -75,3 +75,10 @@ def radar(metrics: DataFrame) -> DataFrame:
 def best_epoch(history: DataFrame) -> DataFrame:
     """The first epoch of the largest validation accuracy, and that accuracy."""
     return history.agg(F.min_by("epoch", F.struct(-F.col("val_accuracy"), F.col("epoch"))).alias("epoch"), F.max("val_accuracy").alias("val_accuracy"))
+
+
+def training_curve(history: DataFrame) -> DataFrame:
+    """epoch, val_accuracy, the best so far, and whether the epoch improved on it. An epoch is a row, so they are few."""
+    so_far = Window.orderBy("epoch")
+    before = F.max("val_accuracy").over(so_far.rowsBetween(Window.unboundedPreceding, -1))
+    return history.select("epoch", "val_accuracy", F.max("val_accuracy").over(so_far).alias("best_so_far"), (before.isNull() | (F.col("val_accuracy") > before)).alias("improved"))

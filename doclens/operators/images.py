@@ -1,10 +1,16 @@
-"""Pixel tables and relational descriptors."""
+"""Descriptors of images.
+
+An image is one row: descriptors are computed inside the row by Arrow kernels, without a shuffle. The same descriptors over
+pixel tables (one row a pixel) are here for images that come as such tables, and to check the kernels.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.functions.image_kernels import glcm_column, histogram_column, otsu_column
+
 #: Distances and angles of the co-occurrence matrix as row and column offsets; 45 degrees rounds to (1, 1) for 1 and 2.
 OFFSETS = [(round(d * y), round(d * x)) for d in (1, 2, 3) for y, x in ((0.0, 1.0), (0.7071, 0.7071), (1.0, 0.0), (0.7071, -0.7071))]
 
@@ -16,6 +22,29 @@ def grey_images(vectors: DataFrame, vector: str = "embedding", id_col: str = "ve
     return vectors.select(F.col(id_col).alias("img_id"), "label", F.transform(vector, pixel).alias("pixels"))
 
 
+def image_histograms(images: DataFrame) -> DataFrame:
+    """img_id, v, freq (rounded to 6 digits) for every grey value."""
+    return images.select("img_id", F.posexplode(histogram_column(F.col("pixels"))).alias("v", "f")).select("img_id", "v", F.round("f", 6).alias("freq"))
+
+
+def image_glcm(images: DataFrame, width: int, offsets: list[tuple[int, int]] | None = None, step: int = 4) -> DataFrame:
+    """img_id, dy, dx and the five descriptors of each offset, rounded to 6 digits."""
+    found = images.select("img_id", F.explode(glcm_column(F.col("pixels"), width, offsets or sorted(set(OFFSETS)), step)).alias("g"))
+    return found.select("img_id", "g.dy", "g.dx", *(F.round(f"g.{c}", 6).alias(c) for c in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")))
+
+
+def image_otsu(images: DataFrame) -> DataFrame:
+    """img_id, threshold."""
+    return images.select("img_id", otsu_column(F.col("pixels")).alias("threshold"))
+
+
+def image_binarised(images: DataFrame, width: int) -> DataFrame:
+    """img_id, y, x, v: 255 above the image's threshold, else 0."""
+    at = F.col("threshold")
+    marked = images.withColumn("threshold", otsu_column(F.col("pixels"))).withColumn("pixels", F.transform("pixels", lambda v: F.when(v > at, 255).otherwise(0)))
+    return pixel_table(marked, width).select("img_id", "y", "x", "v")
+
+
 def pixel_table(images: DataFrame, width: int) -> DataFrame:
     exploded = images.select("img_id", "label", F.posexplode("pixels").alias("i", "v"))
     return exploded.select("img_id", "label", F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).alias("x"), "v")

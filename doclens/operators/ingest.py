@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.text import numbered_file, renamed_file
+from doclens.operators.numbering import numbered, range_of
 
 #: The two class orders in use. The position of a name is its integer label.
-ALPHABETICAL = "advertisement budget email file_folder form handwritten invoice letter memo news_article presentation questionnaire resume scientific_publication scientific_report specification".split()
-CUSTOM = "letter form email handwritten advertisement scientific_report scientific_publication specification file_folder news_article budget invoice presentation questionnaire resume memo".split()
+ALPHABETICAL = [
+    "advertisement", "budget", "email", "file_folder", "form", "handwritten",
+    "invoice", "letter", "memo", "news_article", "presentation", "questionnaire",
+    "resume", "scientific_publication", "scientific_report", "specification",
+]
+CUSTOM = [
+    "letter", "form", "email", "handwritten", "advertisement", "scientific_report",
+    "scientific_publication", "specification", "file_folder", "news_article", "budget", "invoice",
+    "presentation", "questionnaire", "resume", "memo",
+]
 
 
 def class_cap(rows: DataFrame, class_col: str, order: list[str], cap: int) -> DataFrame:
@@ -19,11 +28,11 @@ def class_cap(rows: DataFrame, class_col: str, order: list[str], cap: int) -> Da
 
 
 def running_number(rows: DataFrame, class_col: str, order: list[str], existing: DataFrame | None = None, name: str = "n") -> DataFrame:
-    """rows with their number in the class, continuing from `existing` (class, n) where given."""
-    numbered = rows.withColumn(name, F.row_number().over(Window.partitionBy(class_col).orderBy(*order)).cast("long"))
+    """rows with their number in the class, continuing from `existing` (class, n) where given. The first column of the order is a number."""
+    found = numbered(rows, order, range_of(rows, order[0]), [class_col], name)
     if existing is None:
-        return numbered
-    return numbered.join(existing.select(F.col(class_col), F.col("n").alias("__have")), class_col, "left").withColumn(name, F.col(name) + F.coalesce("__have", F.lit(0))).drop("__have")
+        return found
+    return found.join(existing.select(F.col(class_col), F.col("n").alias("__have")), class_col, "left").withColumn(name, F.col(name) + F.coalesce("__have", F.lit(0))).drop("__have")
 
 
 def numbered_files(rows: DataFrame, class_col: str, order: list[str], existing: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ A page's boxes are few and belong together, so a page is one Arrow group; edges
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +43,9 @@ def anchored_groups(values: list[float], tolerance: float) -> list[int]:
     return out
 
 
-def _blocks(page: pd.DataFrame) -> pd.Series:
-    """The smallest item of each box's block (connected component)."""
-    up = dict(zip(page["item"], page["item"], strict=True))
+def page_blocks(boxes: list[dict]) -> dict:
+    """The smallest item of each box's block (connected component), by item. Boxes are swept from left to right."""
+    up = {b["item"]: b["item"] for b in boxes}
 
     def root(k):
         while up[k] != k:
@@ -53,40 +53,52 @@ def _blocks(page: pd.DataFrame) -> pd.Series:
             k = up[k]
         return k
 
-    rows = page.sort_values("min_x").to_dict("records")
+    rows = sorted(boxes, key=lambda b: b["min_x"])
     for k, a in enumerate(rows):
         for b in rows[k + 1 :]:
-            dx = max(0.0, b["min_x"] - a["max_x"], a["min_x"] - b["max_x"])
-            if b["min_x"] - a["max_x"] >= 25 and dx >= 25:
-                continue
+            dx = max(0.0, b["min_x"] - a["max_x"])
+            if dx >= 25:
+                break  # all that follow are further to the right
             dy = max(0.0, b["min_y"] - a["max_y"], a["min_y"] - b["max_y"])
-            if (abs(a["center_y"] - b["center_y"]) < 6 and dx < 20) or (dx < 25 and dy < 50):
+            if (abs(a["center_y"] - b["center_y"]) < 6 and dx < 20) or dy < 50:
                 x, y = root(a["item"]), root(b["item"])
                 up[max(x, y)] = min(x, y)
-    return page["item"].map(root)
-
-
-def _ordered(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.assign(block=_blocks(page))
-    extent = page.groupby("block").agg(x0=("min_x", "min"), x1=("max_x", "max"), y0=("min_y", "min"), y1=("max_y", "max"))
-    extent["cx"], extent["cy"] = (extent["x0"] + extent["x1"]) / 2, (extent["y0"] + extent["y1"]) / 2
-    extent = extent.sort_values(["cy", "cx"], kind="stable")
-    extent["panel"] = anchored_groups(extent["cy"].tolist(), 180)
-    extent = extent.sort_values(["panel", "cx", "cy"], kind="stable")
-    extent["place"] = range(len(extent))
-    page = page.join(extent[["panel", "place"]], on="block").sort_values(["place", "center_y", "min_x", "item"], kind="stable")
-    page["line"] = page.groupby("place")["center_y"].transform(lambda c: pd.Series(anchored_groups(c.tolist(), 8), index=c.index))
-    page = page.sort_values(["place", "line", "min_x", "item"], kind="stable")
-    page["position"] = range(len(page))
-    return page
+    return {k: root(k) for k in up}
+
+
+def page_order(boxes: list[dict]) -> list[tuple]:
+    """(item, block, panel, place, line, position) of a page's boxes in reading order."""
+    block_of = page_blocks(boxes)
+    blocks: dict = {}
+    for b in sorted(boxes, key=lambda b: b["item"]):
+        blocks.setdefault(block_of[b["item"]], []).append(b)
+    centre = {}
+    for block, own in blocks.items():
+        x, y = min(b["min_x"] for b in own) + max(b["max_x"] for b in own), min(b["min_y"] for b in own) + max(b["max_y"] for b in own)
+        centre[block] = (y / 2, x / 2)
+    down = sorted(blocks, key=lambda k: (*centre[k], k))
+    panel_of = dict(zip(down, anchored_groups([centre[k][0] for k in down], 180), strict=True))
+    out = []
+    for place, block in enumerate(sorted(down, key=lambda k: (panel_of[k], centre[k][1], centre[k][0]))):
+        own = sorted(blocks[block], key=lambda b: (b["center_y"], b["min_x"], b["item"]))
+        lines = anchored_groups([b["center_y"] for b in own], 8)
+        for line, b in sorted(zip(lines, own, strict=True), key=lambda x: (x[0], x[1]["min_x"], x[1]["item"])):
+            out.append((b["item"], block, panel_of[block], place, line, len(out)))
+    return out
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
     """image_id, item, block, panel, place (of the block), line (in the block), position; independent of input order."""
     kind = boxes.schema["image_id"].dataType.simpleString()
-    schema = f"image_id {kind}, item long, block long, panel long, place long, line long, position long"
-    names = [c.strip().split()[0] for c in schema.split(",")]
-    return boxes.groupBy("image_id").applyInPandas(lambda page: _ordered(page)[names].astype({c: "int64" for c in names[1:]}), schema)
+    names = ["item", "block", "panel", "place", "line", "position"]
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        columns = list(zip(*page_order(group.to_pylist()), strict=True))
+        ids = pa.array([key[0].as_py()] * group.num_rows, group.schema.field("image_id").type)
+        return pa.table({"image_id": ids} | {n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)})
+
+    needed = boxes.select("image_id", F.col("item").cast("long").alias("item"), "min_x", "max_x", "min_y", "max_y", "center_y")
+    return needed.groupBy("image_id").applyInArrow(run, f"image_id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def page_text(boxes: DataFrame, order: DataFrame) -> DataFrame:

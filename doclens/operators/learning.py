@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.operators.numbering import first_by_hash, numbered, range_of
+from doclens.session import hold
 
 
 def split_quotas(sizes: DataFrame, test_tenths_of_percent: int = 200) -> DataFrame:
@@ -24,11 +32,10 @@ def split_quotas(sizes: DataFrame, test_tenths_of_percent: int = 200) -> DataFra
 
 
 def stratified_split(rows: DataFrame, id_col: str = "doc_id", seed: int = 42, test_tenths_of_percent: int = 200) -> DataFrame:
-    """rows with `part` (test or train): of each class the quota's rows of smallest md5(id-seed)."""
+    """rows with `part` (test or train): of each class (null is one) the quota's rows of smallest md5(id-seed). Rows stay where they are."""
     quotas = split_quotas(rows.groupBy("class").agg(F.count(F.lit(1)).alias("n")), test_tenths_of_percent)
     order = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
-    numbered = rows.withColumn("__r", F.row_number().over(Window.partitionBy("class").orderBy(order, id_col)))
-    return numbered.join(F.broadcast(quotas.select("class", "quota")), "class").withColumn("part", F.when(F.col("__r") <= F.col("quota"), "test").otherwise("train")).drop("__r", "quota")
+    return rows.withColumn("part", F.when(first_by_hash(rows, quotas.select("class", "quota"), "class", order, id_col), "test").otherwise("train"))
 
 
 def _by_position(vectors: DataFrame, vector: str) -> DataFrame:
@@ -53,20 +60,59 @@ def _scaled(vectors: DataFrame, stats: DataFrame, vector: str, f) -> DataFrame:
     return vectors.join(F.broadcast(packed), how="cross").withColumn(vector, F.zip_with(F.col(vector).cast("array<double>"), "__p", f)).drop("__p")
 
 
+def _nearest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each query: its number, and the places and squared distances of its k nearest rows (ties by id).
+
+    A matrix product finds the candidates, with a margin for its rounding; their distances are then computed directly.
+    """
+    norms = (rows * rows).sum(axis=1)
+    for at in range(0, len(queries), 512):
+        part = queries[at : at + 512]
+        rough = (part * part).sum(axis=1)[:, None] + norms - 2 * part @ rows.T
+        last = np.partition(rough, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
+        margin = 1e-7 * (1 + norms.max() + (part * part).sum(axis=1))
+        for q in range(len(part)):
+            near = np.flatnonzero(rough[q] <= last[q] + margin[q])
+            exact = np.round(((rows[near] - part[q]) ** 2).sum(axis=1), 9)
+            best = np.lexsort((ids[near], exact))[:k]
+            yield at + q, near[best], exact[best]
+
+
 def knn_predictions(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "vector", label: str = "label", block_rows: int = 4096) -> DataFrame:
-    """id, label, predicted: majority of the k nearest (Euclidean; ties by training id), vote ties to the smallest label.
+    """id, label, predicted: majority of the k nearest (Euclidean; ties by training id, a number), vote ties to the smallest label.
 
-    Training rows go by in blocks: each test row keeps k candidates a block, so neither side is ever expanded at once
-    beyond one block of the other.
+    Both sides are packed in blocks by a hash of the id; each block of test rows visits each block of training rows in a
+    task of its own and keeps k candidates a row. Nothing is broadcast.
     """
-    blocks = train.select(F.col(id_col).alias("t_id"), F.col(label).alias("t_label"), F.col(vector).alias("t_vector"), F.pmod(F.xxhash64(id_col), F.lit(max(1, -(-train.count() // block_rows)))).alias("block"))
-    packed = blocks.groupBy("block").agg(F.collect_list(F.struct("t_id", "t_label", "t_vector")).alias("items"))
-    distance = lambda t: F.aggregate(F.zip_with(vector, t["t_vector"], lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-    near = test.crossJoin(F.broadcast(packed)).select(id_col, label, F.slice(F.sort_array(F.transform("items", lambda t: F.struct(F.round(distance(t), 9).alias("d"), t["t_id"].alias("t_id"), t["t_label"].alias("t_label")))), 1, k).alias("best"))
-    best = near.select(id_col, label, F.explode("best").alias("b"))
-    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy(id_col).orderBy("b.d", "b.t_id"))).filter(F.col("r") <= k)
-    votes = ranked.groupBy(id_col, label, F.col("b.t_label").alias("vote")).agg(F.count(F.lit(1)).alias("c"))
-    return votes.groupBy(id_col, label).agg(F.min_by("vote", F.struct(-F.col("c"), F.col("vote"))).alias("predicted"))
+
+    def packed(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-rows.count() // block_rows))
+        items = rows.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(name), F.struct(F.col(id_col).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v")).alias("i"))
+        return items.groupBy(name).agg(F.collect_list("i").alias(f"{name}_items")), n  # block_rows a group, about
+
+    known, n = packed(train, "block")
+    asked, m = packed(test, "visitor")
+    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(n * m, "visitor", "block").join(known, "block")
+
+    def unpacked(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        items = column[row].values
+        ids, labels, vectors = (items.field(f) for f in ("id", "label", "v"))
+        return ids.to_numpy(), labels.to_numpy(zero_copy_only=False), vectors.flatten().to_numpy().reshape(len(items), -1)
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q_ids, q_labels, q = unpacked(batch.column("visitor_items"), row)
+                ids, labels, rows = unpacked(batch.column("block_items"), row)
+                found = [(q_ids[i], q_labels[i], ids[j], labels[j], d) for i, near, distance in _nearest(q, rows, ids, k) for j, d in zip(near, distance, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [*[pa.int64()] * 4, pa.float64()], strict=True)], ["id", "label", "t_id", "t_label", "d"])
+
+    best = pairs.select("visitor_items", "block_items").mapInArrow(visit, "id long, label long, t_id long, t_label long, d double")
+    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "t_id"))).filter(F.col("r") <= k)
+    votes = ranked.groupBy("id", "label", "t_label").agg(F.count(F.lit(1)).alias("c"))
+    kind = dict(train.dtypes)[label]
+    out = votes.groupBy("id", "label").agg(F.min_by("t_label", F.struct(-F.col("c"), F.col("t_label"))).alias("predicted"))
+    return out.select(F.col("id").alias(id_col), F.col("label").cast(kind).alias(label), F.col("predicted").cast(kind).alias("predicted"))
 
 
 def multinomial_nb(train: DataFrame, train_docs: DataFrame, vocab: DataFrame, value: str = "weight", alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -98,22 +144,20 @@ def positional_fusion(visual: DataFrame, textual: DataFrame, visual_id: str, tex
 
 
 def _numbered(rows: DataFrame, key: str) -> DataFrame:
-    from doclens.operators.tfidf import with_term_ids
-
-    held = with_term_ids(rows.select(F.struct(F.col(key).alias("k"), F.struct(*rows.columns).alias("row")).alias("term")))
-    return held.select(F.col("term_id").alias("rn"), "term.row.*")
+    return numbered(rows, [key], range_of(rows, key), name="rn")
 
 
 def random_fourier_features(vectors: DataFrame, dims: int, n_features: int = 200, gamma: float = 1.0, seed: int = 42, vector: str = "vector") -> DataFrame:
-    """Features whose inner products approach the RBF kernel exp(-gamma |x - y|^2)."""
-    import numpy as np
+    """Features whose inner products approach the RBF kernel exp(-gamma |x - y|^2). Each worker draws the same projection from the seed."""
 
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0, (2 * gamma) ** 0.5, (n_features, dims))
-    b = rng.uniform(0, 2 * np.pi, n_features)
-    rows = F.array(*(F.struct(F.array(*map(F.lit, map(float, row))).alias("w"), F.lit(float(c)).alias("b")) for row, c in zip(w, b, strict=True)))
-    dot = lambda p: F.aggregate(F.zip_with(vector, p["w"], lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    return vectors.withColumn(vector, F.transform(rows, lambda p: F.lit((2.0 / n_features) ** 0.5) * F.cos(dot(p) + p["b"])))
+    @F.pandas_udf("array<double>")
+    def project(batch: pd.Series) -> pd.Series:
+        rng = np.random.default_rng(seed)
+        w, b = rng.normal(0, (2 * gamma) ** 0.5, (n_features, dims)), rng.uniform(0, 2 * np.pi, n_features)
+        x = np.stack([np.asarray(v, dtype=float) for v in batch]) if len(batch) else np.zeros((0, dims))
+        return pd.Series(list((2.0 / n_features) ** 0.5 * np.cos(x @ w.T + b)))
+
+    return vectors.withColumn(vector, project(F.col(vector)))
 
 
 def _features(rows: DataFrame, vector: str, label: str) -> DataFrame:
@@ -122,20 +166,23 @@ def _features(rows: DataFrame, vector: str, label: str) -> DataFrame:
 
 def fit_predict(estimator, train: DataFrame, test: DataFrame, vector: str = "vector", label: str = "label", id_col: str = "vec_id") -> tuple[Model, DataFrame]:
     """The fitted model and (id, label, predicted) of the test rows."""
-    rows = _features(train, vector, label).select("features", "label").persist()  # solvers read them again and again
-    partitions = max(1, rows.count() // 5000)
-    model = estimator.fit(rows.coalesce(partitions).persist())
-    out = model.transform(_features(test, vector, label).select(id_col, "features", "label"))
+    return fit_features(estimator, _features(train, vector, label), _features(test, vector, label), id_col)
+
+
+def fit_features(estimator, train: DataFrame, test: DataFrame, id_col: str) -> tuple[Model, DataFrame]:
+    """The same for rows with the columns features and label (a double)."""
+    model = estimator.fit(hold(train.select("features", "label").repartition(max(1, train.count() // 5000))))  # solvers read them again and again
+    out = model.transform(test.select(id_col, "features", "label"))
     return model, out.select(id_col, F.col("label").cast("int").alias("label"), F.col("prediction").cast("int").alias("predicted"))
 
 
-def linear_svc(max_iter: int = 50) -> OneVsRest:
-    """One-vs-rest linear SVC. Spark's loss is the hinge, not its square."""
-    return OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=0.01, tol=1e-4), parallelism=8)
+def linear_svc(n_train: int, c: float = 1.0, max_iter: int = 100) -> OneVsRest:
+    """One-vs-rest linear SVC of cost c a row. Spark's loss is the hinge, not its square."""
+    return OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=1.0 / (c * max(1, n_train)), tol=1e-4, standardization=False), parallelism=8)
 
 
-def logistic_regression(n_train: int) -> LogisticRegression:
-    return LogisticRegression(family="multinomial", regParam=1.0 / max(1, n_train), standardization=False, maxIter=1000)
+def logistic_regression(n_train: int, c: float = 1.0) -> LogisticRegression:
+    return LogisticRegression(family="multinomial", regParam=1.0 / (c * max(1, n_train)), standardization=False, maxIter=1000)
 
 
 def perceptron(dims: int, classes: int, hidden: int = 64, seed: int = 42) -> MultilayerPerceptronClassifier:
@@ -148,8 +195,24 @@ def fused_vector(*parts: Column) -> Column:
 
 
 def tfidf_arrays(weights: DataFrame, vocab_ids: DataFrame, size: int) -> DataFrame:
-    """doc_id and a dense array of weights by term_id, for the small vocabularies that fused classifiers use."""
-    found = weights.join(F.broadcast(vocab_ids), "term").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term_id", "weight"))).alias("m"))
-    return found.select("doc_id", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("vector"))
+    """doc_id and a dense array of weights by term_id, for the vocabularies of a few thousand terms that fused classifiers use."""
+    found = weights.join(F.broadcast(vocab_ids), "term").groupBy("doc_id").agg(F.collect_list(F.struct("term_id", "weight")).alias("m"))
+
+    @F.pandas_udf("array<double>")
+    def dense(batch: pd.Series) -> pd.Series:
+        def one(row) -> np.ndarray:
+            out = np.zeros(size)
+            for r in row:
+                out[r["term_id"]] = r["weight"]
+            return out
+
+        return batch.map(one)
+
+    return found.select("doc_id", dense("m").alias("vector"))
 
 
+def tfidf_features(weights: DataFrame, docs: DataFrame, vocab_ids: DataFrame, size: int) -> DataFrame:
+    """The rows of docs (doc_id, ...) with `features`, their sparse vector of weights by term_id; zero for a document without known terms."""
+    found = weights.join(F.broadcast(vocab_ids), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("__m"))
+    sparse = F.udf(lambda m: Vectors.sparse(size, [(int(x["term_id"]), float(x["weight"])) for x in m or []]), VectorUDT())
+    return docs.join(found, "doc_id", "left").withColumn("features", sparse("__m")).drop("__m")

@@ -2,43 +2,53 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.text import preview
 from doclens.operators.tfidf import Vectorizer, postings
+from doclens.session import hold
 
 
 class SearchIndex:
-    """Weights of a corpus (doc_id, term, weight), the idf of its terms, and its documents (doc_id, class, path, text).
+    """Weights of a corpus before their norm (doc_id, term, weight), norms (doc_id, norm), the idf of its terms, and its
+    documents (doc_id, class, path, text).
 
-    `save` writes weights bucketed by nothing but sorted by term, so that a query's terms prune row groups.
+    A search takes the weights of its queries' terms and the norms of the documents that have one. `save` writes weights
+    sorted by term, so that a query's terms prune row groups.
     """
 
-    def __init__(self, weights: DataFrame, idf: DataFrame, docs: DataFrame, vectorizer: Vectorizer):
-        self.weights, self.idf, self.docs, self.vectorizer = weights, idf, docs, vectorizer
+    def __init__(self, weights: DataFrame, norms: DataFrame, idf: DataFrame, docs: DataFrame, vectorizer: Vectorizer):
+        self.weights, self.norms, self.idf, self.docs, self.vectorizer = weights, norms, idf, docs, vectorizer
 
     @classmethod
     def build(cls, docs: DataFrame, terms: Column, vectorizer: Vectorizer | None = None) -> SearchIndex:
         vectorizer = vectorizer or Vectorizer()
-        post = postings(docs, terms).persist()
-        idf = vectorizer.fit(post, docs.count()).persist()
-        return cls(vectorizer.transform(post, idf), idf, docs, vectorizer)
+        post = hold(postings(docs, terms))
+        idf = hold(vectorizer.fit(post, docs.count()))
+        weights = replace(vectorizer, l2=False).transform(post, F.broadcast(idf))  # idf has max_features rows
+        norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+        return cls(weights, norms, idf, docs, vectorizer)
 
     def save(self, path: str) -> None:
         self.weights.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/weights")
+        self.norms.write.mode("overwrite").parquet(f"{path}/norms")
         self.idf.write.mode("overwrite").parquet(f"{path}/idf")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
 
     @classmethod
     def load(cls, spark, path: str, vectorizer: Vectorizer | None = None) -> SearchIndex:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return cls(read("weights"), read("idf"), read("docs"), vectorizer or Vectorizer())
+        return cls(read("weights"), read("norms"), read("idf"), read("docs"), vectorizer or Vectorizer())
 
     def search(self, queries: DataFrame, terms: Column, k: int = 5) -> DataFrame:
         """query_id, rank, doc_id, class, path, similarity (rounded to 6 digits, above 0), preview of the k best documents a query."""
         asked = postings(queries.select(F.col("query_id").alias("doc_id"), terms.alias("__terms")), F.col("__terms"))
         vectors = self.vectorizer.transform(asked, self.idf).select(F.col("doc_id").alias("query_id"), "term", F.col("weight").alias("q"))
-        scores = self.weights.join(F.broadcast(vectors), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("q")), 6).alias("similarity")).filter("similarity > 0")
+        hits = hold(self.weights.join(F.broadcast(vectors), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("dot")))
+        norms = self.norms.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+        scores = hits.join(norms, "doc_id").select("query_id", "doc_id", F.round(F.col("dot") / F.col("norm"), 6).alias("similarity")).filter("similarity > 0")
         ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "doc_id"))).filter(F.col("rank") <= k)
         return F.broadcast(ranked).join(self.docs, "doc_id").select("query_id", "rank", "doc_id", "class", "path", "similarity", preview(F.col("text")).alias("preview"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.operators.numbering import numbered
+
 
 def postings(docs: DataFrame, terms: Column, *keep: str) -> DataFrame:
     """doc_id, kept columns, term, tf: one row a distinct term of a document."""
@@ -17,8 +19,9 @@ def document_frequency(post: DataFrame) -> DataFrame:
     return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def document_count(docs: DataFrame, terms: Column) -> int:
-    return docs.filter(F.size(terms) > 0).count()
+def document_count(post: DataFrame) -> int:
+    """Documents with a term. A document's rows of post lie together after their grouping, so few ids are shuffled."""
+    return post.agg(F.countDistinct("doc_id")).first()[0]
 
 
 def vocabulary(df: DataFrame, n_docs: int, min_df: int = 2, max_df_ratio: float = 0.95) -> DataFrame:
@@ -27,15 +30,9 @@ def vocabulary(df: DataFrame, n_docs: int, min_df: int = 2, max_df_ratio: float
 
 
 def with_term_ids(vocab: DataFrame) -> DataFrame:
-    """term_id: the place of the term in sorted order. Range-partitioned counts, so that no task sorts the whole vocabulary."""
-    dealt = vocab.repartitionByRange(vocab.sparkSession.sparkContext.defaultParallelism, "term").sortWithinPartitions("term").withColumn("__at", F.monotonically_increasing_id()).persist()
-    sizes = dealt.groupBy(F.shiftright("__at", 33).alias("__p")).agg(F.count(F.lit(1)).alias("__c")).orderBy("__p").collect()
-    rows, before = [], 0
-    for r in sizes:
-        rows.append((r["__p"], before))
-        before += r["__c"]
-    offsets = F.broadcast(vocab.sparkSession.createDataFrame(rows, "__p long, __before long"))
-    return dealt.withColumn("__p", F.shiftright("__at", 33)).join(offsets, "__p").withColumn("term_id", F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__p", "__before")
+    """term_id: the place of the term in sorted order, from counts of the terms that begin with the same three bytes."""
+    found = numbered(vocab, ["term"], F.substring(F.col("term").cast("binary"), 1, 3), name="term_id")
+    return found.withColumn("term_id", F.col("term_id") - 1)
 
 
 def top_terms_by_count(post: DataFrame, n: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """The OCR plan (I5-I7, A9-A11): images to raw and normalised text with a pluggable engine, one result row an image.
 
-An engine is a function from image bytes to text, built once a partition; none is bundled. Failures give empty text.
+An engine is a function from image bytes to text, built once a partition; none is bundled. An image that cannot be decoded
+(or an engine that fails) gives a null text: it counts as a failure, `failures` lists it and `readable` drops it.
 """
 
 from __future__ import annotations
@@ -8,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclens.functions.text import normalize, strip
+from doclens.functions.stemming import normalize_stemmed
+from doclens.functions.text import strip
 from doclens.operators.ingest import pending
 
 
@@ -26,15 +28,26 @@ def run_ocr(images: DataFrame, build: Callable[[], Callable[[bytes], str]]) -> D
                 try:
                     texts.append(engine(content) or "")
                 except Exception:  # one unreadable image must not end the run
-                    texts.append("")
+                    texts.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("class"), pa.array(texts, pa.string())], ["path", "class", "raw"])
 
     read = images.select("path", "class", "content").mapInArrow(recognise, "path string, class string, raw string")
     return ocr_results(read.withColumn("raw", strip(F.col("raw"))))
 
 
-def ocr_results(read: DataFrame) -> DataFrame:
-    processed = read.withColumn("processed", normalize(F.col("raw")))
+def failures(results: DataFrame) -> DataFrame:
+    """Images that could not be decoded or read at all, by class."""
+    return results.filter(~F.col("decoded")).groupBy("class").agg(F.count(F.lit(1)).alias("failed"))
+
+
+def readable(results: DataFrame) -> DataFrame:
+    """The results of the images that could be decoded."""
+    return results.filter("decoded")
+
+
+def ocr_results(read: DataFrame, normalizer: Callable[[Column], Column] = normalize_stemmed) -> DataFrame:
+    """Results of raw texts (null where the image could not be read), normalised with stems unless another normaliser is given."""
+    processed = read.withColumn("decoded", F.col("raw").isNotNull()).withColumn("raw", F.coalesce("raw", F.lit(""))).withColumn("processed", normalizer(F.col("raw")))
     return processed.withColumns({
         "ok": F.length("raw") > 0, "len_raw": F.length("raw").cast("long"), "len_processed": F.length("processed").cast("long"),
         "sample_raw": F.substring("raw", 1, 500), "sample_processed": F.substring("processed", 1, 500),

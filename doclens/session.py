@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -23,6 +23,21 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+_held: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """df, persisted until release(): for tables that one query reads several times."""
+    _held.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Unpersists what was held. What is still to be read is then computed again."""
+    while _held:
+        _held.pop().unpersist()
+
+
 def import_path(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver found it. A cluster may ship it with --py-files instead."""
     env = spark.sparkContext.environment

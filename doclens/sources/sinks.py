@@ -1,9 +1,11 @@
-"""Outputs: images, texts, vocabularies, reports, metrics and models (K1, K3, K5, K7-K9)."""
+"""Outputs: images, texts, vocabularies, features, reports, metrics and models (K1-K3, K5-K9)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.util import MLWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.operators.ingest import pending
@@ -15,6 +17,22 @@ def write_images(images: DataFrame, path: str, resolution: int, done: DataFrame
     todo.withColumn("resolution", F.lit(resolution)).write.mode("append").partitionBy("resolution", "class").parquet(path)
 
 
+def write_encoded_images(images: DataFrame, path: str, encode: Callable[[list[int], int], bytes]) -> None:
+    """Images (class, name, pixels, width) as files' bytes, one row each, by an encoder that the caller brings (none is bundled)."""
+    coded = F.udf(lambda pixels, width: encode(pixels, width), "binary")
+    images.select("class", "name", coded("pixels", "width").alias("content")).write.mode("append").partitionBy("class").parquet(path)
+
+
+def write_features(rows: DataFrame, path: str) -> None:
+    """Feature vectors: img_id, label, kind (lbp, glcm, hist, combined, ...), vector. One folder a kind."""
+    rows.select("img_id", "label", "kind", F.col("vector").cast("array<float>").alias("vector")).write.mode("overwrite").partitionBy("kind").parquet(path)
+
+
+def read_features(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """img_id, label, vector of one kind."""
+    return spark.read.parquet(path).filter(F.col("kind") == kind).select("img_id", "label", "vector")
+
+
 def write_texts(results: DataFrame, path: str) -> None:
     """Raw and normalised texts, one folder a class."""
     results.select("class", "path", "raw", "processed").write.mode("append").partitionBy("class").parquet(path)

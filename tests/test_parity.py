@@ -16,7 +16,7 @@ def test_same_rows(spark, duck, name):
     assert_same(QUERIES[name](spark, SF).toPandas(), duck.execute(ORACLE[name]).df())
 
 
-@pytest.mark.parametrize("name", sorted({"x2_stemmed_tokens", "i1_lbp", "i4_preprocess", "i9_reading_order", "m8_logistic_predict"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - {"m5_rbf_svm_predict", "m11_fusion_predict"}))
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 

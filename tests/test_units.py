@@ -15,7 +15,7 @@ from doclens.operators import images as im
 from doclens.operators import ingest as ig
 from doclens.operators import layout as ly
 from doclens.operators import learning as ml
-from doclens.plans.ocr import examples, ocr_statistics, resume, run_ocr
+from doclens.plans.ocr import examples, failures, ocr_statistics, readable, resume, run_ocr
 from doclens.sources import corpus as so
 from doclens.streaming.ingest import ingest, quota_reached, row_stream
 
@@ -146,9 +146,10 @@ def test_ocr_plan(spark):
         return engine
 
     results = run_ocr(images, build).persist()
-    assert {r["path"]: (r["ok"], r["processed"]) for r in results.collect()} == {"a/1.png": (True, "invoices paid"), "a/2.png": (False, ""), "b/3.png": (False, "")}
+    assert {r["path"]: (r["ok"], r["processed"]) for r in results.collect()} == {"a/1.png": (True, "invoic paid"), "a/2.png": (False, ""), "b/3.png": (False, "")}
     stats = {r["class"]: r for r in ocr_statistics(results).collect()}
     assert (stats["TOTAL"]["total"], stats["TOTAL"]["successes"], stats["a"]["rate"], stats["b"]["min_len"]) == (3, 1, 50.0, 0)
+    assert failures(results).collect() == [("b", 1)] and readable(results).count() == 2
     assert resume(images, results, build).count() == 2
     assert examples(results, least=5).count() == 1
 
@@ -234,3 +235,129 @@ def test_sinks_guards_and_saved_index(spark, tmp_path, capsys):
     images = spark.createDataFrame([("a", "x.png", b"1"), ("a", "y.png", b"2")], "class string, name string, content binary")
     sinks.write_images(images, str(tmp_path / "i"), 128, spark.createDataFrame([("x.png",)], "name string"))
     assert [r["name"] for r in spark.read.parquet(str(tmp_path / "i")).collect()] == ["y.png"]
+
+
+def test_every_document_keeps_its_row_when_stemmed(spark):
+    from doclens.functions.stemming import normalize_stemmed, stemmed_tokens
+
+    rows = spark.createDataFrame([(1, "The running dogs were happily eating"), (2, "of the"), (3, ""), (4, None)], "doc_id long, text string")
+    want = {1: "run dog happili eat", 2: "", 3: "", 4: ""}
+    assert {r["doc_id"]: r["text"] for r in stemmed_tokens(rows.withColumn("w", tx.tokens(F.col("text")))).collect()} == want
+    assert {r["doc_id"]: r["t"] for r in rows.select("doc_id", normalize_stemmed(F.col("text")).alias("t")).collect()} == want
+
+
+def test_null_classes_are_classes(spark):
+    from doclens.operators import corpus as cp
+
+    docs = spark.createDataFrame([(k, "a" if k % 2 else None, f"word{'x' * (k % 3)} text") for k in range(40)], "doc_id long, class string, text string")
+    parts = ml.stratified_split(docs).groupBy("class", "part").count().collect()
+    assert sorted((str(r["class"]), r["part"], r["count"]) for r in parts) == [("None", "test", 4), ("None", "train", 16), ("a", "test", 4), ("a", "train", 16)]
+    found = {r["class"]: (r["n_docs"], r["n_tokens"]) for r in cp.corpus_summary(docs, tx.tokens(F.col("text"))).collect()}
+    assert found == {None: (20, 40), "a": (20, 40), "TOTAL": (40, 80)}
+
+
+def test_numbers_run_through_ranges(spark, monkeypatch):
+    from doclens.operators import numbering as nu
+
+    monkeypatch.setattr(nu, "RANGE_ROWS", 7)
+    rows = spark.createDataFrame([((k * 37) % 101, "a" if k % 3 else None) for k in range(100)], "id long, class string")
+    got = nu.numbered(rows, ["id"], nu.range_of(rows, "id"), ["class"]).collect()
+    for name in ("a", None):
+        own = sorted(((r["id"], r["n"]) for r in got if r["class"] == name))
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+    whole = nu.numbered(rows, ["id"], nu.range_of(rows, "id")).collect()
+    assert [r["n"] for r in sorted(whole, key=lambda r: r["id"])] == list(range(1, 101))
+
+
+def test_neighbours_by_force(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, int(rng.integers(3)), rng.integers(0, 3, 4).astype(float).tolist()) for k in range(90)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, vector array<double>")
+    got = {r["vec_id"]: r["predicted"] for r in ml.knn_predictions(frame.filter("vec_id >= 30"), frame.filter("vec_id < 30"), block_rows=16).collect()}
+    for k, _, v in rows[:30]:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), i, label) for i, label, w in rows[30:])[:5]
+        votes = [label for _, _, label in near]
+        assert got[k] == min(set(votes), key=lambda x: (-votes.count(x), x))
+
+
+def test_kernels_agree_with_pixel_tables(spark):
+    rng = np.random.default_rng(2)
+    images = spark.createDataFrame([(k, 0, rng.integers(0, 256, 64).tolist()) for k in range(5)] + [(9, 1, [7] * 64)], "img_id long, label int, pixels array<int>")
+    pixels = im.pixel_table(images, 8)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert same(im.image_glcm(images, 8), im.glcm_features(pixels)) and same(im.image_otsu(images), im.otsu_thresholds(pixels))
+    assert same(im.image_histograms(images), im.intensity_histogram(pixels)) and same(im.image_binarised(images, 8), im.binarised(pixels).select("img_id", "y", "x", "v"))
+
+
+def test_classifiers_separate_what_can_be_separated(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, k % 2, (rng.normal(0, 1, 3) + 4 * (k % 2)).tolist()) for k in range(120)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, vector array<double>")
+    train, test = frame.filter("vec_id < 80"), frame.filter("vec_id >= 80")
+    for estimator in (ml.linear_svc(80), ml.logistic_regression(80), ml.perceptron(3, 2, hidden=4)):
+        found = ml.fit_predict(estimator, train, test)[1].collect()
+        assert sum(r["label"] == r["predicted"] for r in found) >= 38
+    ring = [(k, int(np.hypot(*p) > 1.2), p.tolist()) for k, p in enumerate(rng.normal(0, 1, (300, 2)))]
+    frame = spark.createDataFrame(ring, "vec_id long, label int, vector array<double>")
+    lifted = lambda part: ml.random_fourier_features(part, 2, gamma=0.5)
+    found = ml.fit_predict(ml.linear_svc(200, 10.0), lifted(frame.filter("vec_id < 200")), lifted(frame.filter("vec_id >= 200")))[1].collect()
+    assert sum(r["label"] == r["predicted"] for r in found) >= 85  # no line parts a disc from its ring
+
+
+def test_logistic_regression_against_a_plain_solver(spark):
+    """Gradient descent on the same penalised loss over sparse term vectors gives the same coefficients."""
+    weights = spark.createDataFrame([(0, "a", 1.0), (0, "b", 0.5), (1, "b", 1.0), (2, "a", 0.2), (2, "c", 1.0), (3, "c", 0.7), (4, "a", 0.9), (5, "b", 0.8)], "doc_id long, term string, weight double")
+    docs = spark.createDataFrame([(k, float(k % 2)) for k in range(7)], "doc_id long, label double")
+    ids = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "term string, term_id int")
+    rows = ml.tfidf_features(weights, docs, ids, 3)
+    model = ml.fit_features(ml.logistic_regression(7), rows, rows, "doc_id")[0]
+    got = sorted((r["doc_id"], r["features"].toArray(), r["label"]) for r in rows.collect())
+    x, y = np.stack([v for _, v, _ in got]), np.eye(2)[[int(label) for _, _, label in got]]
+    w, b = np.zeros((3, 2)), np.zeros(2)
+    for _ in range(20_000):
+        z = x @ w + b
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        w -= 0.3 * (x.T @ (p - y) / 7 + w / 7)
+        b -= 0.3 * (p - y).mean(axis=0)
+    assert (model.coefficientMatrix.toArray()[1] - model.coefficientMatrix.toArray()[0]) == pytest.approx(w[:, 1] - w[:, 0], abs=1e-3)
+
+
+def test_stages_resume_and_metrics_are_cached(spark, tmp_path):
+    from doclens.plans.stages import run_stages, train_all
+
+    ran = []
+
+    def stage(name, make):
+        return name, lambda done: ran.append(name) or make(done)
+
+    stages = [stage("one", lambda done: spark.range(5)), stage("two", lambda done: done["one"].filter("id > 2"))]
+    assert run_stages(spark, stages, str(tmp_path))["two"].count() == 2
+    run_stages(spark, [*stages, stage("three", lambda done: done["two"])], str(tmp_path))
+    assert ran == ["one", "two", "three"]
+    rows = spark.createDataFrame([(0, 0), (1, 1), (1, 0)], "label int, predicted int")
+    trained = []
+    models = [(n, "k", lambda n=n: trained.append(n) or rows) for n in ("m", "o")]
+    train_all(spark, models[:1], str(tmp_path / "metrics"))
+    table = train_all(spark, models, str(tmp_path / "metrics")).collect()
+    assert trained == ["m", "o"] and [r["model"] for r in table] == ["m", "o"]
+
+
+def test_feature_tables(spark, tmp_path):
+    from doclens.sources import sinks
+
+    rows = spark.createDataFrame([(1, 0, "lbp", [0.5]), (2, 1, "lbp", [0.25]), (1, 0, "glcm", [1.0, 2.0])], "img_id long, label int, kind string, vector array<double>")
+    sinks.write_features(rows, str(tmp_path / "f"))
+    assert {r["img_id"]: r["vector"] for r in sinks.read_features(spark, str(tmp_path / "f"), "lbp").collect()} == {1: [0.5], 2: [0.25]}
+    pixels = spark.createDataFrame([("a", "x.bin", [1, 2], 2)], "class string, name string, pixels array<int>, width int")
+    sinks.write_encoded_images(pixels, str(tmp_path / "e"), lambda p, width: bytes([width, *p]))
+    assert bytes(spark.read.parquet(str(tmp_path / "e")).first()["content"]) == b"\x02\x01\x02"
+
+
+def test_reading_order_of_a_page():
+    """Two panels of stacked lines beside each other, and one below: left before right, upper before lower, words of a line by x."""
+    box = lambda item, x, y, w=40: {"item": item, "min_x": float(x), "max_x": float(x + w), "min_y": float(y), "max_y": y + 12.0, "center_y": y + 6.0}
+    page = [box(0, 300, 10), box(1, 10, 12), box(2, 55, 14), box(3, 10, 40), box(4, 300, 44), box(5, 12, 400), box(6, 56, 402)]
+    got = [item for item, *_ in ly.page_order(page)]
+    assert got == [1, 2, 3, 0, 4, 5, 6]
+    assert ly.page_blocks(page) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 5, 6: 5}
