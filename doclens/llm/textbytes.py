@@ -150,16 +150,21 @@ def rows_within(offsets: np.ndarray, at: int, to: int) -> tuple[int, np.ndarray]
     return first, np.clip(offsets[first : last + 1], at, to) - at
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word of the texts, A-Z lower-cased. What is worked on at once is bounded, so the memory for a long text is that of its words' hashes."""
-    hashes, rows = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (A-Z lower-cased), start, end and row of every word of the texts. What is worked on at once is bounded, so the memory for a long text is that of its words' numbers."""
+    found: list[tuple] = [(np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3)]
     for at, to in ranges(data, offsets, apart, most):
         part = LOWER[data[at:to]]
         first, own = rows_within(offsets, at, to)
         a, b, r = spans(part, own, apart)
-        hashes.append(span_hash(prefix_hash(part), a, b))
-        rows.append(r + first)
-    return np.concatenate(hashes), np.concatenate(rows)
+        found.append((span_hash(prefix_hash(part), a, b), a + at, b + at, r + first))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every run between white space."""
+    hashes, _, _, rows = words(data, offsets)
+    return hashes, rows
 
 
 _STEP = [np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64) | 1) for k in range(64)]
