@@ -44,35 +44,49 @@ class Settings:
 
 
 def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and row of every feature that adds its vector, and the number of features of each row.
+    """Bucket and row of every feature that adds its vector (one of a kind, a length, and a window), and the number of features of each row.
 
     Words are in the lower half of the table, character n-grams in the upper.
     """
     half = s.buckets_log2 - 1
     starts, ends, rows = spans(data, offsets, SPACE)
     prefix = prefix_hash(data)
-    buckets = [((span_hash(prefix, starts, ends) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - half)).astype(np.int32)]
-    of = [rows]
     first = np.flatnonzero((data & 0xC0) != 0x80)  # of each character
-    row_of = np.searchsorted(offsets, first, "right") - 1
-    at = [np.searchsorted(first, starts)]
+    sizes = np.diff(offsets)
+    begin = np.searchsorted(first, offsets)
+    row_of = np.repeat(np.arange(len(sizes)), np.diff(begin))
+    # windows have running numbers, those of a row follow those of the row before
+    windows = np.concatenate([[0], np.cumsum(-(-np.diff(begin) // s.window))])
+    window_of = (np.arange(len(first)) - begin[row_of]) // s.window + windows[row_of]
+    word = ((span_hash(prefix, starts, ends) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - half)).astype(np.int32)
+    kept = once(word, window_of[np.searchsorted(first, starts)], half)
+    buckets, of, whole = [word[kept]], [rows[kept]], np.bincount(rows, minlength=len(sizes))
     code = span_hash(prefix, first, np.append(first[1:], len(data))).astype(np.uint32)
     rolled = np.zeros(len(first), dtype=np.uint32)
     for k in range(max(s.ngrams)):
         size = max(0, len(first) - k)
         rolled = rolled[:size] + code[k : k + size] * _STEPS[k]
         if k + 1 in s.ngrams:
-            whole = np.flatnonzero(row_of[:size] == row_of[k:])
-            found = ((rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - half)
-            buckets.append(found[whole].astype(np.int32) + np.int32(1 << half))
-            of.append(row_of[whole])
-            at.append(whole)
-    bucket, row = np.concatenate(buckets), np.concatenate(of)
-    window = (np.concatenate(at) - np.searchsorted(first, offsets[:-1])[row]) // s.window
-    # windows in order of row get numbers of their own
-    most = np.concatenate([[0], np.cumsum(-(-np.diff(np.searchsorted(first, offsets)) // s.window))])
-    keys = np.unique((most[row] + window) << s.buckets_log2 | bucket)
-    return (keys & ((1 << s.buckets_log2) - 1)).astype(np.int32), np.searchsorted(most, keys >> s.buckets_log2, "right") - 1, np.bincount(row, minlength=len(offsets) - 1)
+            inside = np.flatnonzero(row_of[:size] == row_of[k:])
+            found = (((rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - half)).astype(np.int32)[inside]
+            kept = once(found, window_of[inside], half)
+            buckets.append(found[kept] + np.int32(1 << half))
+            of.append(row_of[inside[kept]])
+            whole += np.maximum(np.diff(begin) - k, 0)
+    return np.concatenate(buckets), np.concatenate(of), whole
+
+
+def once(bucket: np.ndarray, window: np.ndarray, log2: int, together: int = 16) -> np.ndarray:
+    """One place of each bucket in each window; window numbers ascend. A table of stamps finds them without sorting."""
+    stamp = np.zeros(together << log2, dtype=np.int32)
+    code = (window % together).astype(np.int32) << np.int32(log2) | bucket
+    ends = np.searchsorted(window, np.arange(0, (int(window[-1]) if len(window) else 0) + 2 * together, together))
+    kept = np.empty(len(bucket), dtype=bool)
+    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        own, places = code[lo:hi], np.arange(hi - lo, dtype=np.int32)
+        stamp[own] = places
+        kept[lo:hi] = stamp[own] == places
+    return np.flatnonzero(kept)
 
 
 def step(vectors: np.ndarray, layer: np.ndarray, bias: np.ndarray, ids: np.ndarray, weight: np.ndarray, label: int, rate: float) -> None:

@@ -266,12 +266,12 @@ def test_long_pieces_are_segments():
 def quality_by_force(text: str, numbers: np.ndarray, bias: float, s: sw.Settings) -> float:
     half, low = s.buckets_log2 - 1, (1 << 32) - 1
     codes = [li._hash(c.encode()) & low for c in text]
-    found = [(m.start() // s.window, ((li._hash(m.group().encode()) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> (64 - half)) for m in re.finditer("[^\\x20\\x09-\\x0D]+", text)]
+    found = [(m.start() // s.window, 1, ((li._hash(m.group().encode()) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> (64 - half)) for m in re.finditer("[^\\x20\\x09-\\x0D]+", text)]
     for n in s.ngrams:
         for at in range(len(text) - n + 1):
             total = sum(codes[at + k] * int(sw._STEPS[k]) for k in range(n)) & low
-            found.append((at // s.window, ((((total ^ total >> 15) * 0x2C1B3C6D) & low) >> (32 - half)) + (1 << half)))
-    total = sum(float(numbers[b]) for _, b in set(found)) / max(len(found), 1) + bias
+            found.append((at // s.window, n, ((((total ^ total >> 15) * 0x2C1B3C6D) & low) >> (32 - half)) + (1 << half)))
+    total = sum(float(numbers[b]) for _, _, b in set(found)) / max(len(found), 1) + bias
     return 1 / (1 + math.exp(-total))
 
 
@@ -345,7 +345,7 @@ def force_contamination(text, items, window=10):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("limit", [32 << 20, 300])
+@pytest.mark.parametrize("limit", [de.STATES, 9])
 def test_contamination_by_force(spark, limit):
     """The same rows, whether one automaton holds all windows or several are passed in turn."""
     items = [(1, "The quick, brown fox jumps over the lazy dog and then runs far away"), (2, "short one"), (3, "Short  ONE"), (10, "über straße 漢字"), (11, "")]
