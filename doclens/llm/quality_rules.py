@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from doclens.llm.common import bound_batches, keep_rows, table
-from doclens.llm.textbytes import SPACE, mix, pieces, prefix_hash, span_hash, spans, sums, window_hash
+from doclens.llm.textbytes import mix, pieces, sums, window_hash, words
 
 BLOCK = 1 << 20
 SYMBOL = np.zeros(256, dtype=bool)
@@ -59,23 +59,22 @@ def _covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
 
 def measure(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
-    starts, ends, rows = spans(data, offsets, SPACE)
-    prefix = prefix_hash(data)
-    hashes = span_hash(prefix, starts, ends)
-    points = np.zeros(len(data) + 1, dtype=np.int64)
+    hashes, starts, ends, rows = words(data, offsets, fold=False)
+    count = np.int32 if len(data) < 1 << 31 else np.int64
+    points = np.zeros(len(data) + 1, dtype=count)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     chars = points[ends] - points[starts]
     out = {"n_words": np.bincount(rows, minlength=n).astype(np.int64), "word_chars": sums(chars, rows, n)}
-    symbols = np.zeros(len(data) + 1, dtype=np.int64)
+    symbols = np.zeros(len(data) + 1, dtype=count)
     np.cumsum(SYMBOL[data], out=symbols[1:])
-    out["n_symbols"] = symbols[offsets[1:]] - symbols[offsets[:-1]]
+    out["n_symbols"] = (symbols[offsets[1:]] - symbols[offsets[:-1]]).astype(np.int64)
 
-    first, last, of = spans(data, offsets, NEWLINE)
+    lines, first, last, of = words(data, offsets, NEWLINE, fold=False)
     words_to = np.searchsorted(starts, last)
     words_from = np.searchsorted(starts, first)
     spoken = words_to > words_from
-    first, last, of, words_from, words_to = first[spoken], last[spoken], of[spoken], words_from[spoken], words_to[spoken]
-    _, later = _again(mix(span_hash(prefix, first, last) ^ (of.astype(np.uint64) * _ROW)))
+    lines, of, words_from, words_to = lines[spoken], of[spoken], words_from[spoken], words_to[spoken]
+    _, later = _again(mix(lines ^ (of.astype(np.uint64) * _ROW)))
     out["n_dup_lines"] = sums(later, of, n)
     total = np.concatenate([[0], np.cumsum(chars)])
     in_lines = sums((total[words_to] - total[words_from]) * later, of, n)
@@ -89,12 +88,14 @@ def measure(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> dict[str, np
     often, _ = _again(mix(window_hash(hashes, 3)[valid] ^ salt[valid]))
     seeds = valid[often]  # a longer n-gram that repeats starts with three words that do
     out["n_repeat_words"] = sums(_covered(seeds, 3, size), rows, n)
-    for k in rules.coverage:
-        at = seeds[seeds + k <= size]
-        at = at[rows[at] == rows[at + k - 1]]
-        keys = np.zeros(len(at), dtype=np.uint64)
-        for j in range(k):
-            keys = mix(keys + hashes[at + j])
+    at, keys = seeds, np.zeros(len(seeds), dtype=np.uint64)
+    for k in range(1, max(rules.coverage, default=0) + 1):
+        fits = np.flatnonzero(at + k <= size)
+        fits = fits[rows[at[fits]] == rows[at[fits] + k - 1]]
+        at = at[fits]
+        keys = mix(keys[fits] + hashes[at + k - 1])  # the hash rolls on from that of k - 1 words
+        if k not in rules.coverage:
+            continue
         _, later = _again(keys ^ salt[at])
         out[f"coverage_{k}"] = sums(chars * _covered(at[later], k, size), rows, n) / whole
     failed = (out["n_words"] < rules.min_words) | (100 * out["n_repeat_words"] > rules.repeat_percent * out["n_words"])

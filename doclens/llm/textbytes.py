@@ -150,11 +150,11 @@ def rows_within(offsets: np.ndarray, at: int, to: int) -> tuple[int, np.ndarray]
     return first, np.clip(offsets[first : last + 1], at, to) - at
 
 
-def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash (A-Z lower-cased), start, end and row of every word of the texts. What is worked on at once is bounded, so the memory for a long text is that of its words' numbers."""
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE, most: int = 1 << 20, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (A-Z lower-cased, unless fold is false), start, end and row of every word of the texts. What is worked on at once is bounded, so the memory for a long text is that of its words' numbers."""
     found: list[tuple] = [(np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64)] * 3)]
     for at, to in ranges(data, offsets, apart, most):
-        part = LOWER[data[at:to]]
+        part = LOWER[data[at:to]] if fold else data[at:to]
         first, own = rows_within(offsets, at, to)
         a, b, r = spans(part, own, apart)
         found.append((span_hash(prefix_hash(part), a, b), a + at, b + at, r + first))

@@ -2,7 +2,7 @@
 
 An archive is a folder of two Parquet tables. `payloads` holds each distinct payload once, under its SHA-256; `headers`
 holds the exact header block of every record and the key of its payload. Reading verifies every payload against its key
-(a mismatch raises) and rebuilds records by joining the two.
+(a mismatch raises) and every header block against its row and payload, and rebuilds records by joining the two.
 
 Of the records that share a payload of at least `min_payload` bytes, the one with the smallest page_id is the response;
 the others are revisits that refer to it. Smaller payloads are all responses.
@@ -72,6 +72,26 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0, date: str =
     stored.dropDuplicates(["payload_key"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
+def _field(name: str) -> Column:
+    """The value of a line of the header block, an empty string where there is none."""
+    return F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1)
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_key, refers_to, and what the exact header block of each record says: record_type, said_digest, said_bytes.
+
+    Raises where a block does not bear the record's own identifier, or refers to another record than the row does.
+    """
+    found = spark.read.parquet(f"{path}/headers").select("page_id", "payload_key", "refers_to", _field("WARC-Type").alias("record_type"), F.substring_index(_field("WARC-Payload-Digest"), ":", -1).alias("said_digest"), _field("Content-Length").cast("long").alias("said_bytes"), _field("WARC-Record-ID").alias("__id"), _field("WARC-Refers-To").alias("__of"))
+    refers = F.when(F.col("record_type") == "revisit", _record_id(F.col("refers_to"), F.col("payload_key"))).otherwise(F.lit(""))
+    sound = (F.col("__id") == _record_id(F.col("page_id"), F.col("payload_key"))) & (F.col("__of") == refers)
+    return found.withColumn("record_type", _or_raise(sound, F.col("record_type"), F.col("page_id"))).drop("__id", "__of")
+
+
+def _or_raise(sound: Column, value: Column, page_id: Column) -> Column:
+    return F.when(sound, value).otherwise(F.raise_error(F.concat(F.lit("damaged header of page "), F.coalesce(page_id.cast("string"), F.lit("null")))).cast("string"))
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """payload_key, payload; raises where a payload does not have the digest it is stored under."""
     found = spark.read.parquet(f"{path}/payloads")
@@ -94,8 +114,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "op3")
     write_archive(table(spark, sf_dir, "pages"), path)
     facts = read_payloads(spark, path).select("payload_key", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    headers = spark.read.parquet(f"{path}/headers").select("page_id", "payload_key", "record_type", "refers_to")
-    return headers.join(facts, "payload_key").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = read_headers(spark, path).join(facts, "payload_key")
+    length = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
+    sound = (F.col("said_digest") == F.col("payload_digest")) & (F.col("said_bytes") == length)
+    return records.select("page_id", "payload_bytes", _or_raise(sound, F.col("payload_digest"), F.col("page_id")).alias("payload_digest"), "record_type", "refers_to")
 
 
 OP3_SQL = """

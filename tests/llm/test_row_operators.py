@@ -15,7 +15,8 @@ from doclens.llm import langid as li
 from doclens.llm import quality_rules as qr
 from doclens.llm import subword as sw
 from doclens.llm import toxicity as tox
-from doclens.llm.common import crc_mod
+from doclens.llm.common import crc_mod, look_up, mark_listed, shared_dir
+from doclens.llm.textbytes import column_bytes, words
 
 SF = "/root/testdata/sf0.001"
 BENCH = "item_id long, text string"
@@ -363,3 +364,34 @@ def test_contamination_by_force(spark, limit):
 
 def test_crc_of_null_is_null(spark):
     assert spark.range(1).select(crc_mod("id", 5).alias("x"), F.crc32(F.lit(None).cast("binary")).alias("y")).first()["y"] is None
+
+
+def test_words_of_parts_are_words_of_the_whole():
+    """Texts of more than a part, words longer than one, empty rows: the same words, and none across rows."""
+    column = pa.array([*ODD, "ab" * 40 + " c " * 30, "", "x", "y" * 33, "a b"])
+    data, offsets = column_bytes(column)
+    whole = words(data, offsets)
+    for most in (1, 7, 16, 1000):
+        assert all((a == b).all() for a, b in zip(whole, words(data, offsets, most=most), strict=True))
+    texts = [t or "" for t in column.to_pylist()]
+    assert [texts[r].encode()[a - offsets[r] : b - offsets[r]].decode() for a, b, r in zip(*whole[1:], strict=True)] == [w for t in texts for w in re.findall("[^\\x20\\x09-\\x0D]+", t)]
+
+
+def test_filter_lets_all_listed_hashes_through(spark):
+    rows = spark.range(3000).select(F.xxhash64("id").alias("h"), "id")
+    listed = rows.filter("id < 40").select("h")
+    marked = mark_listed(rows, "h", listed, 40, "maybe").filter("maybe")
+    assert marked.filter("id < 40").count() == 40 and marked.count() < 400 and "filter_word" not in marked.columns
+
+
+def test_hot_keys_are_looked_up_like_others(spark):
+    rows = spark.createDataFrame([(k, 7 if k < 900 else k % 50) for k in range(1200)], "id long, key long")
+    facts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("least"))
+    got = look_up(rows, facts, "key", 1200)
+    assert got.count() == 1200 and got.filter("key = 7").select("least").distinct().collect() == [(0,)]
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(spark)
