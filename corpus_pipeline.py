@@ -1,8 +1,13 @@
 """From raw documents to packed training windows: five stages, each an operator of doclens.llm, each written and read again.
 
 A stage takes (spark, docs, sf_dir) and returns the documents that stay, with all their columns; the last one returns
-windows. Null or empty texts go with the first stage (they have fewer than 50 words); a document without a language goes
-with the second.
+windows.
+
+Defined cases. Null or empty texts go with the first stage (they have fewer than 50 words); a document without a language
+goes with the second. A null doc_id is kept like any other, but in a group of near copies it counts after all others.
+Repeated rows are copies: one of them stays; of a group's documents the one of the smallest doc_id does, so ties do not
+arise. Very long texts are read in parts by every stage and stay whole. An empty table gives an empty result. Further
+columns, of whatever name, pass through all stages but the last, which returns its own.
 """
 
 from __future__ import annotations
@@ -56,7 +61,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: Learned models and token vocabularies are beyond SQL; tests/llm/test_corpus_operators.py holds run() against plain Python.
+#: Learned models and token vocabularies are beyond SQL; tests/llm/test_corpus_operators.py holds every stage against plain Python.
 ORACLE_SQL: str | None = None
 
 
