@@ -150,9 +150,33 @@ def lbp_column(pixels: Column, width: int, points: int = 24, radius: float = 3.0
     return run(pixels)
 
 
-def preprocess_column(pixels: Column, width: int, size: int) -> Column:
+def preprocess_column(pixels: Column, width: Column | int, size: int) -> Column:
     @F.pandas_udf("array<int>")
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda p: preprocess(np.asarray(p, dtype=np.uint8).reshape(-1, width), size).ravel().astype(np.int32))
+    def run(batch: pd.Series, widths: pd.Series) -> pd.Series:
+        return pd.Series([preprocess(np.asarray(p, dtype=np.uint8).reshape(-1, w), size).ravel().astype(np.int32) for p, w in zip(batch, widths, strict=True)])
 
-    return run(pixels)
+    return run(pixels, F.lit(width) if isinstance(width, int) else width)
+
+
+def sinc_weights(n: int, size: int, lobes: int = 3) -> np.ndarray:
+    """(size, n): weights of a windowed sinc (Lanczos) of so many lobes, widened where the image shrinks; rows sum to 1."""
+    scale = max(n / size, 1.0)
+    centre = (np.arange(size) + 0.5) * n / size
+    x = (np.arange(n)[None, :] + 0.5 - centre[:, None]) / scale
+    w = np.where(np.abs(x) < lobes, np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def tensor(image: np.ndarray, size: int) -> np.ndarray:
+    """size x size values from 0 to 1: rows, then columns, each rounded to grey levels, then divided by 255."""
+    rows, columns = (sinc_weights(n, size) for n in image.shape)
+    across = np.clip(np.rint(image.astype(np.float64) @ columns.T), 0, 255)
+    return np.clip(np.rint(rows @ across), 0, 255) / 255
+
+
+def tensor_column(pixels: Column, width: Column, size: int) -> Column:
+    @F.pandas_udf("array<float>")
+    def run(batch: pd.Series, widths: pd.Series) -> pd.Series:
+        return pd.Series([tensor(np.asarray(p, dtype=np.uint8).reshape(-1, w), size).ravel().astype(np.float32) for p, w in zip(batch, widths, strict=True)])
+
+    return run(pixels, width)

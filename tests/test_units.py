@@ -361,3 +361,20 @@ def test_reading_order_of_a_page():
     got = [item for item, *_ in ly.page_order(page)]
     assert got == [1, 2, 3, 0, 4, 5, 6]
     assert ly.page_blocks(page) == {0: 0, 1: 1, 2: 1, 3: 1, 4: 0, 5: 5, 6: 5}
+
+
+def test_decoded_images_and_their_failures(spark):
+    from doclens.plans import images as pi
+
+    files = spark.createDataFrame([("a/1.g", "a", "1.g", bytes([2, 9, 9, 9, 9])), ("a/2.g", "a", "2.g", b""), ("b/3.g", "b", "3.g", bytes([4, *range(16)]))], "path string, class string, name string, content binary")
+
+    def build():
+        return lambda content: np.frombuffer(content[1:], dtype=np.uint8).reshape(-1, content[0])
+
+    found = pi.decode_images(files, build)
+    assert {r["name"]: (r["pixels"] and len(r["pixels"]), r["width"]) for r in found.collect()} == {"1.g": (4, 2), "2.g": (None, None), "3.g": (16, 4)}
+    assert [tuple(r) for r in pi.processing_counts(found).collect()] == [(128, 2, 1), (256, 2, 1)]
+    assert {r["name"]: len(r["pixels"]) for r in pi.preprocessed(found, 16).collect()} == {"1.g": 256, "3.g": 256}
+    tensors = {r["name"]: np.array(r["tensor"]) for r in pi.tensors(found, 8).collect()}
+    assert tensors["1.g"] == pytest.approx(np.full(64, 9 / 255)) and 0 <= tensors["3.g"].min() and tensors["3.g"].max() <= 1
+    assert ik.sinc_weights(4, 4) == pytest.approx(np.eye(4), abs=1e-12)
