@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -391,7 +392,10 @@ def test_hot_keys_are_looked_up_like_others(spark):
     assert got.count() == 1200 and got.filter("key = 7").select("least").distinct().collect() == [(0,)]
 
 
-def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
-    with pytest.raises(ValueError, match="checkpoint.dir"):
-        shared_dir(spark)
+def test_a_cluster_must_name_its_shared_folder():
+    unset = SimpleNamespace(get=lambda *_: None)
+    session = lambda master: SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, getConf=lambda: unset))
+    assert shared_dir(session("local[2]")) == shared_dir(session("local"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            shared_dir(session(master))
