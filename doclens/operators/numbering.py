@@ -16,7 +16,12 @@ RANGE_ROWS, MOST_RANGES = 100_000, 4096
 
 
 def range_of(rows: DataFrame, key: str) -> Column:
-    """The number of the range that a numeric key falls in, ascending with it. Bounds are approximate quantiles."""
+    """A range of the key, ascending with it: of a number between approximate quantiles, of a string its first three bytes. Any other key has one range."""
+    kind = dict(rows.dtypes)[key]
+    if kind == "string":
+        return F.substring(F.col(key).cast("binary"), 1, 3)
+    if kind.split("(")[0] not in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"):
+        return F.lit(0)
     n = min(MOST_RANGES, rows.count() // RANGE_ROWS)
     bounds = sorted(set(rows.approxQuantile(key, [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
     out = F.lit(0)

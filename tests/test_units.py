@@ -265,6 +265,8 @@ def test_numbers_run_through_ranges(spark, monkeypatch):
     for name in ("a", None):
         own = sorted(((r["id"], r["n"]) for r in got if r["class"] == name))
         assert [n for _, n in own] == list(range(1, len(own) + 1))
+    named = rows.withColumn("name", F.concat(F.lit("n"), F.format_string("%05d", "id")))
+    assert [r["n"] for r in sorted(nu.numbered(named, ["name"], nu.range_of(named, "name")).collect(), key=lambda r: r["name"])] == list(range(1, 101))
     whole = nu.numbered(rows, ["id"], nu.range_of(rows, "id")).collect()
     assert [r["n"] for r in sorted(whole, key=lambda r: r["id"])] == list(range(1, 101))
 
