@@ -12,8 +12,8 @@ result is the connected component of every text. No link is lost:
    task drops the copies that it holds, the rest is shuffled to the list of wanted hashes, and the sets are written once.
    The plan is the same for every size of input.
 4. The sets of a cluster meet in one prefix tree (`trie`), which is traversed by probes until every set outside the
-   largest component was probed. Clusters beyond `group_elements` are dealt into blocks by their rarest shared element: each
-   block is joined by itself and with the cluster's pivots; then every set outside the cluster's largest component is
+   largest component was probed. Clusters beyond `group_elements` are dealt into blocks by one of each set's shared
+   elements, those of an element that more than a block shares by hash: each block is joined by itself and with the cluster's pivots; then every set outside the cluster's largest component is
    probed against those blocks that hold a set with which it shares an element of both prefixes.
 
 Equal sets are one node throughout, so exact copies, however many, are one entry a block of input.
@@ -218,8 +218,11 @@ def _clusters(docs: DataFrame, known: DataFrame, labels: DataFrame, postings: Da
     tasks = max(8, total >> 20)
     dealt = members.join(sized.withColumn("blocks", F.ceil(F.col("elements") / join.group_elements).cast("long")), "label")
     lone = F.col("blocks") == 1
-    rarest = postings.groupBy("node").agg(F.min(F.xxhash64("token")).alias("home"))  # near copies most often share it
-    dealt = dealt.join(rarest, "node").withColumn("block", F.when(lone, 0).otherwise(F.pmod("home", F.col("blocks"))))
+    homes = postings.groupBy("node").agg(F.min(F.xxhash64("token")).alias("home"))  # near copies most often have the same
+    dealt = cut(dealt.join(homes, "node"), "dealt")
+    crowds = cut(dealt.filter("blocks > 1").groupBy("label", "home").agg(F.ceil(F.sum("n") / join.group_elements).cast("long").alias("crowd")), "crowds")
+    dealt = dealt.join(crowds, ["label", "home"], "left")
+    dealt = dealt.withColumn("block", F.when(lone, 0).otherwise(F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("node"), F.coalesce("crowd", F.lit(1)))), F.col("blocks"))))
     part = lambda *c: F.xxhash64(*c)
     dealt = dealt.withColumn("grp", F.when(lone, F.pmod(F.xxhash64("label"), F.lit(groups))).otherwise(part("label", "block"))).withColumn("part", F.when(lone, F.col("label")).otherwise(part("label", "block")))
     texts = _texts_of(docs, members, int(got["c"])).join(dealt.select("th", "node", "label", "n", "blocks", "block", "grp", "part"), "th")
