@@ -34,13 +34,14 @@ def word_pattern_tokens(text: Column) -> Column:
 
 
 def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
-    """All contiguous n-grams, low to high, joined by a space."""
-
-    def of_length(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return words if n == 1 else F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-
-    out = [of_length(n) for n in range(low, high + 1)]
+    """All contiguous n-grams, low to high, joined by a space. Those of n words are those of n - 1 words with the word that follows each."""
+    tail = lambda a, n: F.slice(a, n, F.greatest(F.size(a) - n + 1, F.lit(0)))
+    grams, out = words, [words] if low == 1 else []
+    for n in range(2, high + 1):
+        head = F.slice(grams, 1, F.greatest(F.size(grams) - 1, F.lit(0)))
+        grams = F.zip_with(head, tail(words, n), lambda a, b: F.concat(a, F.lit(" "), b))
+        if n >= low:
+            out.append(grams)
     return out[0] if len(out) == 1 else F.concat(*out)
 
 
