@@ -118,18 +118,6 @@ def test_models_without_labels(spark, docs, labels):
     assert {r["lang_pred"] for r in li.identify(docs.limit(3), none).collect()} == {"und"}
 
 
-def test_subword_scores_are_the_model_in_full(docs):
-    """Looking up one number a feature equals averaging vectors and applying the layer."""
-    texts = pa.array(["Good words here. And more", "x!! Y!! x!!", None])
-    s = sw.Settings()
-    numbers = np.random.default_rng(0).normal(size=1 << s.buckets_log2)
-    got = sw.score(texts, numbers, 0.1, s)
-    for text, score in zip(texts.to_pylist(), got, strict=True):
-        raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        z = 0.1 + sum(numbers[b].mean() for b, _ in sw.features(raw, np.array([0, len(raw)]), s) if len(b))
-        assert score == pytest.approx(1 / (1 + np.exp(-z)))
-
-
 def test_long_texts_are_scored_in_parts():
     words = "some word " * 100_000
     s = tox.Settings()
