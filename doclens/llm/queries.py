@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doclens.llm.conversations import OP11_SQL, op11_conversation_repair
 from doclens.llm.decontaminate import OP5_SQL, op5_decontaminate
 from doclens.llm.langid import op2_language_id
 from doclens.llm.lm import op9_lm_scoring
@@ -19,8 +20,8 @@ from doclens.llm.warc import OP3_SQL, op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_classifier": op1_quality_classifier, "op4_toxicity": op4_toxicity, "op2_language_id": op2_language_id, "op3_warc": op3_warc, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_ngram_join": op8_ngram_join, "op9_lm_scoring": op9_lm_scoring, "op10_quality_rules": op10_quality_rules}
+    return {"op1_quality_classifier": op1_quality_classifier, "op4_toxicity": op4_toxicity, "op2_language_id": op2_language_id, "op3_warc": op3_warc, "op5_decontaminate": op5_decontaminate, "op6_packing": op6_packing, "op7_sharding": op7_sharding, "op8_ngram_join": op8_ngram_join, "op9_lm_scoring": op9_lm_scoring, "op10_quality_rules": op10_quality_rules, "op11_conversation_repair": op11_conversation_repair}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3_SQL, "op5_decontaminate": OP5_SQL, "op8_ngram_join": OP8_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_warc": OP3_SQL, "op5_decontaminate": OP5_SQL, "op8_ngram_join": OP8_SQL, "op10_quality_rules": OP10_SQL, "op11_conversation_repair": OP11_SQL}
