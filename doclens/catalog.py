@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.functions import text as tx
+from doclens.functions.image_kernels import tensor_column
 from doclens.functions.stemming import stemmed_tokens, stemmed_words
 from doclens.functions.stopwords import STOP_WORDS
 from doclens.operators import corpus as cp
@@ -19,6 +20,7 @@ from doclens.operators import images as im
 from doclens.operators import ingest as ig
 from doclens.operators import layout as ly
 from doclens.operators import learning as ml
+from doclens.operators import network as nw
 from doclens.operators import tfidf as tf
 from doclens.operators.search import SearchIndex
 from doclens.plans.ocr import ocr_results, ocr_statistics
@@ -764,6 +766,31 @@ def _(spark, d):
     return ml.fit_predict(ml.perceptron(64, 10), train, test)[1]
 
 
+#: Side to which the small images are enlarged: the least that the network's layers take is 22.
+NETWORK_SIDE = 24
+
+
+def trained_network(spark: SparkSession, d: str) -> tuple[nw.Trained, DataFrame]:
+    """The network trained on the training part of the images, and the test part with its tensors."""
+    rows = images(spark, d).select("img_id", "label", F.col("label").alias("class"), tensor_column(F.col("pixels"), F.lit(8), NETWORK_SIDE).alias("tensor"))
+    rows = hold(ml.stratified_split(rows, "img_id"))
+    return nw.train(rows.filter("part = 'train'"), NETWORK_SIDE), rows.filter("part = 'test'")
+
+
+@query("m10_convolutional_predict")
+def _(spark, d):
+    trained, test = trained_network(spark, d)
+    return nw.predict(trained, test)
+
+
+@query("e12_network_history")
+def _(spark, d):
+    """The epochs of the network's own training, with the best validation accuracy so far."""
+    trained, test = trained_network(spark, d)
+    history = nw.history_rows(trained, test)
+    return history.join(ev.training_curve(history).select("epoch", "best_so_far", "improved"), "epoch")
+
+
 FUSED_TERMS = 1000
 
 
