@@ -178,7 +178,7 @@ class Training:
 def _blocks(rows: DataFrame, id_col: str, label: str, tensor: str, labels: list, validation: float, seed: int) -> tuple[DataFrame, int]:
     """Rows (block, items) of rows sorted by id; and how many blocks there are at most."""
     n = max(1, -(-rows.count() // BLOCK_ROWS))
-    place = F.coalesce(*(F.when(F.col(label).eqNullSafe(F.lit(v)), F.lit(k)) for k, v in enumerate(labels)))
+    place = F.coalesce(*(F.when(F.col(label).eqNullSafe(F.lit(v)), F.lit(k)) for k, v in enumerate(labels)), F.lit(0))
     held_out = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 20)) < int(validation * (1 << 20))
     item = F.struct(F.col(id_col).alias("id"), place.alias("y"), held_out.alias("v"), F.col(tensor).cast("array<float>").alias("x"))
     dealt = rows.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("block"), item.alias("i"))
@@ -306,5 +306,5 @@ def predict(trained: Trained, rows: DataFrame, id_col: str = "img_id", label: st
     kinds = [rows.schema[c].dataType.simpleString() for c in (id_col, label)]
     chosen = rows.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(tensor).cast("array<float>").alias("x"))
     placed = chosen.mapInArrow(run, f"id {kinds[0]}, label {kinds[1]}, place int")
-    name = F.element_at(F.array(*(F.lit(v).cast(kinds[1]) for v in trained.labels)), F.col("place") + 1)
+    name = F.element_at(F.array(*(F.lit(v).cast(kinds[1]) for v in trained.labels or [None])), F.col("place") + 1)
     return placed.select(F.col("id").alias(id_col), F.col("label").alias(label), name.alias("predicted"))
