@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.functions import text as tx
-from doclens.functions.image_kernels import tensor_column
+from doclens.functions.image_kernels import glcm_column, histogram_column, tensor_column
 from doclens.functions.stemming import stemmed_tokens, stemmed_words
 from doclens.functions.stopwords import STOP_WORDS
 from doclens.operators import corpus as cp
@@ -20,6 +20,7 @@ from doclens.operators import images as im
 from doclens.operators import ingest as ig
 from doclens.operators import layout as ly
 from doclens.operators import learning as ml
+from doclens.operators import machines as mc
 from doclens.operators import network as nw
 from doclens.operators import tfidf as tf
 from doclens.operators.search import SearchIndex
@@ -725,39 +726,72 @@ def lbp_vectors(spark: SparkSession, d: str) -> DataFrame:
     return images(spark, d).select(F.col("img_id").alias("vec_id"), "label", F.col("label").alias("class"), lbp_column(F.col("pixels"), 8).alias("vector"))
 
 
-def rbf_svm(rows: DataFrame, width: int) -> DataFrame:
-    """Scaled on the training part, an RBF kernel of gamma 1 / width (the features' variance is 1), cost 10."""
+def glcm_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """vec_id, label, class, vector: five descriptors of each of the twelve offsets."""
+    described = glcm_column(F.col("pixels"), 8, im.OFFSETS)
+    flat = F.flatten(F.transform(described, lambda g: F.array(*(g[c] for c in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")))))
+    return images(spark, d).select(F.col("img_id").alias("vec_id"), "label", F.col("label").alias("class"), flat.alias("vector"))
+
+
+def combined_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """vec_id, label, class, vector: patterns, descriptors and histogram side by side."""
+    histogram = images(spark, d).select(F.col("img_id").alias("vec_id"), histogram_column(F.col("pixels")).alias("h"))
+    both = lbp_vectors(spark, d).join(glcm_vectors(spark, d).select("vec_id", F.col("vector").alias("g")), "vec_id").join(histogram, "vec_id")
+    return both.withColumn("vector", ml.fused_vector(F.col("vector"), F.col("g"), F.col("h"))).drop("g", "h")
+
+
+def rbf_svm(rows: DataFrame) -> DataFrame:
+    """Scaled on the training part, an RBF kernel of the scale gamma, cost 10, one-vs-one."""
     rows = hold(ml.stratified_split(rows, "vec_id"))
     train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
-    lifted = lambda part: ml.random_fourier_features(ml.standard_scaled(part, train), width, gamma=1 / width)
-    return ml.fit_predict(ml.linear_svc(train.count(), 10.0), lifted(train), lifted(test))[1]
+    scaled = hold(ml.standard_scaled(train, train))
+    return mc.kernel_predictions(scaled, ml.standard_scaled(test, train), mc.Kernel(gamma=mc.scale_gamma(scaled)))
 
 
 @query("m5_rbf_svm_predict")
 def _(spark, d):
-    return rbf_svm(lbp_vectors(spark, d), 26)
+    return rbf_svm(lbp_vectors(spark, d))
+
+
+@query("m5_glcm_svm_predict")
+def _(spark, d):
+    return rbf_svm(glcm_vectors(spark, d))
+
+
+@query("m5_combined_svm_predict")
+def _(spark, d):
+    return rbf_svm(combined_vectors(spark, d))
+
+
+TEXT_TERMS = 3000
 
 
-def text_classifier(spark: SparkSession, d: str, make: Callable) -> DataFrame:
-    """doc_id, label, predicted (class names) on TF-IDF of one and two words, fitted on the training part."""
-    docs, weights, idf = _train_weights(spark, d, tf.Vectorizer(3000))
+def _text_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, list]:
+    """Documents (doc_id, class, part), their weights, the terms' numbers and the classes (null first), fitted on the training part."""
+    docs, weights, idf = _train_weights(spark, d, tf.Vectorizer(TEXT_TERMS))
     ids = hold(tf.with_term_ids(idf).select("term", F.col("term_id").cast("int").alias("term_id")))
-    classes = sorted(r["class"] for r in docs.select("class").distinct().collect())  # few
-    number = F.array_position(F.array(*map(F.lit, classes)), F.col("class")) - 1
-    rows = hold(ml.tfidf_features(weights, docs.withColumn("label", number.cast("double")), ids, 3000))
-    train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
-    name = lambda c: F.element_at(F.array(*map(F.lit, classes)), F.col(c) + 1).alias(c)
-    return ml.fit_features(make(train.count()), train, test, "doc_id")[1].select("doc_id", name("label"), name("predicted"))
+    classes = [r["class"] for r in docs.select("class").distinct().orderBy(F.asc_nulls_first("class")).collect()]  # few
+    number = F.coalesce(*(F.when(F.col("class").eqNullSafe(F.lit(c)), F.lit(k)) for k, c in enumerate(classes)), F.lit(0))
+    return docs.withColumn("place", number), weights, ids, classes
 
 
 @query("m7_linear_svc_predict")
 def _(spark, d):
-    return text_classifier(spark, d, ml.linear_svc)
+    """Squared hinge, cost 1, one-vs-rest, on sparse TF-IDF of one and two words."""
+    docs, weights, ids, classes = _text_rows(spark, d)
+    rows = hold(tf.sparse_rows(weights, docs, ids))
+    w = mc.squared_hinge(rows.filter("part = 'train'").select(F.col("doc_id").alias("id"), "place", "at", "x"), TEXT_TERMS, len(classes))
+    found = mc.linear_predictions(rows.filter("part = 'test'").select(F.col("doc_id").alias("id"), F.col("class").alias("label"), "at", "x"), w, classes)
+    return found.withColumnRenamed("id", "doc_id")
 
 
 @query("m8_logistic_predict")
 def _(spark, d):
-    return text_classifier(spark, d, ml.logistic_regression)
+    docs, weights, ids, classes = _text_rows(spark, d)
+    rows = hold(ml.tfidf_features(weights, docs.withColumn("label", F.col("place").cast("double")), ids, TEXT_TERMS))
+    train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
+    name = lambda c: F.element_at(F.array(*map(F.lit, classes)), F.col(c) + 1).alias(c)
+    return ml.fit_features(ml.logistic_regression(train.count()), train, test, "doc_id")[1].select("doc_id", name("label"), name("predicted"))
 
 
 @query("m10_perceptron_predict")
@@ -796,14 +830,14 @@ FUSED_TERMS = 1000
 
 @query("m11_fusion_predict")
 def _(spark, d):
-    """MinMax of the LBP vectors next to MinMax of the FUSED_TERMS most frequent terms' weights, standardised, RBF features, linear SVC."""
+    """MinMax of the LBP vectors next to MinMax of the FUSED_TERMS most frequent terms' weights, standardised, RBF-SVM."""
     v, post = tf.Vectorizer(FUSED_TERMS), posted(spark, d)
     idf = hold(v.fit(post, corpus(spark, d).count()))
     size = idf.count()
     dense = hold(ml.tfidf_arrays(v.transform(post, idf), tf.with_term_ids(idf).select("term", "term_id"), size))
     visual = hold(lbp_vectors(spark, d))
     both = ml.minmax_scaled(visual, visual).join(ml.minmax_scaled(dense, dense).select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("t")), "vec_id")
-    return rbf_svm(both.withColumn("vector", ml.fused_vector(F.col("vector"), F.col("t"))).drop("t"), 26 + size)
+    return rbf_svm(both.withColumn("vector", ml.fused_vector(F.col("vector"), F.col("t"))).drop("t"))
 
 
 # ---- summaries and samples --------------------------------------------------------------------------------------

@@ -85,6 +85,13 @@ class Vectorizer:
         return out
 
 
+def sparse_rows(weights: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, ...) with `at` and `x`, the numbers of their terms, ascending, and their weights; both empty for a document without known terms."""
+    found = weights.select("doc_id", "term", "weight").join(F.broadcast(ids), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("__m"))
+    joined = docs.join(found, "doc_id", "left")
+    return joined.withColumns({"at": F.coalesce("__m.term_id", F.array().cast("array<int>")), "x": F.coalesce("__m.weight", F.array().cast("array<double>"))}).drop("__m")
+
+
 def class_term_means(weights: DataFrame, class_sizes: DataFrame, value: str = "tfidf") -> DataFrame:
     """class, term, score: mean over all documents of the class, those without the term counting as zero."""
     sums = weights.groupBy("class", "term").agg(F.sum(value).alias("total"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,28 @@ def release() -> None:
         _held.pop().unpersist()
 
 
+_temporary: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one temporary folder on a local master (tests); a cluster must name it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not _temporary:
+            _temporary.append(tempfile.mkdtemp(prefix="doclens-"))
+        found = _temporary[0]
+    return found
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends here, and what is read survives lost executors."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def import_path(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver found it. A cluster may ship it with --py-files instead."""
     env = spark.sparkContext.environment
