@@ -21,6 +21,7 @@ from doclens.operators import ingest as ig
 from doclens.operators import layout as ly
 from doclens.operators import learning as ml
 from doclens.operators import machines as mc
+from doclens.operators import neighbours as nb
 from doclens.operators import network as nw
 from doclens.operators import tfidf as tf
 from doclens.operators.search import SearchIndex
@@ -370,7 +371,7 @@ KNN = f"{EMB}, {SPLIT('emb', 'vec_id', 200)}, dist AS (SELECT t.vec_id, t.label,
 
 def knn(spark: SparkSession, d: str) -> DataFrame:
     train, test = split_vectors(spark, d)
-    return ml.knn_predictions(train, test)
+    return nb.knn_predictions(train, test)
 
 
 @query("m6_knn_predict", f"WITH {KNN} SELECT vec_id, label, predicted FROM knn")

@@ -1,12 +1,9 @@
-"""Splits, scalers and classifiers."""
+"""Splits, scalers and classifiers."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.functions import array_to_vector
@@ -60,61 +57,6 @@ def _scaled(vectors: DataFrame, stats: DataFrame, vector: str, f) -> DataFrame:
     return vectors.join(F.broadcast(packed), how="cross").withColumn(vector, F.zip_with(F.col(vector).cast("array<double>"), "__p", f)).drop("__p")
 
 
-def _nearest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each query: its number, and the places and squared distances of its k nearest rows (ties by id).
-
-    A matrix product finds the candidates, with a margin for its rounding; their distances are then computed directly.
-    """
-    norms = (rows * rows).sum(axis=1)
-    for at in range(0, len(queries), 512):
-        part = queries[at : at + 512]
-        rough = (part * part).sum(axis=1)[:, None] + norms - 2 * part @ rows.T
-        last = np.partition(rough, min(k, len(rows)) - 1, axis=1)[:, min(k, len(rows)) - 1]
-        margin = 1e-7 * (1 + norms.max() + (part * part).sum(axis=1))
-        for q in range(len(part)):
-            near = np.flatnonzero(rough[q] <= last[q] + margin[q])
-            exact = np.round(((rows[near] - part[q]) ** 2).sum(axis=1), 9)
-            best = np.lexsort((ids[near], exact))[:k]
-            yield at + q, near[best], exact[best]
-
-
-def knn_predictions(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "vector", label: str = "label", block_rows: int = 4096) -> DataFrame:
-    """id, label, predicted: majority of the k nearest (Euclidean; ties by training id, a number), vote ties to the smallest label.
-
-    Both sides are packed in blocks by a hash of the id; each block of test rows visits each block of training rows in a
-    task of its own and keeps k candidates a row. Nothing is broadcast.
-    """
-
-    def packed(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
-        n = max(1, -(-rows.count() // block_rows))
-        items = rows.select(F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias(name), F.struct(F.col(id_col).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<double>").alias("v")).alias("i"))
-        return items.groupBy(name).agg(F.collect_list("i").alias(f"{name}_items")), n  # block_rows a group, about
-
-    known, n = packed(train, "block")
-    asked, m = packed(test, "visitor")
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(n * m, "visitor", "block").join(known, "block")
-
-    def unpacked(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        items = column[row].values
-        ids, labels, vectors = (items.field(f) for f in ("id", "label", "v"))
-        return ids.to_numpy(), labels.to_numpy(zero_copy_only=False), vectors.flatten().to_numpy().reshape(len(items), -1)
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                q_ids, q_labels, q = unpacked(batch.column("visitor_items"), row)
-                ids, labels, rows = unpacked(batch.column("block_items"), row)
-                found = [(q_ids[i], q_labels[i], ids[j], labels[j], d) for i, near, distance in _nearest(q, rows, ids, k) for j, d in zip(near, distance, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [*[pa.int64()] * 4, pa.float64()], strict=True)], ["id", "label", "t_id", "t_label", "d"])
-
-    best = pairs.select("visitor_items", "block_items").mapInArrow(visit, "id long, label long, t_id long, t_label long, d double")
-    ranked = best.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("d", "t_id"))).filter(F.col("r") <= k)
-    votes = ranked.groupBy("id", "label", "t_label").agg(F.count(F.lit(1)).alias("c"))
-    kind = dict(train.dtypes)[label]
-    out = votes.groupBy("id", "label").agg(F.min_by("t_label", F.struct(-F.col("c"), F.col("t_label"))).alias("predicted"))
-    return out.select(F.col("id").alias(id_col), F.col("label").cast(kind).alias(label), F.col("predicted").cast(kind).alias("predicted"))
-
-
 def multinomial_nb(train: DataFrame, train_docs: DataFrame, vocab: DataFrame, value: str = "weight", alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(class, term, log_p) for every class and term of the vocabulary, and (class, log_prior); priors unsmoothed."""
     classes = train_docs.groupBy("class").agg(F.count(F.lit(1)).alias("n"))

@@ -271,17 +271,6 @@ def test_numbers_run_through_ranges(spark, monkeypatch):
     assert [r["n"] for r in sorted(whole, key=lambda r: r["id"])] == list(range(1, 101))
 
 
-def test_neighbours_by_force(spark):
-    rng = np.random.default_rng(1)
-    rows = [(k, int(rng.integers(3)), rng.integers(0, 3, 4).astype(float).tolist()) for k in range(90)]
-    frame = spark.createDataFrame(rows, "vec_id long, label int, vector array<double>")
-    got = {r["vec_id"]: r["predicted"] for r in ml.knn_predictions(frame.filter("vec_id >= 30"), frame.filter("vec_id < 30"), block_rows=16).collect()}
-    for k, _, v in rows[:30]:
-        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), i, label) for i, label, w in rows[30:])[:5]
-        votes = [label for _, _, label in near]
-        assert got[k] == min(set(votes), key=lambda x: (-votes.count(x), x))
-
-
 def test_kernels_agree_with_pixel_tables(spark):
     rng = np.random.default_rng(2)
     images = spark.createDataFrame([(k, 0, rng.integers(0, 256, 64).tolist()) for k in range(5)] + [(9, 1, [7] * 64)], "img_id long, label int, pixels array<int>")
