@@ -1,19 +1,22 @@
 """Operator 7, sharding by balanced label propagation.
 
-Documents with equal text are linked; every document starts in the shard its id hashes to. In each round every group of
-links that is not settled asks for the shard that holds most of its members, among those with room. Groups settle whole,
-and only they take room: members that will leave hold none. Large groups are settled first, one by one; one that fits
-nowhere whole is laid over as few shards as can hold it. The others are admitted by a share of a hash, and those turned
-away ask for their next-best shard. Rounds end when every group is settled: a shard asked for more than its room is
-closed, so there are at most as many rounds as shards.
+Documents with equal text are linked; every document starts in the shard that its id hashes to, which is its label. In each
+round the members of the groups that still lie in several shards are joined with their neighbours' labels of that moment and
+ask for the shard that holds most of them, among those with room for them all. Quotas are on net moves: a shard's room is
+what is left beside the members that stay and those let in; members that will leave it hold none. Of those that ask for a
+shard, a prefix in the order of a hash of group and round is let in, as long as it fits to the row (sums of 4096 ranges of
+the hash), takes the shard as its label and stays; the others keep their label, and meet the changed rooms in the next round.
+Rounds end when every group lies whole or nobody was let in.
 
-Documents without links cost no edge wherever they go, so they fill what is left; the members beyond a shard's quota
-(the share of a hash is met but roughly) fill it first, in order of group, so that a group is split by them only where a
-shard ends. Shards then differ by at most one row (the law `rows`).
+Groups of at least a sixteenth of a shard, of which there are at most sixteen a shard, are settled first, one by one, as a
+range of a hash is too coarse for them; one that fits nowhere whole is laid over as few shards as can hold it.
 
-All rounds work on groups with one count a first shard, never on pairs or on lists of members, so a group of any size is
-at most `shards` numbers. The driver sees one total a shard and groups of more than 1/256 of a shard's quota, which
-cannot be many.
+Documents without links cost no edge wherever they go, so they fill what is left, and so do the members of groups that fit
+nowhere, in order of group, so that a group is split by them only where a shard ends. Shards then differ by at most one row
+(the law `rows`).
+
+All rounds work on one count a group and label, never on pairs or on lists of members, so a group of any size is at most
+`shards` rows. The driver sees sums by shard and range of the hash, and the groups of a sixteenth of a shard or more.
 
 Defined cases. A null text is a text of no bytes (size 1), equal to an empty one. Null ids hash alike and are spread by
 the final filling. Repeated rows are documents of their own. An empty table gives an empty result; further columns do not
@@ -22,7 +25,9 @@ enter it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.llm.common import buckets_for, cut, table, text_of
@@ -32,11 +37,6 @@ def quotas(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
 
-def _share(*columns: Column | str) -> Column:
-    """A hash as a number in [0, 1)."""
-    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-
 def settle_heavy(groups: list[tuple[int, int, dict[int, int]]], room: list[int]) -> tuple[dict[int, int], dict[int, list[tuple[int, int]]]]:
     """Shards of groups (grp, total, members by shard), largest first, and the pieces (shard, rows) of those that fit nowhere whole. Takes their room."""
     whole, pieces = {}, {}
@@ -58,29 +58,44 @@ def settle_heavy(groups: list[tuple[int, int, dict[int, int]]], room: list[int])
     return whole, pieces
 
 
-def propagate(groups: DataFrame, room: list[int]) -> DataFrame:
-    """groups (grp, total, parts: origin -> members): every group's shard as `label`, by rounds under what room there is."""
-    shards, settled, turn = len(room), [], 0
-    left, room = groups, list(room)
+#: Ranges of the hash by which members are let in.
+RANGES = 4096
+#: A group of at least this part of a shard is settled by itself.
+HEAVY = 16
+
+
+def _round(members: DataFrame, room: list[int], turn: int) -> DataFrame:
+    """members (grp, label, n) with `total`, the shard `wish` that they ask for (null: none has room for their group), and their place `at` in the order of the round."""
+    seen = members.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("parts"), F.sum("n").alias("total"))
+    near = members.join(seen, "grp")
+    asks = [F.when(F.col("total") <= n, F.struct(F.coalesce(F.element_at("parts", F.lit(t)), F.lit(0).cast("long")).alias("c"), F.xxhash64("grp", F.lit(t)).alias("tie"), F.lit(t).alias("to"))) for t, n in enumerate(room)]
+    best = F.greatest(*asks) if len(asks) > 1 else asks[0]
+    return near.select("grp", "label", "n", "total", best["to"].alias("wish"), F.pmod(F.xxhash64("grp", F.lit(turn)), F.lit(RANGES)).cast("int").alias("at"))
+
+
+def propagate(members: DataFrame, room: list[int]) -> DataFrame:
+    """grp, label: the shard of every group that came to lie whole, by rounds under what room there is. The others are left out."""
+    left, room, settled, turn = members, list(room), [], 0
     while True:
-        choices = [t for t in range(shards) if room[t] > 0] or list(range(shards))
-        asks = [F.struct(F.coalesce(F.element_at("parts", F.lit(t)), F.lit(0).cast("long")).alias("c"), F.xxhash64("grp", F.lit(t)).alias("tie"), F.lit(t).alias("to")) for t in choices]
-        wish = left.withColumn("label", (F.greatest(*asks) if len(asks) > 1 else asks[0])["to"])
-        asked = {r["label"]: r["n"] for r in wish.groupBy("label").agg(F.sum("total").alias("n")).collect()}
-        if not any(asked[t] > room[t] for t in asked) or not any(room[t] > 0 for t in range(shards)):
-            return _together([*settled, wish])
-        share = [min(1.0, max(0, room[t]) / asked[t]) if t in asked else 1.0 for t in range(shards)]
-        room = [max(0, n - asked.get(t, 0)) for t, n in enumerate(room)]
-        admitted = _share("grp", F.lit(turn)) < F.element_at(F.array(*map(F.lit, share)), F.col("label") + 1)
-        settled.append(wish.filter(admitted))
-        left, turn = cut(wish.filter(~admitted).select("grp", "total", "parts"), "groups"), turn + 1
-
-
-def _together(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0].select("grp", "total", "parts", "label")
-    for frame in frames[1:]:
-        out = out.unionByName(frame.select("grp", "total", "parts", "label"))
-    return out
+        asked = cut(_round(left, room, turn), "asked")
+        sums: list[list[int]] = [[0] * RANGES for _ in room]
+        for r in asked.filter("wish IS NOT NULL").groupBy("wish", "at").agg(F.sum("n").alias("n")).collect():  # shards x RANGES numbers
+            sums[r["wish"]][r["at"]] = r["n"]
+        upto, rejected = [], 0
+        for t, by_range in enumerate(sums):
+            k = 0
+            while k < RANGES and by_range[k] <= room[t]:
+                room[t] -= by_range[k]
+                k += 1
+            upto.append(k)
+            rejected += sum(by_range[k:])
+        let_in = F.col("at") < F.element_at(F.array(*map(F.lit, upto)), F.col("wish") + 1)
+        settled.append(asked.filter(let_in).select("grp", F.col("wish").alias("label")).distinct())
+        moved = sum(sum(by_range) for by_range in sums) - rejected
+        turn += 1
+        if not rejected or not moved:
+            return reduce(DataFrame.unionByName, settled)
+        left = cut(asked.filter(F.col("wish").isNotNull() & ~let_in).select("grp", "label", "n"), "members")
 
 
 def runs_of(load: list[int], caps: list[int], pieces: list[list[tuple[int, int]]]) -> list[list[tuple[int, int, int]]]:
@@ -122,27 +137,24 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     base = cut(row.withColumn("origin", F.pmod(F.xxhash64(id_col, "grp"), F.lit(shards)).cast("int")), "sized")
     caps = quotas(base.count(), shards)
 
-    parts = base.groupBy("grp", "origin").agg(F.count(F.lit(1)).alias("n"))
-    linked = parts.groupBy("grp").agg(F.map_from_entries(F.collect_list(F.struct("origin", "n"))).alias("parts"), F.sum("n").alias("total")).filter("total > 1")
-    groups = cut(linked.select("grp", "total", "parts"), "groups")
-    heavy_from = max(2, min(caps) // 256)
-    heavy = [(r["grp"], r["total"], dict(r["parts"])) for r in groups.filter(F.col("total") >= heavy_from).collect()]
+    members = cut(base.groupBy("grp", F.col("origin").alias("label")).agg(F.count(F.lit(1)).alias("n")), "members")
+    groups = members.groupBy("grp").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("parts")).filter("total > 1")
+    is_heavy = F.col("total") * HEAVY >= min(caps)
+    heavy = [(r["grp"], r["total"], dict(r["parts"])) for r in groups.filter(is_heavy).collect()]  # HEAVY a shard at most
     room = list(caps)
     whole, pieces = settle_heavy(heavy, room)
     laid = sorted(pieces)
-    labels = {**whole, **{g: shards + k for k, g in enumerate(laid)}}
-    light = propagate(groups.filter(F.col("total") < heavy_from), room)
-    if labels:
-        few = F.broadcast(spark.createDataFrame(list(labels.items()), "grp long, label int"))
-        light = _together([light, groups.join(few, "grp")])
-    settled = cut(light.select("grp", "label", F.explode("parts").alias("origin", "n")), "labels")
+    found = {**whole, **{g: shards + k for k, g in enumerate(laid)}}
+    light = members.join(groups.filter(~is_heavy).select("grp"), "grp", "left_semi")
+    labels = propagate(light, room).unionByName(spark.createDataFrame(list(found.items()), "grp long, label int"))
+    settled = cut(labels.join(groups.select("grp", "total"), "grp"), "labels")
 
     rest = shards + len(laid)
     load = [0] * (rest + 1)
-    for r in settled.groupBy("label").agg(F.sum("n").alias("n")).collect():
+    for r in settled.groupBy("label").agg(F.sum("total").alias("n")).collect():
         load[r["label"]] = r["n"]
     load[rest] = sum(caps) - sum(load)
-    placed = base.join(settled.select("grp", "origin", "label"), ["grp", "origin"], "left").withColumn("label", F.coalesce("label", F.lit(rest)))
+    placed = base.join(members.select("grp", F.col("label").alias("origin")).join(settled.select("grp", "label"), "grp"), ["grp", "origin"], "left").withColumn("label", F.coalesce("label", F.lit(rest)))
     ranked = _rank(placed.select(id_col, "size", "text_crc32", "grp", "label", "row"), ["label", "grp", "row"], buckets_for(base, 4 << 20))
 
     # Rows are in order of label; each label has runs of rows that go to one shard.

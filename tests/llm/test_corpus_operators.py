@@ -216,6 +216,27 @@ def test_most_rows_in_groups(spark):
     assert sum(len(s) > 1 for s in where.values()) <= 31
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_labels_propagate_on_the_given_tables(spark, sf, monkeypatch):
+    original, met = sh._round, []
+    monkeypatch.setattr(sh, "_round", lambda members, room, turn: met.append(members.select("grp").distinct().count()) or original(members, room, turn))
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    found = sh.shard(docs).join(docs, "doc_id")
+    linked = docs.groupBy("text").count().filter("count > 1")
+    assert met[0] > 0.9 * linked.count()
+    assert found.groupBy("text").agg(F.count_distinct("shard").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_rejected_members_ask_again(spark):
+    members = spark.createDataFrame([(g, t, n) for g in range(300) for t, n in ((0, 2), (1 + g % 3, 1))], "grp long, label int, n long")
+    room = [120, 300, 300, 300]
+    label = {r["grp"]: r["label"] for r in sh.propagate(members, room).collect()}
+    load = collections.Counter(label.values())
+    assert len(label) == 300 and load[0] == 40 and all(3 * load[t] <= room[t] for t in range(4))
+    assert sum(label[g] == 1 + g % 3 for g in label) > 200  # those that the full shard turned away went where their other member is
+    assert sh.propagate(members, [0, 2, 2, 2]).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["odd", "hot", "empty", "few"])
 def test_shards_of_odd_tables(spark, kind):
     rows = {"odd": odd_rows(), "hot": [(k, "hot" if k % 3 == 0 else f"t{k}", None, None, 0) for k in range(900)], "empty": [], "few": odd_rows()[:3]}[kind]
