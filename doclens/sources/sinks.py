@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclens.functions.image_codecs import write_png
 from doclens.operators.ingest import pending
 
 
@@ -17,8 +19,12 @@ def write_images(images: DataFrame, path: str, resolution: int, done: DataFrame
     todo.withColumn("resolution", F.lit(resolution)).write.mode("append").partitionBy("resolution", "class").parquet(path)
 
 
-def write_encoded_images(images: DataFrame, path: str, encode: Callable[[list[int], int], bytes]) -> None:
-    """Images (class, name, pixels, width) as files' bytes, one row each, by an encoder that the caller brings (none is bundled)."""
+def _png(pixels: list[int], width: int) -> bytes:
+    return write_png(np.array(pixels, dtype=np.uint8).reshape(-1, width))
+
+
+def write_encoded_images(images: DataFrame, path: str, encode: Callable[[list[int], int], bytes] = _png) -> None:
+    """Images (class, name, pixels, width) as files' bytes, one row each: PNG, or by the encoder given. `plans.images.write_image_files` writes files."""
     coded = F.udf(lambda pixels, width: encode(pixels, width), "binary")
     images.select("class", "name", coded("pixels", "width").alias("content")).write.mode("append").partitionBy("class").parquet(path)
 
