@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.text import numbered_file, renamed_file
+from doclens.operators.joins import null_safe_join
 from doclens.operators.numbering import numbered, range_of
 
 #: The two class orders in use. The position of a name is its integer label.
@@ -32,7 +33,7 @@ def running_number(rows: DataFrame, class_col: str, order: list[str], existing:
     found = numbered(rows, order, range_of(rows, order[0]), [class_col], name)
     if existing is None:
         return found
-    return found.join(existing.select(F.col(class_col), F.col("n").alias("__have")), class_col, "left").withColumn(name, F.col(name) + F.coalesce("__have", F.lit(0))).drop("__have")
+    return null_safe_join(found, existing.select(F.col(class_col), F.col("n").alias("__have")), class_col, "left").withColumn(name, F.col(name) + F.coalesce("__have", F.lit(0))).drop("__have")
 
 
 def numbered_files(rows: DataFrame, class_col: str, order: list[str], existing: DataFrame | None = None) -> DataFrame:
@@ -42,7 +43,7 @@ def numbered_files(rows: DataFrame, class_col: str, order: list[str], existing:
 def deficits(have: DataFrame, classes: DataFrame, target: int, class_col: str = "class") -> DataFrame:
     """class, existing, missing for every class short of target."""
     counts = have.groupBy(class_col).agg(F.count(F.lit(1)).alias("existing"))
-    joined = classes.select(class_col).distinct().join(counts, class_col, "left").select(class_col, F.coalesce("existing", F.lit(0)).alias("existing"))
+    joined = null_safe_join(classes.select(class_col).distinct(), counts, class_col, "left").select(class_col, F.coalesce("existing", F.lit(0)).alias("existing"))
     return joined.withColumn("missing", F.greatest(F.lit(target) - F.col("existing"), F.lit(0)).cast("long"))
 
 
@@ -79,13 +80,13 @@ def repaired_manifest(rows: DataFrame) -> DataFrame:
 
 
 def class_index(rows: DataFrame, class_col: str) -> DataFrame:
-    """rows with class_id, the place of the class among the sorted distinct ones."""
+    """rows with class_id, the place of the class among the sorted distinct ones, null first (P10, M12). Classes are few."""
     names = rows.select(class_col).distinct()
-    return rows.join(F.broadcast(names.withColumn("class_id", (F.dense_rank().over(Window.orderBy(class_col)) - 1).cast("int"))), class_col)
+    return null_safe_join(rows, F.broadcast(names.withColumn("class_id", (F.dense_rank().over(Window.orderBy(F.asc_nulls_first(class_col))) - 1).cast("int"))), class_col)
 
 
 def missing_classes(present: DataFrame, expected: DataFrame, class_col: str) -> DataFrame:
-    return expected.select(class_col).distinct().join(present.select(class_col).distinct(), class_col, "left_anti")
+    return null_safe_join(expected.select(class_col).distinct(), present.select(class_col).distinct(), class_col, "left_anti")
 
 
 def hits_with_images(hits: DataFrame, images: DataFrame, key: str) -> DataFrame:

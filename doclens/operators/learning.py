@@ -11,6 +11,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.operators.joins import null_safe_join
 from doclens.operators.numbering import first_by_hash, numbered, range_of
 from doclens.session import hold
 
@@ -65,7 +66,7 @@ def multinomial_nb(train: DataFrame, train_docs: DataFrame, vocab: DataFrame, va
     sums = train.groupBy("class", "term").agg(F.sum(value).alias("v"))
     masses = sums.groupBy("class").agg(F.sum("v").alias("mass"))
     grid = F.broadcast(classes.select("class")).crossJoin(vocab.select("term"))
-    joined = grid.join(sums, ["class", "term"], "left").join(F.broadcast(masses), "class", "left")
+    joined = null_safe_join(null_safe_join(grid, sums, ["class", "term"], "left"), F.broadcast(masses), "class", "left")
     log_p = F.log((F.coalesce("v", F.lit(0.0)) + alpha) / (F.coalesce("mass", F.lit(0.0)) + alpha * n_terms))
     return joined.select("class", "term", log_p.alias("log_p")), classes.select("class", F.log(F.col("n") / F.lit(float(total))).alias("log_prior"))
 
@@ -75,7 +76,7 @@ def nb_predictions(test: DataFrame, test_docs: DataFrame, model: tuple[DataFrame
     likelihood, priors = model
     scores = test.select("doc_id", "term", value).join(likelihood.withColumnRenamed("class", "guess"), "term").groupBy("doc_id", "guess").agg(F.sum(F.col(value) * F.col("log_p")).alias("s"))
     grid = test_docs.select("doc_id", "class").crossJoin(F.broadcast(priors.withColumnRenamed("class", "guess")))
-    full = grid.join(scores, ["doc_id", "guess"], "left").withColumn("s", F.round(F.coalesce("s", F.lit(0.0)) + F.col("log_prior"), 6))
+    full = null_safe_join(grid, scores, ["doc_id", "guess"], "left").withColumn("s", F.round(F.coalesce("s", F.lit(0.0)) + F.col("log_prior"), 6))
     return full.groupBy("doc_id", "class").agg(F.min_by("guess", F.struct(-F.col("s"), F.col("guess"))).alias("predicted"))
 
 

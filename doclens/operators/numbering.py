@@ -13,24 +13,45 @@ from doclens.session import hold
 
 #: Rows that a range should have, about; and the ranges that are used at most.
 RANGE_ROWS, MOST_RANGES = 100_000, 4096
+#: Values of a sample for each range.
+SAMPLE = 20
 
 
 def range_of(rows: DataFrame, key: str) -> Column:
-    """A range of the key, ascending with it: of a number between approximate quantiles, of a string its first three bytes. Any other key has one range."""
+    """A range of the key, ascending with it, null first: of a number between approximate quantiles, of any other type that has an order between those of a sample."""
     kind = dict(rows.dtypes)[key]
-    if kind == "string":
-        return F.substring(F.col(key).cast("binary"), 1, 3)
-    if kind.split("(")[0] not in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"):
+    total = rows.count()
+    n = min(MOST_RANGES, total // RANGE_ROWS)
+    if n <= 1:
         return F.lit(0)
-    n = min(MOST_RANGES, rows.count() // RANGE_ROWS)
-    bounds = sorted(set(rows.approxQuantile(key, [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
+    if kind.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        bounds = sorted(set(rows.approxQuantile(key, [k / n for k in range(1, n)], 0.2 / n)))
+    else:
+        bounds = _sampled_bounds(rows, key, n, total)
     out = F.lit(0)
     if bounds:
         held = F.array(*map(F.lit, bounds))
-        out = F.size(F.filter(held, lambda b: b <= F.col(key)))
+        out = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(held, lambda b: b <= F.col(key))))
     return out
 
 
+def _sampled_bounds(rows: DataFrame, key: str, n: int, total: int) -> list:
+    """At most n values that split rows about evenly, from the values whose hash falls into a share that some SAMPLE n of them are expected in.
+
+    Which values are taken depends on themselves alone, so the bounds are the same whenever they are sought. A value that many
+    rows share weighs as much as they do.
+    """
+    share = min(1.0, SAMPLE * n / max(1, total))
+    taken = rows.filter(F.col(key).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))))
+    values = taken.groupBy(key).agg(F.count(F.lit(1)).alias("c")).orderBy(key).collect()  # distinct values of the sample
+    whole, so_far, bounds = sum(r["c"] for r in values), 0, []
+    for before, r in zip([None, *values], values, strict=False):
+        if before is not None and so_far * n >= whole * (len(bounds) + 1):
+            bounds.append(r[key])
+        so_far += r["c"]
+    return bounds[: n - 1]
+
+
 def numbered(rows: DataFrame, order: list[str], span: Column, by: list[str] | None = None, name: str = "n") -> DataFrame:
     """rows with their number from 1 in `order`, within `by` where given. `span` ascends with the order and splits it into ranges."""
     by = by or []

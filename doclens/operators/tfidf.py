@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclens.operators.joins import null_safe_join
 from doclens.operators.numbering import numbered
 
 
@@ -95,7 +96,7 @@ def sparse_rows(weights: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFram
 def class_term_means(weights: DataFrame, class_sizes: DataFrame, value: str = "tfidf") -> DataFrame:
     """class, term, score: mean over all documents of the class, those without the term counting as zero."""
     sums = weights.groupBy("class", "term").agg(F.sum(value).alias("total"))
-    return sums.join(F.broadcast(class_sizes), "class").select("class", "term", (F.col("total") / F.col("n_docs")).alias("score"))
+    return null_safe_join(sums, F.broadcast(class_sizes), "class").select("class", "term", (F.col("total") / F.col("n_docs")).alias("score"))
 
 
 def top_terms(means: DataFrame, n: int = 10) -> DataFrame:
