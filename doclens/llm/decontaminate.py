@@ -2,12 +2,13 @@
 
 Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z are lower-cased. Each item gives its windows of `window`
 words (an item of fewer gives one window); all windows of all items enter one automaton, whose symbols are the benchmark's
-words, and each text is scanned once as a sequence of such symbols, whose places lead back to the original. Words are told
-apart by 64-bit hashes.
+words, and each text is scanned once as a sequence of such symbols, whose places lead back to the original. No occurrence
+crosses a word that no window has, so what is walked are the runs between such words, as far as a window fits in. Words are
+told apart by 64-bit hashes.
 
 The automaton goes to every worker, so its size is checked: windows of more than `limit` states in all are dealt into groups
-by hash, and the texts pass one automaton after the other, spans accumulating in a column, with the same result. It holds
-the number of each window's set of items; the items themselves, however many share a window, are joined to the texts found.
+by hash, and the texts pass one automaton after the other, spans accumulating in a column that is written in between, with the
+same result: a worker holds one automaton and the driver one broadcast at a time. An automaton holds the number of each window's set of items; the items themselves, however many share a window, are joined to the texts found.
 
 Defined cases. A null or empty text has no words: nothing is hit and it is not contaminated; a null or wordless item has
 no windows. Windows of an item with a null item_id hit words but name no item. Items that share an id count once. An empty
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from doclens.llm.common import bound_batches, cut, look_up, table
+from doclens.llm.common import bound_batches, cut, discard, look_up, table
 from doclens.llm.textbytes import LOWER, NOT_WORD, column_bytes, pieces, words
 
 BLOCK = 1 << 20
@@ -61,6 +62,7 @@ class Machine:
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for k, of in zip(split, sets, strict=True):
             self.automaton.add_word(tuple(symbol[w] for w in k), (len(k), of))
+        self.shortest = min(map(len, split), default=0)
         if keys:
             self.automaton.make_automaton()
 
@@ -73,9 +75,14 @@ class Machine:
 
     def hits(self, symbols: np.ndarray) -> list[tuple[int, int, int]]:
         """(first word, word after the last, set) of every occurrence of a window in a text."""
-        if not symbols.any():
+        if not self.shortest:
             return []
-        return [(end + 1 - n, end + 1, of) for end, (n, of) in self.automaton.iter(tuple(symbols.tolist()))]
+        gaps = np.concatenate([[-1], np.flatnonzero(symbols == 0), [len(symbols)]])
+        long_enough = np.flatnonzero(np.diff(gaps) > self.shortest)
+        found = []
+        for a, b in zip((gaps[long_enough] + 1).tolist(), gaps[long_enough + 1].tolist(), strict=True):
+            found += [(a + end + 1 - n, a + end + 1, of) for end, (n, of) in self.automaton.iter(tuple(symbols[a:b].tolist()))]
+        return found
 
 
 _machines: dict[str, Machine] = {}
@@ -135,11 +142,17 @@ def _scan(rows: DataFrame, windows: DataFrame, limit: int, text_col: str) -> Dat
     bound_batches(rows.sparkSession)
     names = rows.columns
     at = names.index(text_col)
-    out = rows
-    for k, group in enumerate(_groups(windows, limit)):
+    out, groups, before = rows, _groups(windows, limit), None
+    for k, group in enumerate(groups):
         found = group.select("key", "set").collect()  # windows of `limit` words together
         shared = rows.sparkSession.sparkContext.broadcast(([r["key"] for r in found], [r["set"] for r in found]))
         out = out.mapInArrow(_scanner(uuid.uuid4().hex, shared, at, len(names), first=k == 0), _with_result(rows.schema))
+        if k + 1 < len(groups):  # the next automaton begins when this one is done with
+            out = cut(out, "scanned")
+            shared.destroy()
+            if before is not None:
+                discard(before)
+            before = out
     return out
 
 

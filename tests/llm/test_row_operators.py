@@ -348,9 +348,32 @@ def test_contamination_by_force(spark, limit):
         assert (r["n_words"], sum(b - a for a, b in zip(r["word_from"], r["word_to"], strict=True)), sorted(r["items"])) == (n, hit, found)
         for a, b, lo, hi in zip(r["char_from"], r["char_to"], r["word_from"], r["word_to"], strict=True):
             assert len(FOLDED_WORDS.findall(text[a:b].translate(UPPER))) == hi - lo
+    assert de.drop_contaminated(docs, spark.createDataFrame(items, BENCH), limit=limit).count() == sum(not force_contamination(t, items)[1] for _, t in rows)
     assert de.items_digest(["1", "2"]) == hashlib.sha256(b"1,2").hexdigest()
 
 
+def test_automata_are_taken_in_turn(spark, monkeypatch):
+    """Between two automata the rows are written, so that no stage holds two."""
+    items = [(k, f"item {k} has words of its own {k * 7} and {k * 11} to be found by") for k in range(12)]
+    docs = spark.createDataFrame([(k, f"before {body} after") for k, body in items], "doc_id long, text string")
+    original, plans = de.cut, []
+    monkeypatch.setattr(de, "cut", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))) or original(df, name))
+    found = de.contamination(docs, spark.createDataFrame(items, BENCH), limit=60).collect()
+    scans = [n for name, n in plans if name == "scanned"]
+    assert len(scans) > 3 and max(scans) == 1
+    assert all(r["items"] == [str(r["doc_id"])] for r in found)
+
+
+def test_only_runs_of_known_words_are_walked():
+    machine = de.Machine(["a b c", "c d"], [1, 2])
+    walked = []
+    automaton = machine.automaton
+    machine.automaton = SimpleNamespace(iter=lambda x: walked.append(x) or automaton.iter(x))
+    symbols = machine.read(de.words(*column_bytes(pa.array(["a x b c d a b c x a x c d"])), de._APART)[0])
+    assert machine.hits(symbols) == [(3, 5, 2), (5, 8, 1), (11, 13, 2)]
+    assert sorted(map(len, walked)) == [2, 6]
+
+
 def test_crc_of_null_is_null(spark):
     assert spark.range(1).select(crc_mod("id", 5).alias("x"), F.crc32(F.lit(None).cast("binary")).alias("y")).first()["y"] is None
 
