@@ -1,4 +1,4 @@
-"""Command line: python -m doclens {normalize,index,search,ask,evaluate,queries} ...."""
+"""Command line: python -m doclens {normalize,index,search,ask,evaluate,models,queries} ...."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def _show(index: SearchIndex, spark, lines: list[str], k: int) -> None:
 def main(arguments: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="doclens", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, names in {"normalize": ["root", "out"], "index": ["root", "out"], "search": ["index", "query"], "ask": ["index"], "evaluate": ["predictions"], "queries": []}.items():
+    for name, names in {"normalize": ["root", "out"], "index": ["root", "out"], "search": ["index", "query"], "ask": ["index"], "evaluate": ["predictions"], "models": ["tables", "out"], "queries": []}.items():
         command = commands.add_parser(name)
         for n in names:
             command.add_argument(n, nargs="+" if n == "query" else None)
@@ -53,7 +53,15 @@ def main(arguments: list[str] | None = None) -> None:
                 _show(index, spark, [line], args.top_k)
     elif args.command == "evaluate":
         report_lines(full_report(spark.read.parquet(args.predictions))).orderBy("model", "place", "class").show(1000, truncate=False)
+    elif args.command == "models":
+        import doclens.catalog_files  # noqa: F401 - registers queries
+        from doclens.plans.models import run_models
+
+        found = run_models(spark, args.tables, args.out)
+        print("trained:", ", ".join(n for n, r in found.items() if r.ran and n.endswith("_predictions")) or "none")
+        found["comparison"].table.orderBy("position").show(100, truncate=False)
     else:
+        import doclens.catalog_files  # noqa: F401 - registers queries
         from doclens.catalog import ORACLE, QUERIES
 
         for name in QUERIES:

@@ -374,6 +374,14 @@ def knn(spark: SparkSession, d: str) -> DataFrame:
     return nb.knn_predictions(train, test)
 
 
+@query("m6_lbp_knn_predict")
+def _(spark, d):
+    """The five nearest by local binary patterns, scaled on the training part."""
+    rows = hold(ml.stratified_split(lbp_vectors(spark, d), "vec_id"))
+    train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
+    return nb.knn_predictions(ml.standard_scaled(train, train), ml.standard_scaled(test, train))
+
+
 @query("m6_knn_predict", f"WITH {KNN} SELECT vec_id, label, predicted FROM knn")
 def _(spark, d):
     return knn(spark, d)

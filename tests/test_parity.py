@@ -1,6 +1,7 @@
 import pytest
 from parity import assert_same, connect
 
+import doclens.catalog_files  # noqa: F401 - registers queries
 from doclens.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
