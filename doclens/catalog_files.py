@@ -24,7 +24,7 @@ from doclens.operators.search import SearchIndex
 from doclens.plans import images as pi
 from doclens.plans.models import model_table
 from doclens.plans.ocr import examples, ocr_results
-from doclens.session import cut, hold, shared_dir
+from doclens.session import hold, shared_dir
 from doclens.sources import sinks
 from doclens.sources import sparse as sp
 from doclens.sources.corpus import cached_metrics, image_files, manifest, table, text_path, write_manifest
@@ -178,8 +178,8 @@ def _(spark, d):
 @query("r3_stream_quota", "SELECT event_type AS class, event_id, n, event_type || '_' || lpad(n::VARCHAR, 5, '0') || '.jpg' AS file_name FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n <= 150")
 def _(spark, d):
     """Events streamed to a quota of 150 a class with keyed state, numbered and named."""
-    rows = cut(table(spark, d, "events").select("event_id", F.col("event_type").alias("class")), "events")
-    path = rows.inputFiles()[0].rsplit("/", 1)[0]
+    rows, path = table(spark, d, "events").select("event_id", F.col("event_type").alias("class")), _folder(spark, "events")
+    rows.write.parquet(path)
     classes = [r["class"] for r in rows.select("class").distinct().collect()]  # few
     out = _folder(spark, "quota")
     stream = spark.readStream.schema(rows.schema).parquet(path)
