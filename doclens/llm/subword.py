@@ -1,15 +1,15 @@
 """Operator 1, a quality classifier on supervised subword embeddings.
 
-A document is the average of the learned vectors of all its features: its words and the character n-grams (of code points)
-of its running text, each hashed to a bucket of its own range of one table. Within a window of `window` characters a
-feature that recurs adds its vector once but counts each time, so repetition thins the average. A softmax layer over that average gives the
-classes. Vectors and layer are trained together by stochastic gradient descent in numpy on a bounded sample of labelled
+A document is the plain average of the learned vectors of all its features, every occurrence counted: its words, its pairs
+of adjacent words, and the character n-grams (of code points) of its running text, each hashed to a bucket of its own range
+of one table. A pair of equal words is one feature, whatever the word. A softmax layer over that average gives the classes.
+Vectors and layer are trained together by stochastic gradient descent in numpy on a bounded sample of labelled
 rows. Since the output is linear in the average, scoring looks up one number a feature, in numpy, over whole texts.
 
 Defined cases. A null or empty text has no features: its score is what the layer's bias gives. Without a labelled row of
 either class every score is the share of label 1 (0.5 without any). Null labels are not learned from. Rows are scored one
 by one, so repeated rows, null ids and further columns change nothing; an empty table gives an empty result. Texts of more
-than `BLOCK` bytes are read in parts cut at white space; all parts count.
+than `BLOCK` bytes are read in parts cut at white space; all parts count, but no pair or n-gram spans a cut.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from doclens.llm.common import bound_batches, crc_mod, hash_share, share_for, ta
 from doclens.llm.textbytes import SPACE, column_bytes, cut_long, pieces, prefix_hash, span_hash, spans
 
 BLOCK = 1 << 19
+#: Stands for the hash of every pair of equal words.
+SAME = np.uint64(0x2545F4914F6CDD1D)
 _STEPS = [np.uint32(pow(0x9E3779B1, k + 1, 1 << 32)) for k in range(16)]
 
 
@@ -38,29 +40,22 @@ class Settings:
     ngrams: tuple[int, ...] = (3, 4, 5)
     epochs: int = 8
     rate: float = 5.0
-    window: int = 256
     sample_rows: int = 3000
     sample_bytes: int = 20_000
 
 
-def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and row of every feature that adds its vector (one of a kind, a length, and a window), and the number of features of each row.
-
-    Words are in the lower half of the table, character n-grams in the upper.
-    """
+def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and row of every feature. Words and their pairs are in the lower half of the table, character n-grams in the upper."""
     half = s.buckets_log2 - 1
     starts, ends, rows = spans(data, offsets, SPACE)
     prefix = prefix_hash(data)
+    place = lambda hashed: ((hashed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - half)).astype(np.int32)
+    word = span_hash(prefix, starts, ends)
+    pair = np.where(word[1:] == word[:-1], SAME, word[:-1] * np.uint64(0xD1342543DE82EF95) + word[1:])
+    inside = np.flatnonzero(rows[1:] == rows[:-1])
+    buckets, of = [place(word), place(pair[inside])], [rows, rows[inside]]
     first = np.flatnonzero((data & 0xC0) != 0x80)  # of each character
-    sizes = np.diff(offsets)
-    begin = np.searchsorted(first, offsets)
-    row_of = np.repeat(np.arange(len(sizes)), np.diff(begin))
-    # windows have running numbers, those of a row follow those of the row before
-    windows = np.concatenate([[0], np.cumsum(-(-np.diff(begin) // s.window))])
-    window_of = (np.arange(len(first)) - begin[row_of]) // s.window + windows[row_of]
-    word = ((span_hash(prefix, starts, ends) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - half)).astype(np.int32)
-    kept = once(word, window_of[np.searchsorted(first, starts)], half)
-    buckets, of, whole = [word[kept]], [rows[kept]], np.bincount(rows, minlength=len(sizes))
+    row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(first, offsets)))
     code = span_hash(prefix, first, np.append(first[1:], len(data))).astype(np.uint32)
     rolled = np.zeros(len(first), dtype=np.uint32)
     for k in range(max(s.ngrams)):
@@ -68,25 +63,10 @@ def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.nda
         rolled = rolled[:size] + code[k : k + size] * _STEPS[k]
         if k + 1 in s.ngrams:
             inside = np.flatnonzero(row_of[:size] == row_of[k:])
-            found = (((rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - half)).astype(np.int32)[inside]
-            kept = once(found, window_of[inside], half)
-            buckets.append(found[kept] + np.int32(1 << half))
-            of.append(row_of[inside[kept]])
-            whole += np.maximum(np.diff(begin) - k, 0)
-    return np.concatenate(buckets), np.concatenate(of), whole
-
-
-def once(bucket: np.ndarray, window: np.ndarray, log2: int, together: int = 16) -> np.ndarray:
-    """One place of each bucket in each window; window numbers ascend. A table of stamps finds them without sorting."""
-    stamp = np.zeros(together << log2, dtype=np.int32)
-    code = (window % together).astype(np.int32) << np.int32(log2) | bucket
-    ends = np.searchsorted(window, np.arange(0, (int(window[-1]) if len(window) else 0) + 2 * together, together))
-    kept = np.empty(len(bucket), dtype=bool)
-    for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        own, places = code[lo:hi], np.arange(hi - lo, dtype=np.int32)
-        stamp[own] = places
-        kept[lo:hi] = stamp[own] == places
-    return np.flatnonzero(kept)
+            found = ((rolled ^ (rolled >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - half)
+            buckets.append(found.astype(np.int32)[inside] + np.int32(1 << half))
+            of.append(row_of[inside])
+    return np.concatenate(buckets), np.concatenate(of)
 
 
 def step(vectors: np.ndarray, layer: np.ndarray, bias: np.ndarray, ids: np.ndarray, weight: np.ndarray, label: int, rate: float) -> None:
@@ -111,8 +91,9 @@ def train(texts: pa.Array, labels: np.ndarray, s: Settings) -> tuple[np.ndarray,
         return np.zeros(size, dtype=np.float32), float(np.log(share / (1 - share)))
     bags = []
     for _, data, offsets in pieces(texts, BLOCK):
-        found, row, whole = features(data, offsets, s)
+        found, row = features(data, offsets, s)
         n = len(offsets) - 1
+        whole = np.bincount(row, minlength=n)
         keys, counts = np.unique(row.astype(np.int64) << s.buckets_log2 | found, return_counts=True)
         weights = (counts / whole[keys >> s.buckets_log2]).astype(np.float32)
         at = np.searchsorted(keys >> s.buckets_log2, np.arange(n + 1))
@@ -138,9 +119,10 @@ def score(column: pa.Array, numbers: np.ndarray, bias: float, s: Settings) -> np
     while first < len(part_row):
         last = max(first + 1, int(np.searchsorted(parts, parts[first] + BLOCK, "right")) - 1)
         own = parts[first : last + 1]
-        bucket, row, whole = features(data[own[0] : own[-1]], own - own[0], s)
-        total += np.bincount(part_row[first:last][row], weights=numbers[bucket], minlength=n)
-        count += np.bincount(part_row[first:last], weights=whole, minlength=n)
+        bucket, row = features(data[own[0] : own[-1]], own - own[0], s)
+        row = part_row[first:last][row]
+        total += np.bincount(row, weights=numbers[bucket], minlength=n)
+        count += np.bincount(row, minlength=n)
         first = last
     return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -60, 60)))
 

@@ -254,21 +254,25 @@ def test_long_pieces_are_segments():
 
 
 def quality_by_force(text: str, numbers: np.ndarray, bias: float, s: sw.Settings) -> float:
-    half, low = s.buckets_log2 - 1, (1 << 32) - 1
+    half, low, long = s.buckets_log2 - 1, (1 << 32) - 1, (1 << 64) - 1
+    place = lambda hashed: ((hashed * 0x9E3779B97F4A7C15) & long) >> (64 - half)
+    words = re.findall("[^\\x20\\x09-\\x0D]+", text)
+    hashed = [li._hash(w.encode()) for w in words]
+    found = [place(h) for h in hashed]
+    found += [place(int(sw.SAME) if words[k] == words[k + 1] else (hashed[k] * 0xD1342543DE82EF95 + hashed[k + 1]) & long) for k in range(len(words) - 1)]
     codes = [li._hash(c.encode()) & low for c in text]
-    found = [(m.start() // s.window, 1, ((li._hash(m.group().encode()) * 0x9E3779B97F4A7C15) & ((1 << 64) - 1)) >> (64 - half)) for m in re.finditer("[^\\x20\\x09-\\x0D]+", text)]
     for n in s.ngrams:
         for at in range(len(text) - n + 1):
             total = sum(codes[at + k] * int(sw._STEPS[k]) for k in range(n)) & low
-            found.append((at // s.window, n, ((((total ^ total >> 15) * 0x2C1B3C6D) & low) >> (32 - half)) + (1 << half)))
-    total = sum(float(numbers[b]) for _, _, b in set(found)) / max(len(found), 1) + bias
+            found.append(((((total ^ total >> 15) * 0x2C1B3C6D) & low) >> (32 - half)) + (1 << half))
+    total = sum(float(numbers[b]) for b in found) / max(len(found), 1) + bias
     return 1 / (1 + math.exp(-total))
 
 
 def test_quality_score_by_force():
-    s = sw.Settings(buckets_log2=12, window=40)
+    s = sw.Settings(buckets_log2=12)
     numbers = np.random.default_rng(5).normal(0, 3, 1 << 12)
-    texts = ["", "a", "que que que que que", "Ünïcode straße 漢字 \U0001f600 and a longer text | with | signs, " * 4, "same words same words"]
+    texts = ["", "a", "que que que que que", "Ünïcode straße 漢字 \U0001f600 and a longer text | with | signs, " * 4, "same words same words", "one", "one"]
     got = sw.score(pa.array([*texts, None]), numbers, 0.25, s)
     assert got == pytest.approx([quality_by_force(t, numbers, 0.25, s) for t in [*texts, ""]])
 
