@@ -16,7 +16,7 @@ is that of the two tokens before it, which is all that a state can hold.
 Counts are exact and cover all training text. Texts are written once as blocks of token numbers; blocks send their n-grams'
 hashes through `tally` and get their own totals back, and each block builds the part of the automaton that its texts can
 reach. No table of the vocabulary is ever broadcast or collected. Words have 64-bit hashes. Longer n-grams are told apart
-by `SPARE_BITS` more bits than number the corpus's tokens (so that one in some 100,000 meets another), 64 at most.
+by `SPARE_BITS` more bits than number the corpus's counted tokens (so that one in some 100,000 meets another), 64 at most.
 
 Defined cases. A null or empty text is the end token alone. A null id is never in the training set (its crc32 is null) and
 not held out. Repeated rows count as often as they occur. Without training text every count is 0, every probability 1 and
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclens.llm.common import bound_batches, buckets_for, crc_mod, cut, estimated_bytes, give_back, table
+from doclens.llm.common import bound_batches, buckets_for, crc_mod, cut, give_back, table
 from doclens.llm.tally import PART, add_up, by_key, parts, squeeze, totals_in_order, unsqueeze
 from doclens.llm.textbytes import mix, pieces, word_hashes
 
@@ -208,8 +208,6 @@ def language_model_scores(docs: DataFrame, learn: Column, model: Model | None =
     chosen = docs.select(F.col(id_col), F.col(text_col), F.coalesce(learn, F.lit(False)).alias("learn"))
     kind = chosen.schema[id_col].dataType.simpleString()
     for_words, for_grams = buckets_for(docs, 32 << 20, 4), buckets_for(docs, 8 << 20)
-    bits = min(64, int(max(estimated_bytes(docs), 1)).bit_length() + SPARE_BITS)  # there are fewer tokens than bytes
-    ranges = [(0, for_words, 64), (for_words, for_grams, bits), (for_words + for_grams, for_grams, bits)]  # first bucket, buckets and bits of words, pairs, triples
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -219,13 +217,18 @@ def language_model_scores(docs: DataFrame, learn: Column, model: Model | None =
             teach = np.array(batch.column(2).to_pylist(), dtype=np.uint8)
             for first, data, offsets in pieces(batch.column(1), BLOCK):
                 n = len(offsets) - 1
-                row = [block, batch.column(0).slice(first, n).to_pylist(), *block_row(data, offsets, teach[first : first + n])]
-                types = [pa.int64(), pa.list_(batch.schema.types[0]), *[pa.binary()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], ["block", "docs", *COLUMNS])
+                held = block_row(data, offsets, teach[first : first + n])
+                size = int(unsqueeze(held[COLUMNS.index("lengths")], "<u4").sum(dtype=np.int64))
+                row = [block, batch.column(0).slice(first, n).to_pylist(), *held, size, int(teach[first : first + n].sum())]
+                types = [pa.int64(), pa.list_(batch.schema.types[0]), *[pa.binary()] * 5, pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], ["block", "docs", *COLUMNS, "n_tokens", "n_learn"])
                 block += 1
         give_back()
 
-    blocks = cut(chosen.mapInArrow(first_pass, f"block long, docs array<{kind}>, learn binary, lengths binary, ids binary, hashes binary, seen binary"), "lm-blocks")
+    blocks = cut(chosen.mapInArrow(first_pass, f"block long, docs array<{kind}>, learn binary, lengths binary, ids binary, hashes binary, seen binary, n_tokens long, n_learn long"), "lm-blocks")
+    seen = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_learn"))).first()
+    starts, bits = int(seen["n_learn"]), min(64, int(seen["n_tokens"]).bit_length() + SPARE_BITS)
+    ranges = [(0, for_words, 64), (for_words, for_grams, bits), (for_words + for_grams, for_grams, bits)]  # first bucket, buckets and bits of words, pairs, triples
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +244,6 @@ def language_model_scores(docs: DataFrame, learn: Column, model: Model | None =
     totals = cut(add_up(sent, for_words + 2 * for_grams, lambda sums: (sums.sum(), (sums > 0).sum()), "n_sum long, v_sum long", bits=lambda bucket: 64 if bucket < for_words else bits), "lm-totals")
     got = totals.filter((F.col("block") == -1) & (F.col("bucket") < for_words)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_sum", "v_sum"))).first()
     n_all, distinct = int(got["n_sum"]), int(got["v_sum"])
-    starts = int(chosen.filter("learn").count())
 
     def last_pass(_: tuple, meta: pa.Table, own: pa.Table) -> pa.Table:
         out = []
@@ -259,7 +261,7 @@ def language_model_scores(docs: DataFrame, learn: Column, model: Model | None =
 
     result = f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     back = by_key(totals.filter("block >= 0").select("block", "bucket", "totals"), "block", for_grams)
-    return by_key(blocks, "block", for_grams).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(last_pass, result)
+    return by_key(blocks.drop("n_tokens", "n_learn"), "block", for_grams).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(last_pass, result)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
