@@ -283,12 +283,12 @@ def _(spark, d):
 
 @query("m1_stratified_split", f"WITH {CORPUS}, {SPLIT('corpus', 'doc_id', 200)} SELECT doc_id, class, part FROM sp")
 def _(spark, d):
-    return ml.stratified_split(corpus(spark, d)).select("doc_id", "class", "part")
+    return ml.stratified_split(hold(corpus(spark, d).select("doc_id", "class")))
 
 
 @query("m2_split_75_25", f"WITH {CORPUS}, {SPLIT('corpus', 'doc_id', 250)} SELECT doc_id, class, part FROM sp")
 def _(spark, d):
-    return ml.stratified_split(corpus(spark, d), test_tenths_of_percent=250).select("doc_id", "class", "part")
+    return ml.stratified_split(hold(corpus(spark, d).select("doc_id", "class")), test_tenths_of_percent=250)
 
 
 TRAIN = f"{GRAMS}, {SPLIT('toks', 'doc_id', 200)}, tp AS (SELECT * FROM post WHERE doc_id IN (SELECT doc_id FROM sp WHERE part = 'train')), nt AS (SELECT count(*) AS n FROM sp WHERE part = 'train')"
@@ -296,8 +296,10 @@ TRAIN = f"{GRAMS}, {SPLIT('toks', 'doc_id', 200)}, tp AS (SELECT * FROM post WHE
 
 def _train_weights(spark: SparkSession, d: str, v: tf.Vectorizer) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Split documents (doc_id, class, part), weights of all of them fitted on the training part, and the vocabulary."""
-    split = ml.stratified_split(corpus(spark, d).withColumn("w", words()))
-    docs, post = split.select("doc_id", "class", "part"), hold(tf.postings(split, grams(), "class", "part"))
+    keys = hold(corpus(spark, d).select("doc_id", "class"))
+    part = ml.split_part(keys)
+    docs = keys.withColumn("part", part)
+    post = hold(tf.postings(corpus(spark, d).withColumn("w", words()).withColumn("part", part), grams(), "class", "part"))
     idf = hold(v.fit(post.filter("part = 'train'"), docs.filter("part = 'train'").count()))
     return docs, v.transform(post, idf), idf
 
@@ -317,8 +319,9 @@ UNI = f"{TOK}, post AS MATERIALIZED (SELECT doc_id, class, term, count(*) AS tf
 
 @query("x12_tfidf_unigrams", f"WITH {UNI}, {_weights(3000, False, 'tp', 'nt')} SELECT doc_id, term, round(weight, 6) AS weight FROM vec")
 def _(spark, d):
-    docs = ml.stratified_split(corpus(spark, d), test_tenths_of_percent=250)
-    post = hold(tf.postings(docs, words(), "part"))
+    keys = hold(corpus(spark, d).select("doc_id", "class"))
+    part = ml.split_part(keys, test_tenths_of_percent=250)
+    docs, post = keys.withColumn("part", part), hold(tf.postings(corpus(spark, d).withColumn("part", part), words(), "part"))
     v = tf.Vectorizer(3000, sublinear=False)
     idf = v.fit(post.filter("part = 'train'"), docs.filter("part = 'train'").count())
     return v.transform(post, idf).select("doc_id", "term", F.round("weight", 6).alias("weight"))

@@ -29,11 +29,20 @@ def split_quotas(sizes: DataFrame, test_tenths_of_percent: int = 200) -> DataFra
     return ranked.crossJoin(left).select("class", "n", (F.col("base") + (F.col("r") <= F.col("left")).cast("long")).alias("quota"))
 
 
-def stratified_split(rows: DataFrame, id_col: str = "doc_id", seed: int = 42, test_tenths_of_percent: int = 200) -> DataFrame:
-    """rows with `part` (test or train): of each class (null is one) the quota's rows of smallest md5(id-seed). Rows stay where they are."""
-    quotas = split_quotas(rows.groupBy("class").agg(F.count(F.lit(1)).alias("n")), test_tenths_of_percent)
+def split_part(rows: DataFrame, id_col: str = "doc_id", seed: int = 42, test_tenths_of_percent: int = 200) -> Column:
+    """`part` (test or train) of a row with its `class` and id: of each class (null is one) the quota's rows of smallest md5(id-seed) are test.
+
+    The bounds are found on ids and classes alone, which are held unless `rows` is, so that `rows` is computed once for them.
+    """
+    keys = rows if rows.is_cached else hold(rows.select("class", id_col))
+    quotas = split_quotas(keys.groupBy("class").agg(F.count(F.lit(1)).alias("n")), test_tenths_of_percent)
     order = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
-    return rows.withColumn("part", F.when(first_by_hash(rows, quotas.select("class", "quota"), "class", order, id_col), "test").otherwise("train"))
+    return F.when(first_by_hash(keys, quotas.select("class", "quota"), "class", order, id_col), "test").otherwise("train")
+
+
+def stratified_split(rows: DataFrame, id_col: str = "doc_id", seed: int = 42, test_tenths_of_percent: int = 200) -> DataFrame:
+    """rows with their `part`. Rows stay where they are."""
+    return rows.withColumn("part", split_part(rows, id_col, seed, test_tenths_of_percent))
 
 
 def _by_position(vectors: DataFrame, vector: str) -> DataFrame:
