@@ -8,7 +8,9 @@ the plane between that pivot and the query's own. What is excluded cannot hold a
 
 Visitors of a block come in groups of a bounded size, each joined with a copy of the block on (block, slot), so neither a
 block that all queries visit nor a cell that holds most rows is one task. Pivots and rings' radii are bounded in number
-(MOST_PIVOTS, RINGS each) and broadcast.
+(MOST_PIVOTS, RINGS each) and broadcast. Where nothing can be excluded, every query goes to every block and every block to
+every group of queries; both grow with the tables, up to LARGEST times, so that the copies do not outgrow the disk. A task
+finds and writes the visits of a few queries at a time, whatever number of rings or blocks they visit.
 
 Defined cases. Rows whose vector or id is null, on either side, are left out. Ties in distance (to 9 digits of its square)
 go by training id, a number; ties in votes to the smallest label. Test rows that share id and label are one. Without
@@ -28,8 +30,15 @@ from pyspark.sql import functions as F
 from doclens.session import cut, hold
 
 MOST_PIVOTS, RINGS = 1024, 16
-#: Queries that visit a block together.
-VISITORS = 1024
+#: Queries that visit a block together, and rows of a block, at least; times by which both grow, and groups or blocks from which they do.
+VISITORS, BLOCK_ROWS = 1024, 512
+LARGEST, ENOUGH = 8, 64
+#: Entries of a table of queries x rings, and visits, that a task holds at once.
+AT_ONCE = 1 << 14
+
+
+def _grown(least: int, rows: int, enough: int) -> int:
+    return least * min(LARGEST, max(1, rows // (least * enough)))
 
 
 def nearest(queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -125,27 +134,33 @@ def _visits(queries: DataFrame, rings: Rings, k: int, first: bool) -> DataFrame:
     held = queries.sparkSession.sparkContext.broadcast(rings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        few = max(1, AT_ONCE // max(1, len(own.cell)))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = held.value
-            least = own.least(_vectors(batch.column("v")))
-            far = None if first else batch.column("far").to_numpy(zero_copy_only=False)
-            of, places, chunks = [], [], []
-            for q in range(len(least)):
-                if first:
-                    order = np.argsort(least[q], kind="stable")
-                    rings_ = order[: 1 + int(np.searchsorted(np.cumsum(own.n[order] // own.blocks[order]), k))]
-                    parts = np.zeros(len(rings_), dtype=np.int32)
-                else:
-                    rings_ = np.flatnonzero(least[q] <= far[q])
-                    parts = np.concatenate([np.arange(b, dtype=np.int32) for b in own.blocks[rings_]])
-                    rings_ = np.repeat(rings_, own.blocks[rings_])
-                of.append(np.full(len(rings_), q))
-                places.append(rings_.astype(np.int32))
-                chunks.append(parts)
-            taken = batch.select(["id", "label", "v"]).take(pa.array(np.concatenate(of)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places)), pa.array(np.concatenate(chunks)), *taken.columns], ["place", "chunk", "id", "label", "v"])
+            for at in range(0, batch.num_rows, few):
+                yield from visits(own, batch.slice(at, few))
+
+    def visits(own: Rings, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        least = own.least(_vectors(batch.column("v")))
+        far = None if first else batch.column("far").to_numpy(zero_copy_only=False)
+        of, places, chunks, n = [], [], [], 0
+        for q in range(len(least)):
+            if first:
+                order = np.argsort(least[q], kind="stable")
+                rings_ = order[: 1 + int(np.searchsorted(np.cumsum(own.n[order] // own.blocks[order]), k))]
+                parts = np.zeros(len(rings_), dtype=np.int32)
+            else:
+                rings_ = np.flatnonzero(least[q] <= far[q])
+                parts = np.concatenate([np.arange(b, dtype=np.int32) for b in own.blocks[rings_]])
+                rings_ = np.repeat(rings_, own.blocks[rings_])
+            of.append(np.full(len(rings_), q))
+            places.append(rings_.astype(np.int32))
+            chunks.append(parts)
+            n += len(parts)
+            if n >= AT_ONCE or q + 1 == len(least):
+                taken = batch.select(["id", "label", "v"]).take(pa.array(np.concatenate(of)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(places)), pa.array(np.concatenate(chunks)), *taken.columns], ["place", "chunk", "id", "label", "v"])
+                of, places, chunks, n = [], [], [], 0
 
     return queries.mapInArrow(run, f"place int, chunk int, {_ITEM}")
 
@@ -188,13 +203,14 @@ class Found:
         return self.candidates.agg(F.sum("compared")).first()[0] or 0
 
 
-def neighbours(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "vector", label: str = "label", block_rows: int = 512) -> Found:
+def neighbours(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "vector", label: str = "label", block_rows: int | None = None) -> Found:
     known, asked = hold(_rows(train, id_col, vector, label)), hold(_rows(test, id_col, vector, label).dropDuplicates(["id", "label"]))
     if known.isEmpty():
         none = test.sparkSession.createDataFrame([], "id long, label long, t_id long, t_label long, d double, compared long, r int")
         return Found(none, none)
-    blocks, rings = partitioned(known, block_rows)
-    slots = max(1, -(-asked.count() // VISITORS))
+    blocks, rings = partitioned(known, block_rows or _grown(BLOCK_ROWS, known.count(), ENOUGH))
+    n_asked = asked.count()
+    slots = max(1, -(-n_asked // _grown(VISITORS, n_asked, ENOUGH // 4)))
     rough = _candidates(_visits(asked, rings, k, True), blocks, slots, k)
     order = Window.partitionBy("id", "label").orderBy("d", "t_id")
     # The k-th distance found so far; with fewer than k rows there is no bound. The margin is for rounding.
@@ -205,7 +221,7 @@ def neighbours(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "vec
     return Found(candidates.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k), candidates)
 
 
-def knn_predictions(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "vector", label: str = "label", block_rows: int = 512) -> DataFrame:
+def knn_predictions(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "vector", label: str = "label", block_rows: int | None = None) -> DataFrame:
     """id, label, predicted: majority of the k nearest (Euclidean), vote ties to the smallest label."""
     best = neighbours(train, test, k, id_col, vector, label, block_rows).best
     votes = best.groupBy("id", "label", "t_label").agg(F.count(F.lit(1)).alias("c"))

@@ -86,3 +86,30 @@ def test_odd_tables(spark):
     assert got(found) == {(1, None): [1, 2, 3], (2, 1): [2, 1, 3], (3, 1): [3, 2, 1]}
     assert {r["vec_id"]: r["predicted"] for r in nb.knn_predictions(frame, frame).collect()} == {1: 1, 2: 1, 3: 1}
     assert nb.knn_predictions(frame.limit(0), frame).count() == nb.knn_predictions(frame, frame.limit(0)).count() == 0
+
+
+def test_visits_of_many_rings_come_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(nb, "AT_ONCE", 64)
+    rng = np.random.default_rng(5)
+    rows = [(k, k % 3, rng.normal(size=16).tolist()) for k in range(600)]
+    asked = nb._rows(spark.createDataFrame(rows[:100], SCHEMA), "vec_id", "vector", "label").withColumn("far", F.lit(float("inf")))
+    blocks, rings = nb.partitioned(nb._rows(spark.createDataFrame(rows[100:], SCHEMA), "vec_id", "vector", "label"), 8)
+    kept = []
+
+    class Seen:
+        def __init__(self, frame):
+            self.sparkSession, self.frame = frame.sparkSession, frame
+
+        def mapInArrow(self, run, schema):
+            kept.append([b.num_rows for b in run(iter(self.frame.toArrow().to_batches()))])
+            return self.frame.mapInArrow(run, schema)
+
+    visits = nb._visits(Seen(asked), rings, 5, False)
+    n = blocks.count()
+    assert visits.count() == sum(kept[0]) == 100 * n
+    assert max(kept[0]) < 64 + n
+
+
+def test_blocks_grow_with_the_tables():
+    assert nb._grown(512, 40_000, 64) == 512 and nb._grown(512, 200_000, 64) == 512 * 6 and nb._grown(512, 10**9, 64) == 512 * nb.LARGEST
+    assert nb._grown(8, 200, 16) == 8
