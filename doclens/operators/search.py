@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclens.functions.text import preview
-from doclens.operators.tfidf import Vectorizer, postings
+from doclens.operators.tfidf import Vectorizer, counted_ids, fitted, postings, weighted
 from doclens.session import hold
 
 
@@ -26,9 +26,9 @@ class SearchIndex:
     @classmethod
     def build(cls, docs: DataFrame, terms: Column, vectorizer: Vectorizer | None = None) -> SearchIndex:
         vectorizer = vectorizer or Vectorizer()
-        post = hold(postings(docs, terms))
-        idf = hold(vectorizer.fit(post, docs.count()))
-        weights = replace(vectorizer, l2=False).transform(post, F.broadcast(idf))  # idf has max_features rows
+        n, repeat = counted_ids(docs)
+        idf = hold(fitted(docs, terms, vectorizer, n, repeat))
+        weights = weighted(docs, terms, replace(vectorizer, l2=False), idf, repeat)
         norms = weights.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
         return cls(weights, norms, idf, docs, vectorizer)
 

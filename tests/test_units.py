@@ -15,6 +15,7 @@ from doclens.operators import images as im
 from doclens.operators import ingest as ig
 from doclens.operators import layout as ly
 from doclens.operators import learning as ml
+from doclens.operators import tfidf as tf
 from doclens.plans.ocr import examples, failures, ocr_statistics, readable, resume, run_ocr
 from doclens.sources import corpus as so
 from doclens.streaming.ingest import ingest, quota_reached, row_stream
@@ -369,3 +370,42 @@ def test_decoded_images_and_their_failures(spark):
     tensors = {r["name"]: np.array(r["tensor"]) for r in pi.tensors(found, 8).collect()}
     assert tensors["1.g"] == pytest.approx(np.full(64, 9 / 255)) and 0 <= tensors["3.g"].min() and tensors["3.g"].max() <= 1
     assert ik.sinc_weights(4, 4) == pytest.approx(np.eye(4), abs=1e-12)
+
+
+def test_weights_inside_rows_are_those_of_postings(spark):
+    rows = [(1, "a", ["x", "y", "x", "z"]), (2, None, ["y", "y", "é"]), (3, "b", []), (4, "b", ["q"]), (5, "a", ["x", "z", "z", "z"]), (None, "a", ["x"])]
+    for found in (rows, [*rows, (1, "a", ["x", "w"])]):  # in the second one an id repeats
+        docs = spark.createDataFrame(found, "doc_id long, class string, w array<string>").repartition(3)
+        for v in (tf.Vectorizer(4), tf.Vectorizer(3, sublinear=False, smooth=False, l2=False)):
+            post = tf.postings(docs, F.col("w"), "class")
+            idf = v.fit(post, 6)
+            n, repeat = tf.counted_ids(docs)
+            assert (n, repeat) == (len(found), len(found) > 6)
+            mine = tf.fitted(docs, F.col("w"), v, 6, repeat)
+            assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, idf.collect()))
+            said = lambda df: sorted((str(r["doc_id"]), str(r["class"]), r["term"], round(r["weight"], 9)) for r in df.collect())
+            assert said(tf.weighted(docs, F.col("w"), v, mine, repeat, "class")) == said(v.transform(post, idf))
+
+
+def test_weights_shuffle_no_postings(spark):
+    docs = spark.createDataFrame([(1, ["x", "y"]), (2, ["x"])], "doc_id long, w array<string>")
+    found = tf.weighted(docs, F.col("w"), tf.Vectorizer(2), tf.fitted(docs, F.col("w"), tf.Vectorizer(2), 2, False), False)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_narrow_tiles_are_packed_together(spark, monkeypatch):
+    from doclens.sources import sparse as sp
+
+    cells = spark.createDataFrame([(r, c, float(r * 100 + c + 1)) for r in (0, 3, 5) for c in range(0, 90, 7)], "row long, column long, value double")
+    calls = []
+    original = type(cells.groupBy("row")).applyInArrow
+    monkeypatch.setattr(type(cells.groupBy("row")), "applyInArrow", lambda self, f, schema: calls.append(f) or original(self, f, schema))
+    how = sp.Tiling(tile_rows=4, tile_columns=10)
+    found = sp.tiles(cells, how).collect()
+    assert sorted((r["tile_row"], r["tile_column"]) for r in found) == sorted({(r // 4, c // 10) for r in (0, 3, 5) for c in range(0, 90, 7)})
+    back = {(t["tile_row"] * 4 + r, t["tile_column"] * 10 + t["columns"][k]): t["values"][k] for t in found for r in range(4) for k in range(t["starts"][r], t["starts"][r + 1])}
+    assert back == {(r["row"], r["column"]): r["value"] for r in cells.collect()}
+    import pyarrow as pa
+
+    group = pa.table({"tile_row": [0, 0, 0], "tile_column": [0, 0, 1], "r": pa.array([1, 0, 0], pa.int32()), "c": pa.array([2, 3, 4], pa.int32()), "v": [1.0, 2.0, 3.0]})
+    assert calls[0]((pa.scalar(0), pa.scalar(0)), group).num_rows == 2  # two tiles from one call
