@@ -125,3 +125,29 @@ def test_linear_machine_on_odd_tables(spark):
     w = mc.squared_hinge(bare, 3, 2)
     assert w.shape == (2, 4) and w[0, -1] > w[1, -1]
     assert mc.linear_predictions(empty.withColumn("label", F.lit("a")), w, ["a", "b"]).count() == 0
+
+
+def test_dual_by_parts_is_the_dual_of_the_whole_matrix(monkeypatch):
+    x, place = clouds(400, 2, width=5)
+    y, kernel = np.where(place == 0, 1.0, -1.0), mc.Kernel(gamma=0.3, tolerance=1e-5)
+    whole, bias = mc.solve_dual(x, y, kernel)
+    seen, original = [], mc.rbf
+    monkeypatch.setattr(mc, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(mc, "PART_BYTES", 40 * 8 * 400)
+    monkeypatch.setattr(mc, "rbf", lambda a, b, gamma: seen.append(len(a) * len(b)) or original(a, b, gamma))
+    for start in (None, whole):
+        seen.clear()
+        alpha, found = mc.solve_dual(x, y, kernel, start)
+        assert max(seen) <= 40 * 400  # never the whole matrix
+        assert objective(x, y, alpha, 0.3) == pytest.approx(objective(x, y, whole, 0.3), rel=1e-6)
+        assert found == pytest.approx(bias, abs=1e-3) and abs((alpha * y).sum()) < 1e-9
+
+
+def test_predictions_bring_no_support_vectors_to_the_driver(spark, monkeypatch):
+    x, place = clouds(120, spread=0.3)
+    table = spark.createDataFrame([(k, int(c), v.tolist()) for k, (c, v) in enumerate(zip(place, x, strict=True))], "vec_id long, label int, vector array<double>")
+    kernel = mc.Kernel(gamma=0.5, block_rows=30)
+    once = sorted(map(tuple, mc.kernel_predictions(table, table, kernel).collect()))
+    monkeypatch.setattr(mc, "cascade", lambda *a: pytest.fail("the model came to the driver"))
+    monkeypatch.setattr(mc, "GROUP_ROWS", 25)  # many groups of rows and of support vectors
+    assert sorted(map(tuple, mc.kernel_predictions(table, table, kernel).collect())) == once
