@@ -110,6 +110,31 @@ def test_visits_of_many_rings_come_in_small_batches(spark, monkeypatch):
     assert max(kept[0]) < 64 + n
 
 
+def test_queries_that_visit_every_block_are_written_once(spark, monkeypatch):
+    met = []
+    original = nb.cut
+    monkeypatch.setattr(nb, "cut", lambda df, name: met.append((name, out := original(df, name))) or out)
+    rng = np.random.default_rng(6)
+    rows = [(k, k % 3, rng.normal(size=16).tolist()) for k in range(500)]
+    found = nb.neighbours(spark.createDataFrame(rows[100:], SCHEMA), spark.createDataFrame(rows[:100], SCHEMA), 5, block_rows=20)
+    assert got(found) == by_force(rows[100:], rows[:100], 5)
+    assert found.pairs_compared() > 0.5 * 100 * 400  # little is excluded
+    groups = [df for name, df in met if name == "visitors"][1]
+    assert groups.agg(F.sum(F.size("visitor_items"))).first()[0] == 100
+
+
+@pytest.mark.parametrize("width", [2, 40])
+def test_rounding_of_the_first_look_loses_nothing(spark, width):
+    rng = np.random.default_rng(7)
+    middle = rng.normal(size=width) * 1e4  # far from the origin, where single precision tells little apart
+    rows = [(k, 1, (np.float32(middle) + np.float32(rng.integers(0, 3, width))).astype(float).tolist()) for k in range(150)]
+    rows += [(150 + k, 2, (rng.normal(size=width) * (1e12 if k == 7 else 1)).tolist()) for k in range(150)]
+    train, test = rows[::2], rows[1::2]
+    found = nb.neighbours(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(test, SCHEMA), 5, block_rows=30)
+    ours, theirs = got(found), by_force([r for r in train], test, 5)
+    assert {i: v for i, v in ours.items() if i[0] != 157} == {i: v for i, v in theirs.items() if i[0] != 157}
+
+
 def test_blocks_grow_with_the_tables():
     assert nb._grown(512, 40_000, 64) == 512 and nb._grown(512, 200_000, 64) == 512 * 6 and nb._grown(512, 10**9, 64) == 512 * nb.LARGEST
     assert nb._grown(8, 200, 16) == 8
