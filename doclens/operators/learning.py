@@ -81,9 +81,9 @@ def multinomial_nb(train: DataFrame, train_docs: DataFrame, vocab: DataFrame, va
 
 
 def nb_predictions(test: DataFrame, test_docs: DataFrame, model: tuple[DataFrame, DataFrame], value: str = "weight") -> DataFrame:
-    """doc_id, class, predicted; ties to the class that sorts first. Documents without known terms follow the priors."""
+    """doc_id, class, predicted; ties to the class that sorts first. Documents without known terms follow the priors. The model, a row a class and term, is broadcast."""
     likelihood, priors = model
-    scores = test.select("doc_id", "term", value).join(likelihood.withColumnRenamed("class", "guess"), "term").groupBy("doc_id", "guess").agg(F.sum(F.col(value) * F.col("log_p")).alias("s"))
+    scores = test.select("doc_id", "term", value).join(F.broadcast(likelihood.withColumnRenamed("class", "guess")), "term").groupBy("doc_id", "guess").agg(F.sum(F.col(value) * F.col("log_p")).alias("s"))
     grid = test_docs.select("doc_id", "class").crossJoin(F.broadcast(priors.withColumnRenamed("class", "guess")))
     full = null_safe_join(grid, scores, ["doc_id", "guess"], "left").withColumn("s", F.round(F.coalesce("s", F.lit(0.0)) + F.col("log_prior"), 6))
     return full.groupBy("doc_id", "class").agg(F.min_by("guess", F.struct(-F.col("s"), F.col("guess"))).alias("predicted"))

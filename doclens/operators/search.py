@@ -16,8 +16,8 @@ class SearchIndex:
     """Weights of a corpus before their norm (doc_id, term, weight), norms (doc_id, norm), the idf of its terms, and its
     documents (doc_id, class, path, text).
 
-    A search takes the weights of its queries' terms and the norms of the documents that have one. `save` writes weights
-    sorted by term, so that a query's terms prune row groups.
+    A search takes the weights of its queries' terms and the norms of the documents that have one. `save` writes the
+    weights of each partition sorted by term, so that a query's terms prune pages; they are not shuffled for it.
     """
 
     def __init__(self, weights: DataFrame, norms: DataFrame, idf: DataFrame, docs: DataFrame, vectorizer: Vectorizer):
@@ -33,10 +33,11 @@ class SearchIndex:
         return cls(weights, norms, idf, docs, vectorizer)
 
     def save(self, path: str) -> None:
-        self.weights.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/weights")
-        self.norms.write.mode("overwrite").parquet(f"{path}/norms")
-        self.idf.write.mode("overwrite").parquet(f"{path}/idf")
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        write = lambda rows, name: rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+        write(self.weights.sortWithinPartitions("term", "doc_id"), "weights")
+        write(self.norms, "norms")
+        write(self.idf, "idf")
+        write(self.docs.select("doc_id", "class", "path", "text"), "docs")
 
     @classmethod
     def load(cls, spark, path: str, vectorizer: Vectorizer | None = None) -> SearchIndex:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from doclens.operators.joins import null_safe_join
 from doclens.operators.numbering import numbered
+from doclens.session import cut
 
 
 def postings(docs: DataFrame, terms: Column, *keep: str) -> DataFrame:
@@ -114,15 +115,81 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def term_counts(docs: DataFrame, terms: Column) -> DataFrame:
-    """term, df, total of documents of which each is one row: rows count their own terms, so postings are neither shuffled nor held."""
+def term_counts(docs: DataFrame, terms: Column, among: list[str] | None = None) -> DataFrame:
+    """term, df, total of documents of which each is one row: rows count their own terms, so postings are neither shuffled nor held. Of the terms of `among` alone where given."""
+    held = None if among is None else docs.sparkSession.sparkContext.broadcast(pa.array(among, pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches, 2048):
-            known, _, code, tf = _counted(batch.column("__t"))
-            yield pa.RecordBatch.from_arrays([known.cast(pa.string()), pa.array(np.bincount(code, minlength=len(known)).astype(np.int64)), pa.array(np.bincount(code, weights=tf, minlength=len(known)).astype(np.int64))], ["term", "df", "total"])
+            found = _slice_counts(batch.column("__t"))
+            yield found if held is None else found.filter(pc.is_in(found.column("term"), value_set=held.value))
 
-    return docs.select(terms.alias("__t")).mapInArrow(run, "term string, df long, total long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    return docs.select(terms.alias("__t")).mapInArrow(run, _COUNTS).groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+_COUNTS = "term string, df long, total long"
+
+
+def _slice_counts(column: pa.Array) -> pa.RecordBatch:
+    known, _, code, tf = _counted(column)
+    counts = np.bincount(code, minlength=len(known)).astype(np.int64), np.bincount(code, weights=tf, minlength=len(known)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([known.cast(pa.string()), *map(pa.array, counts)], ["term", "df", "total"])
+
+
+#: Distinct terms that a task counts before it lists the most frequent of them; of these, so many times the terms wanted are listed.
+PART_TERMS, LISTED = 1 << 19, 3
+
+
+def frequent_terms(docs: DataFrame, terms: Column, n: int) -> DataFrame:
+    """term, df, total of the n terms with the largest total, ties by term, of documents of which each is one row. Exact, and most terms are never shuffled.
+
+    Tasks count their terms part by part and list the most frequent of each, with the largest total that they left out. What
+    a term is listed with is at least its total; the left-out totals of the parts that do not list it bound what it may have
+    besides. Terms that cannot reach the n-th place go, the others are counted. If a term listed nowhere could reach it, or
+    too many are left, all terms are counted.
+    """
+    most = LISTED * n
+
+    def listed(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        totals, left = part.column("total").to_numpy(), 0
+        if len(totals) > most:
+            left = int(np.partition(totals, len(totals) - most - 1)[len(totals) - most - 1])
+            part = part.filter(pa.array(totals > left))
+        part = part.append_column("left", pa.array(np.full(len(part), left)))
+        yield from part.combine_chunks().to_batches(max_chunksize=10_000)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), *(pa.array([x], pa.int64()) for x in (0, 0, left))], ["term", "df", "total", "left"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, waiting, rows = None, [], 0
+        for batch in _slices(batches, 2048):
+            waiting.append(_slice_counts(batch.column("__t")))
+            rows += len(waiting[-1])
+            if rows >= PART_TERMS:
+                part, waiting, rows = _added(part, waiting), [], 0
+                if len(part) >= PART_TERMS:
+                    yield from listed(part)
+                    part = None
+        if part is not None or waiting:
+            yield from listed(_added(part, waiting))
+
+    sums = docs.select(terms.alias("__t")).mapInArrow(run, f"{_COUNTS}, left long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("df", "total", "left")))
+    sums = cut(sums, "listed")
+    left = sums.filter("term IS NULL").agg(F.coalesce(F.sum("left"), F.lit(0))).first()[0]
+    places = sums.filter("term IS NOT NULL")
+    least = places.orderBy(F.desc("total"), "term").limit(n).agg(F.count(F.lit(1)).alias("n"), F.min("total").alias("least")).first()
+    if not left:
+        return places.orderBy(F.desc("total"), "term").limit(n).select("term", "df", "total")  # every part listed all its terms
+    among = None
+    if least["n"] == n and left < least["least"]:
+        near = places.filter(F.col("total") + F.lit(left) - F.col("left") >= least["least"]).select("term").limit(8 * n + 1).collect()
+        among = [r["term"] for r in near] if len(near) <= 8 * n else None
+    return term_counts(docs, terms, among).orderBy(F.desc("total"), "term").limit(n)
+
+
+def _added(part: pa.Table | None, found: list[pa.RecordBatch]) -> pa.Table:
+    rows = pa.concat_tables([*([] if part is None else [part]), pa.Table.from_batches(found, pa.schema([("term", pa.string()), ("df", pa.int64()), ("total", pa.int64())]))])
+    sums = rows.group_by("term", use_threads=False).aggregate([("df", "sum"), ("total", "sum")])
+    return pa.table({"term": sums.column("term"), "df": sums.column("df_sum"), "total": sums.column("total_sum")})
 
 
 def fitted(docs: DataFrame, terms: Column, how: Vectorizer, n_docs: int, repeat: bool) -> DataFrame:
@@ -130,7 +197,7 @@ def fitted(docs: DataFrame, terms: Column, how: Vectorizer, n_docs: int, repeat:
     if repeat:
         return how.fit(postings(docs, terms), n_docs)
     idf = idf_smooth if how.smooth else idf_plain
-    return term_counts(docs, terms).orderBy(F.desc("total"), "term").limit(how.max_features).select("term", idf(F.col("df"), n_docs).alias("idf"))
+    return frequent_terms(docs, terms, how.max_features).select("term", idf(F.col("df"), n_docs).alias("idf"))
 
 
 def weighted(docs: DataFrame, terms: Column, how: Vectorizer, idf: DataFrame, repeat: bool, *keep: str) -> DataFrame:
