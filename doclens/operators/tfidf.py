@@ -226,6 +226,28 @@ def weighted(docs: DataFrame, terms: Column, how: Vectorizer, idf: DataFrame, re
     return docs.select(*names, terms.alias("__t")).mapInArrow(run, f"{kinds}, term string, weight double")
 
 
+def vector_rows(docs: DataFrame, terms: Column, how: Vectorizer, idf: DataFrame, known: list[str]) -> DataFrame:
+    """doc_id, at, x of documents of which each is one row: the places in `known`, the sorted terms of idf, of its terms, ascending, and their weights before any norm."""
+    rows = {r["term"]: r["idf"] for r in idf.collect()}  # max_features
+    held = docs.sparkSession.sparkContext.broadcast((pa.array(known, pa.string()), np.array([rows[t] for t in known], dtype=float)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, values = held.value
+        for batch in _slices(batches):
+            found, row, code, tf = _counted(batch.column("__t"))
+            at = pc.fill_null(pc.index_in(found.cast(pa.string()), value_set=wanted), -1).to_numpy()[code]
+            own = at >= 0
+            row, at, tf = row[own], at[own], tf[own]
+            order = np.lexsort((at, row))
+            row, at, tf = row[order], at[order], tf[order]
+            x = (1 + np.log(tf) if how.sublinear else tf.astype(float)) * (values[at] if len(at) else 1.0)
+            begins = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = pa.ListArray.from_arrays(begins, pa.array(at.astype(np.int32))), pa.ListArray.from_arrays(begins, pa.array(x.astype(float)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], ["doc_id", "at", "x"])
+
+    return docs.select("doc_id", terms.alias("__t")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, at array<int>, x array<double>")
+
+
 def sparse_rows(weights: DataFrame, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, ...) with `at` and `x`, the numbers of their terms, ascending, and their weights; both empty for a document without known terms."""
     found = weights.select("doc_id", "term", "weight").join(F.broadcast(ids), "term").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("__m"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from doclens.operators import search
 from doclens.operators import tfidf as tf
 from doclens.operators.search import SearchIndex
 
@@ -49,3 +50,34 @@ def test_a_saved_index_holds_no_tokens(spark, tmp_path):
     index = SearchIndex.load(spark, str(tmp_path))
     asked = spark.createDataFrame([(1, "w1 w2 once7")], "query_id int, query string").withColumn("w", F.split("query", " "))
     assert index.search(asked, F.col("w"), 3).collect()[0]["query_id"] == 1
+
+
+def searched(docs, asked, k, vectorizer=None):
+    index = SearchIndex.build(docs, F.col("w"), vectorizer)
+    return {(r["query_id"], r["rank"]): (r["doc_id"], r["similarity"]) for r in index.search(asked, F.col("w"), k).collect()}
+
+
+def test_many_queries_find_what_few_find(spark, monkeypatch):
+    docs = frame(spark, 700)
+    docs = docs.unionByName(docs.filter("doc_id < 40").crossJoin(spark.range(1, 9)).withColumn("doc_id", F.col("doc_id") + 1000 * F.col("id")).drop("id"))  # nine copies of some
+    docs = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(99999).cast("long")).withColumn("w", F.array().cast("array<string>")))
+    asked = docs.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "w")
+    monkeypatch.setattr(search, "DOCS_GROUP", 50)
+    monkeypatch.setattr(search, "QUERIES_GROUP", 16)
+    monkeypatch.setattr(search, "QUERIES_SIDE", 40)
+    held = []
+    monkeypatch.setattr(search, "hold", lambda df: held.append(df) or df)
+    found = searched(docs, asked, 5)
+    assert not any({"query_id", "doc_id"} <= set(df.columns) for df in held)  # no table of all pairs
+    monkeypatch.setattr(search, "MANY", 10**9)
+    assert found == searched(docs, asked, 5) and len(found) == 5 * asked.count()
+
+
+def test_many_queries_of_an_index_without_rows_of_its_own(spark, monkeypatch):
+    docs = frame(spark, 200)
+    twice = docs.unionByName(docs.filter("doc_id < 5"))  # an id twice: its texts count as one
+    asked = docs.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("query_id"), "w")
+    few = tf.Vectorizer(30, sublinear=False)
+    found = searched(twice, asked, 3, few)
+    monkeypatch.setattr(search, "MANY", 10**9)
+    assert found == searched(twice, asked, 3, few) and found
