@@ -4,9 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import SF
+from doclens import catalog, catalog_files, session  # noqa: F401
 from doclens.operators import search
 from doclens.operators import tfidf as tf
 from doclens.operators.search import SearchIndex
+from doclens.sources import sparse
 
 
 def corpus(n, apart):
@@ -81,3 +84,18 @@ def test_many_queries_of_an_index_without_rows_of_its_own(spark, monkeypatch):
     found = searched(twice, asked, 3, few)
     monkeypatch.setattr(search, "MANY", 10**9)
     assert found == searched(twice, asked, 3, few) and found
+
+
+def test_rows_give_their_postings_and_the_matrix_holds_none(spark):
+    docs = frame(spark, 300)
+    assert sorted(tf.row_postings(docs, F.col("w")).collect()) == sorted(tf.postings(docs, F.col("w")).select("doc_id", "term", "tf").collect())
+    session.release()
+    assert catalog.QUERIES["k6_sparse_matrix"](spark, SF).count() > 0
+    assert not any("term" in df.columns for df in session._held)
+
+
+def test_distinct_cells_make_the_same_tiles(spark):
+    cells = spark.createDataFrame([(r, c, float(r - c)) for r in range(0, 40, 3) for c in range(0, 50, 7)], "row long, column long, value double")
+    how = sparse.Tiling(8, 16)
+    rows = lambda distinct: sorted(map(str, sparse.tiles(cells, how, distinct=distinct).collect()))
+    assert rows(True) == rows(False)
