@@ -11,7 +11,8 @@ a block that all queries visit first nor a cell that holds most rows is one task
 fill. For the second look queries lie in groups by their own cell. Groups and blocks meet as a product of bounded partitions
 that are shuffled once each: where nothing can be excluded, the pairs are all looked at, but no copy of a group or of a block
 is written for them. A group brings the blocks that its bounds leave, and a task keeps the k best of each of its queries, so
-what comes out is k rows a query and partition of blocks. Pivots and rings' radii are bounded in number (MOST_PIVOTS, RINGS
+what comes out is k rows a query and partition of blocks. A pair has some MB, so batches are bounded by bytes, and Python workers
+give back what a stage leaves in them. Pivots and rings' radii are bounded in number (MOST_PIVOTS, RINGS
 each) and broadcast. Vectors travel as packed bytes, of 4 where that is exact. Of equal vectors in a block the k with the
 smallest ids stay, as no other can be among the k nearest.
 
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclens.session import cut, hold
+from doclens.session import bound_batches, cut, give_back, hold
 
 MOST_PIVOTS, RINGS = 1024, 16
 #: Queries that visit a block together, and rows of a block, at least; times by which both grow, and groups or blocks from which they do.
@@ -41,6 +42,8 @@ LARGEST, ENOUGH = 8, 64
 AT_ONCE = 1 << 14
 #: Queries and rows of a partition of the product, about; queries whose best rows a task holds before it writes them.
 SIDE_QUERIES, SIDE_ROWS, HELD = 1 << 13, 1 << 15, 1 << 13
+#: Numbers of candidates' vectors that are compared at once.
+COMPARED_AT_ONCE = 1 << 18
 
 
 def _grown(least: int, rows: int, enough: int) -> int:
@@ -91,8 +94,9 @@ class Best:
                 last = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1]
                 hit = rough <= np.minimum(rough_far, last + 2 * margin)[:, None].astype(rough.dtype)
             q, j = np.nonzero(hit)
-            for part in range(0, len(q), 1 << 16):
-                self._add(of[q[part : part + (1 << 16)]], j[part : part + (1 << 16)], ids, label, known, rows)
+            most_pairs = max(1, COMPARED_AT_ONCE // max(1, rows.shape[1]))
+            for part in range(0, len(q), most_pairs):
+                self._add(of[q[part : part + most_pairs]], j[part : part + most_pairs], ids, label, known, rows)
 
     def _add(self, q: np.ndarray, j: np.ndarray, ids: np.ndarray, label: np.ndarray, known: np.ndarray, rows: np.ndarray) -> None:
         exact = np.round(((rows[j] - self.x[q]) ** 2).sum(axis=1), 9)
@@ -199,6 +203,7 @@ def partitioned(rows: DataFrame, block_rows: int, k: int | None = None) -> tuple
                 d = _distances(_vectors(batch.column("v")), held.value)
                 cell = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], [*batch.schema.names, "cell", "d"])
+        give_back()
 
     placed = cut(rows.mapInArrow(assign, f"{_ITEM}, cell int, d double"), "cells")
     shares = [k / RINGS for k in range(1, RINGS)]
@@ -240,6 +245,7 @@ def _visits(queries: DataFrame, rings: Rings, k: int, first: bool) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, few):
                 yield from visits(own, batch.slice(at, few))
+        give_back()
 
     def visits(own: Rings, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         least = own.least(_vectors(batch.column("v")))
@@ -302,6 +308,7 @@ def _first_bounds(asked: DataFrame, blocks: DataFrame, rings: Rings, k: int, mos
                 best, _ = _group(batch, row, k)
                 best.look(*_unpacked(batch, row, "block_items", "block_v", "block_wide"), np.arange(len(best.ids)))
                 yield best.rows()
+        give_back()
 
     rough = pairs.select("visitor_items", "visitor_v", "visitor_wide", "far", "block_items", "block_v", "block_wide").mapInArrow(visit, FOUND)
     order = Window.partitionBy("id", "label").orderBy("d", "t_id")
@@ -319,6 +326,7 @@ def _groups_of_cells(bounded: DataFrame, rings: Rings, most: int) -> DataFrame:
             if batch.num_rows:
                 cell = _distances(_vectors(batch.column("v")), held.value.pivots).argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], [*batch.schema.names, "cell"])
+        give_back()
 
     def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
@@ -332,6 +340,7 @@ def _groups_of_cells(bounded: DataFrame, rings: Rings, most: int) -> DataFrame:
                 wanted = np.repeat(open_, own.blocks)
                 one = batch.slice(row, 1)
                 yield pa.RecordBatch.from_arrays([*one.columns, pa.ListArray.from_arrays(pa.array([0, len(wanted)], pa.int32()), pa.array(wanted))], [*one.schema.names, "wanted"])
+        give_back()
 
     placed = bounded.select("id", "label", "v", "far").mapInArrow(place, f"{_ITEM}, far double, cell int")
     kinds = f"cell int, slot int, {_PACKED.format('visitor')}, far binary"
@@ -364,6 +373,7 @@ def _candidates(groups: DataFrame, blocks: DataFrame, rings: Rings, k: int, side
                 if len(chosen):
                     best.look(*_unpacked(batch, row, "block_items", "block_v", "block_wide"), chosen)
         yield from (b.rows() for b in open_.values())
+        give_back()
 
     return pairs.select("cell", "slot", "visitor_items", "visitor_v", "visitor_wide", "far", "place", "block_items", "block_v", "block_wide").mapInArrow(compare, FOUND)
 
@@ -380,6 +390,7 @@ class Found:
 
 
 def neighbours(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "vector", label: str = "label", block_rows: int | None = None) -> Found:
+    bound_batches(train.sparkSession)
     known, asked = hold(_rows(train, id_col, vector, label)), hold(_rows(test, id_col, vector, label).dropDuplicates(["id", "label"]))
     n_known, n_asked = known.count(), asked.count()
     if not n_known:

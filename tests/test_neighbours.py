@@ -1,6 +1,7 @@
 """Exact nearest neighbours against brute force, and what is left out on the way."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,30 @@ def test_rounding_of_the_first_look_loses_nothing(spark, width):
 def test_blocks_grow_with_the_tables():
     assert nb._grown(512, 40_000, 64) == 512 and nb._grown(512, 200_000, 64) == 512 * 6 and nb._grown(512, 10**9, 64) == 512 * nb.LARGEST
     assert nb._grown(8, 200, 16) == 8
+
+
+def test_many_candidates_are_compared_a_few_at_a_time():
+    """Peak memory of a block's comparison: before, 2^16 pairs of vectors were held at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(11)
+    x, rows = rng.normal(size=(512, 128)), rng.normal(size=(600, 128))
+    labels = pa.array(np.arange(600) % 3)
+    best = nb.Best(np.arange(512), pa.array(np.zeros(512, dtype=np.int64)), x, 300, np.full(512, np.inf))
+    tracemalloc.start()
+    try:
+        best.look(np.arange(600), labels, rows, np.arange(512))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 << 20
+    exact = np.round(((x[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2), 9)
+    assert (best.near == np.lexsort((np.broadcast_to(np.arange(600), exact.shape), exact), axis=1)[:, :300]).all()
+
+
+def test_batches_of_large_rows_are_bounded_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    rows = spark.createDataFrame([(k, k % 2, [float(k), 1.0]) for k in range(20)], "vec_id long, label int, vector array<double>")
+    nb.neighbours(rows.filter("vec_id >= 5"), rows.filter("vec_id < 5"), 2)
+    assert int(spark.conf.get(key)) <= 8 << 20
