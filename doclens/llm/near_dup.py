@@ -7,14 +7,18 @@ result is the connected component of every text. No link is lost:
    used here puts a fixed part of the hash space first, by how many sets hold an element (rarest first), then the rest by
    hash; the part is 1.7 times what a prefix takes. The counts come from `tally`, so that they cover all texts and grow with them. Elements of one set only are
    left out at once; a text without near copies thus leaves no trace, and passages that many texts share come last.
-2. Texts that share such an element are joined to clusters (`components`): a star a shared element, never its pairs.
+2. Texts that share such an element, and that size and place do not exclude, are joined to clusters (`components`): a star
+   a shared element and class of sizes, never its pairs. Linked sets are of the same class or of neighbouring ones, and of
+   the first element that they share at least as many elements are left in either as they must have in common; so in the
+   smaller set it stands among the first |x| - ceil(2 percent |x| / (100 + percent)) + 1. Without that, rare elements that
+   texts share by chance would join most of a large corpus to one cluster.
 3. The sets of clusters are built again from one text a node. Texts are found by a filter of bounded size on their hash; each
    task drops the copies that it holds, the rest is shuffled to the list of wanted hashes, and the sets are written once.
    The plan is the same for every size of input.
 4. The sets of a cluster meet in one prefix tree (`trie`), which is traversed by probes until every set outside the
    largest component was probed. Clusters beyond `group_elements` are dealt into blocks by one of each set's shared
    elements, those of an element that more than a block shares by hash: each block is joined by itself and with the cluster's pivots; then every set outside the cluster's largest component is
-   probed against those blocks that hold a set with which it shares an element of both prefixes.
+   probed against those blocks that hold a set of its own or a neighbouring class with which it shares an element of both prefixes.
 
 Equal sets are one node throughout, so exact copies, however many, are one entry a block of input.
 
@@ -26,6 +30,7 @@ enter it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -137,10 +142,10 @@ def _first_pass(join: Join, buckets: int, kind: pa.DataType | None = None):
 
 
 def _postings(join: Join):
-    """Elements of each set's prefix that more than one set holds."""
+    """Elements of each set's prefix that more than one set holds, with the set's size `n` and `rest`, its elements from this one on."""
 
     def run(_: tuple, meta: pa.Table, own: pa.Table) -> pa.Table:
-        tokens, nodes = [], []
+        tokens, nodes, ns, rests = [], [], [], []
         for row in meta.to_pylist():
             names = np.frombuffer(row["nodes"], dtype="<i8")
             sizes, lows, n_extras = (np.frombuffer(row[c], dtype="<u4").astype(np.int64) for c in ("sizes", "lows", "n_extras"))
@@ -154,11 +159,50 @@ def _postings(join: Join):
             chosen = (position < _prefix(sizes, join.percent)[of]) & (held > 1) if len(of) else np.zeros(0, bool)
             tokens += [keys[places[chosen]], np.frombuffer(row["extras"], dtype="<u8")]
             nodes += [names[of[chosen]], np.repeat(names, n_extras)]
-        return pa.table({"token": np.concatenate(tokens).view(np.int64), "node": np.concatenate(nodes)})
+            ns += [sizes[of[chosen]], np.repeat(sizes, n_extras)]
+            before = np.arange(n_extras.sum()) - np.repeat(np.cumsum(n_extras) - n_extras, n_extras)
+            rests += [sizes[of[chosen]] - position[chosen], np.repeat(sizes - lows, n_extras) - before]
+        return pa.table({"token": np.concatenate(tokens).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(ns).astype(np.int32), "rest": np.concatenate(rests).astype(np.int32)})
 
     return run
 
 
+def size_class(n: F.Column, percent: int) -> F.Column:
+    """Sizes whose smaller is at least `percent` of the larger are in the same class or in neighbouring ones. The margin is for rounding."""
+    width = -math.log(percent / 100) * (1 + 1e-9) or 1e-9
+    return F.floor(F.log(n.cast("double")) / F.lit(width))
+
+
+def _near_links(postings: DataFrame, percent: int) -> DataFrame:
+    """token, a, b: links between sets that share an element of their prefixes and may be similar by sizes and places.
+
+    Any two sets that are similar are connected by them. `early` are places that an element may have in the smaller of two
+    similar sets if it is the first that they share. In a class of sizes all meet if there are two early ones, or one that is
+    smaller than another set; a set meets the early ones of the class below if the largest of them is large enough. Two sets
+    alone, one of them early, are held against the bound on what they can have in common.
+    """
+    early = F.col("rest") * (100 + percent) >= 2 * percent * F.col("n")
+    packed = F.shiftleft(F.col("n").cast("long"), 32) + F.col("rest")  # a long a set, so that sums by hash do
+    n, rest = lambda c: F.shiftright(c, 32), lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    classes = postings.groupBy("token", "class").agg(
+        F.count(F.lit(1)).alias("c"), F.min("node").alias("centre"), F.min(packed).alias("first"), F.max(packed).alias("last"),
+        F.count_if(early).alias("n_early"), F.min(F.when(early, F.col("n"))).alias("low_early"), F.max(F.when(early, packed)).alias("top"), F.min(F.when(early, F.col("node"))).alias("early"),
+    )
+    classes = cut(classes, "classes")
+    reach = lambda a, b, na, nb: F.least(a, b) * (100 + percent) >= percent * (na + nb)
+    larger = (F.col("low_early") < n("last")) & ((F.col("c") > 2) | reach(rest("first"), rest("last"), n("first"), n("last")))
+    own = classes.select("token", "class", F.lit(True).alias("there"), F.when((F.col("n_early") > 1) | ((F.col("n_early") == 1) & larger), F.col("centre")).alias("centre"), *(F.lit(None).cast("long").alias(c) for c in ("top", "early", "n_early")))
+    below = classes.filter("n_early > 0").select("token", (F.col("class") + 1).alias("class"), F.lit(None).cast("boolean").alias("there"), F.lit(None).cast("long").alias("centre"), "top", "early", "n_early")
+    merged = own.unionByName(below).groupBy("token", "class").agg(*(F.max(c).alias(c) for c in ("there", "centre", "top", "early", "n_early")))
+    centres = cut(merged.filter("there AND (centre IS NOT NULL OR early IS NOT NULL)").drop("there"), "centres")
+    discard(classes)
+    met = postings.join(centres, ["token", "class"])
+    # Several early sets of a class meet, so that any of them stands for the largest.
+    down = (percent * F.col("n") <= 100 * n("top")) & ((F.col("n_early") > 1) | reach(F.col("rest"), rest("top"), F.col("n"), n("top")))
+    ends = F.array(F.col("centre"), F.when(down, F.col("early")))
+    return met.select("token", F.col("node").alias("a"), F.explode(ends).alias("b")).filter("a <> b")
+
+
 def _texts_of(docs: DataFrame, listed: DataFrame, n_listed: int) -> DataFrame:
     """th, t of one text for each th of listed (a written table of distinct th), or few more texts."""
     texts = docs.select(text_of("text").alias("t")).withColumn("th", F.xxhash64("t"))
@@ -244,8 +288,9 @@ def _clusters(docs: DataFrame, known: DataFrame, labels: DataFrame, postings: Da
     if outside.isEmpty():
         return components(edges)
     # A set outside its cluster's largest component meets the other blocks that hold one of its shared prefix elements, in runs of a block's elements.
-    held = cut(postings.join(at.select("node", "block"), "node").select("token", "block").distinct(), "token-blocks")
-    visits = cut(postings.join(outside, "node").join(held, "token").filter("block <> own").select("node", "label", "n", "block").distinct(), "visits")
+    held = cut(postings.join(at.select("node", "block"), "node").select("token", "class", "block").distinct(), "token-blocks")
+    near = F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1))))
+    visits = cut(postings.join(outside, "node").withColumn("class", near).join(held, ["token", "class"]).filter("block <> own").select("node", "label", "n", "block").distinct(), "visits")
     runs = visits.groupBy("label", "block").agg(F.ceil(F.sum("n") / join.group_elements).cast("long").alias("runs"))
     probes = visits.join(runs, ["label", "block"]).withColumn("run", F.pmod(F.xxhash64("node", F.lit(9)), F.col("runs")))
     base = at.select("node", "label", "block").join(runs, ["label", "block"]).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)))
@@ -269,11 +314,12 @@ def near_duplicates(docs: DataFrame, join: Join | None = None, id_col: str = "do
     own = add_up(held.filter("bucket >= 0"), buckets, bits=KEY_BITS, shared=2)
     meta = held.filter("bucket = -1").select("block", "nodes", "sizes", "lows", "places", "extras", "n_extras")
     meet = by_key(meta, "block", buckets).groupBy("block").cogroup(by_key(own, "block", buckets).groupBy("block"))
-    postings = cut(meet.applyInArrow(_postings(join), "token long, node long"), "postings")
-    stars = cut(postings.groupBy("token").agg(F.min("node").alias("b"), F.max("node").alias("other")).filter("b < other").select("token", "b"), "stars")
-    shared = cut(postings.join(stars, "token").select("token", "node", "b"), "shared")
-    discard(postings, stars)
-    labels = components(shared.select(F.col("node").alias("a"), "b"))
+    found = meet.applyInArrow(_postings(join), "token long, node long, n int, rest int")
+    postings = cut(found.withColumn("class", size_class(F.col("n"), join.percent)), "postings")
+    links = cut(_near_links(postings, join.percent), "near-links")
+    shared = cut(postings.select("token", "class", "node").join(links.select("token").distinct(), "token", "left_semi"), "shared")
+    discard(postings)
+    labels = components(links.select("a", "b"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,7 +336,7 @@ def near_duplicates(docs: DataFrame, join: Join | None = None, id_col: str = "do
     discard(held)
     filled, bare = rows.filter("node IS NOT NULL"), rows.filter("node IS NULL")
     known = cut(filled.groupBy("node").agg(F.min("th").alias("th"), F.min("n").alias("n"), F.min("id").alias("own_least"), F.count(F.lit(1)).alias("held")), "nodes")
-    found = cut(_clusters(docs, known, labels, shared.select("token", "node"), join).withColumnRenamed("label", "grp"), "grouped")
+    found = cut(_clusters(docs, known, labels, shared, join).withColumnRenamed("label", "grp"), "grouped")
     named = cut(found.join(known.select("node", "own_least"), "node"), "named")
     least = cut(named.groupBy("grp").agg(F.min("own_least").alias("least")), "least")
     of_node = cut(named.join(least, "grp").select("node", "grp", "least"), "of-node")

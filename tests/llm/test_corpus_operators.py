@@ -276,6 +276,28 @@ def test_components_by_force(spark, join):
         assert (r["n_shingles"], r["component_id"]) == (len(s), want[s])
 
 
+def test_texts_that_share_a_passage_by_chance_are_no_cluster(spark, monkeypatch):
+    """Each text shares half of its shingles with the next, whose size excludes a link: before, all were one cluster."""
+    met = {}
+    original = nd.cut
+    monkeypatch.setattr(nd, "cut", lambda df, name, *more: met.setdefault(name, original(df, name, *more)))
+    words = lambda k, n: [f"w{k}x{j}" for j in range(n)]
+    passages = [words(k, 20 * 2 ** (k % 5)) for k in range(41)]
+    rows = [(k, " ".join(passages[k] + passages[k + 1])) for k in range(40)]
+    rows += [(100 + k, " ".join(words(100, 60) + words(200 + k, k))) for k in range(4)]  # near copies
+    want = components_by_force(rows, 4, 85)
+    found = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: want[shingles(t, 4)] for i, t in rows}
+    assert met["members"].groupBy("label").count().agg({"count": "max"}).first()[0] == 4
+
+
+@pytest.mark.parametrize("percent", [50, 85, 99, 100])
+def test_similar_sizes_are_of_neighbouring_classes(spark, percent):
+    pairs = spark.range(1, 40_000).select(F.col("id").alias("a"), F.floor(100 * F.col("id") / percent).alias("b"))
+    apart = nd.size_class(F.col("b"), percent) - nd.size_class(F.col("a"), percent)
+    assert pairs.filter(~apart.isin(0, 1)).count() == 0
+
+
 def test_components_of_odd_rows(spark):
     odd = spark.createDataFrame(with_extras(odd_rows()), EXTRA)
     want = components_by_force([(r[0], r[1]) for r in odd_rows()], 4, 85)
