@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclens.llm.common import bound_batches, buckets_for, cut, discard, give_back, look_up, mark_listed, table, text_of
-from doclens.llm.components import components
+from doclens.llm.components import components, tasks_for
 from doclens.llm.tally import PART, add_up, by_key, parts, squeeze, totals_in_order, unsqueeze
 from doclens.llm.textbytes import mix, pieces, row_blocks, window_hash, word_hashes
 from doclens.llm.trie import linked
@@ -188,19 +188,20 @@ def _near_links(postings: DataFrame, percent: int) -> DataFrame:
         F.count(F.lit(1)).alias("c"), F.min("node").alias("centre"), F.min(packed).alias("first"), F.max(packed).alias("last"),
         F.count_if(early).alias("n_early"), F.min(F.when(early, F.col("n"))).alias("low_early"), F.max(F.when(early, packed)).alias("top"), F.min(F.when(early, F.col("node"))).alias("early"),
     )
-    classes = cut(classes, "classes")
+    few = tasks_for(postings.count())
+    classes = cut(classes.coalesce(few), "classes")
     reach = lambda a, b, na, nb: F.least(a, b) * (100 + percent) >= percent * (na + nb)
     larger = (F.col("low_early") < n("last")) & ((F.col("c") > 2) | reach(rest("first"), rest("last"), n("first"), n("last")))
     own = classes.select("token", "class", F.lit(True).alias("there"), F.when((F.col("n_early") > 1) | ((F.col("n_early") == 1) & larger), F.col("centre")).alias("centre"), *(F.lit(None).cast("long").alias(c) for c in ("top", "early", "n_early")))
     below = classes.filter("n_early > 0").select("token", (F.col("class") + 1).alias("class"), F.lit(None).cast("boolean").alias("there"), F.lit(None).cast("long").alias("centre"), "top", "early", "n_early")
     merged = own.unionByName(below).groupBy("token", "class").agg(*(F.max(c).alias(c) for c in ("there", "centre", "top", "early", "n_early")))
-    centres = cut(merged.filter("there AND (centre IS NOT NULL OR early IS NOT NULL)").drop("there"), "centres")
+    centres = cut(merged.filter("there AND (centre IS NOT NULL OR early IS NOT NULL)").drop("there").coalesce(few), "centres")
     discard(classes)
     met = postings.join(centres, ["token", "class"])
     # Several early sets of a class meet, so that any of them stands for the largest.
     down = (percent * F.col("n") <= 100 * n("top")) & ((F.col("n_early") > 1) | reach(F.col("rest"), rest("top"), F.col("n"), n("top")))
     ends = F.array(F.col("centre"), F.when(down, F.col("early")))
-    return met.select("token", F.col("node").alias("a"), F.explode(ends).alias("b")).filter("a <> b")
+    return met.select("token", F.col("node").alias("a"), F.explode(ends).alias("b")).filter("a <> b").coalesce(few)
 
 
 def _texts_of(docs: DataFrame, listed: DataFrame, n_listed: int) -> DataFrame:
@@ -254,8 +255,9 @@ def _links(sets: DataFrame, join: Join, tasks: int) -> DataFrame:
 
 def _clusters(docs: DataFrame, known: DataFrame, labels: DataFrame, postings: DataFrame, join: Join) -> DataFrame:
     """node, label of the linked nodes in clusters (labels: node, label; known: node, th, n)."""
-    members = cut(labels.join(known.select("node", "th", "n"), "node"), "members")
-    sized = cut(members.groupBy("label").agg(F.sum("n").alias("elements")), "clusters")
+    few = tasks_for(labels.count())
+    members = cut(labels.join(known.select("node", "th", "n"), "node").coalesce(few), "members")
+    sized = cut(members.groupBy("label").agg(F.sum("n").alias("elements")).coalesce(few), "clusters")
     got = members.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("c")).first()
     total = int(got["n"])
     groups = max(1, -(-total // (join.group_elements // 2)))
@@ -263,18 +265,18 @@ def _clusters(docs: DataFrame, known: DataFrame, labels: DataFrame, postings: Da
     dealt = members.join(sized.withColumn("blocks", F.ceil(F.col("elements") / join.group_elements).cast("long")), "label")
     lone = F.col("blocks") == 1
     homes = postings.groupBy("node").agg(F.min(F.xxhash64("token")).alias("home"))  # near copies most often have the same
-    dealt = cut(dealt.join(homes, "node"), "dealt")
-    crowds = cut(dealt.filter("blocks > 1").groupBy("label", "home").agg(F.ceil(F.sum("n") / join.group_elements).cast("long").alias("crowd")), "crowds")
+    dealt = cut(dealt.join(homes, "node").coalesce(few), "dealt")
+    crowds = cut(dealt.filter("blocks > 1").groupBy("label", "home").agg(F.ceil(F.sum("n") / join.group_elements).cast("long").alias("crowd")).coalesce(few), "crowds")
     dealt = dealt.join(crowds, ["label", "home"], "left")
     dealt = dealt.withColumn("block", F.when(lone, 0).otherwise(F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("node"), F.coalesce("crowd", F.lit(1)))), F.col("blocks"))))
     part = lambda *c: F.xxhash64(*c)
     dealt = dealt.withColumn("grp", F.when(lone, F.pmod(F.xxhash64("label"), F.lit(groups))).otherwise(part("label", "block"))).withColumn("part", F.when(lone, F.col("label")).otherwise(part("label", "block")))
     texts = _texts_of(docs, members, int(got["c"])).join(dealt.select("th", "node", "label", "n", "blocks", "block", "grp", "part"), "th")
-    sets = cut(_build(texts.drop("th"), join).withColumn("probe", F.lit(False)), "sets")
+    sets = cut(_build(texts.drop("th").coalesce(tasks), join).withColumn("probe", F.lit(False)), "sets")
     discard(sized)
     large = sets.filter("blocks > 1")
     if large.isEmpty():
-        return components(_links(sets, join, tasks))
+        return components(cut(_links(sets, join, tasks), "links"))
     ranked = large.groupBy("label", "blocks").agg(*(F.min_by("node", F.xxhash64("node", F.lit(k + 1))).alias(f"p{k}") for k in range(join.pivots)))
     pivots = cut(ranked.select("label", "blocks", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(join.pivots))))).alias("node")), "pivots")
     spread = large.join(pivots.select("node"), "node").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -282,23 +284,24 @@ def _clusters(docs: DataFrame, known: DataFrame, labels: DataFrame, postings: Da
     edges = cut(_links(sets.unionByName(spread.select(sets.columns)), join, tasks), "links")
 
     at = large.select("node", "label", "n", "block").join(components(edges).select("node", F.col("label").alias("comp")), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    at = cut(at, "placed")
-    largest = cut(at.groupBy("label", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("label").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest")), "largest")
-    outside = cut(at.join(largest, "label").filter("comp <> largest").select("node", "label", "n", F.col("block").alias("own")), "outside")
+    at = cut(at.coalesce(few), "placed")
+    largest = cut(at.groupBy("label", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("label").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest")).coalesce(few), "largest")
+    outside = cut(at.join(largest, "label").filter("comp <> largest").select("node", "label", "n", F.col("block").alias("own")).coalesce(few), "outside")
     if outside.isEmpty():
         return components(edges)
     # A set outside its cluster's largest component meets the other blocks that hold one of its shared prefix elements, in runs of a block's elements.
-    held = cut(postings.join(at.select("node", "block"), "node").select("token", "class", "block").distinct(), "token-blocks")
+    held = cut(postings.join(at.select("node", "block"), "node").select("token", "class", "block").distinct().coalesce(few), "token-blocks")
     near = F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1))))
-    visits = cut(postings.join(outside, "node").withColumn("class", near).join(held, ["token", "class"]).filter("block <> own").select("node", "label", "n", "block").distinct(), "visits")
+    visits = cut(postings.join(outside, "node").withColumn("class", near).join(held, ["token", "class"]).filter("block <> own").select("node", "label", "n", "block").distinct().coalesce(few), "visits")
     runs = visits.groupBy("label", "block").agg(F.ceil(F.sum("n") / join.group_elements).cast("long").alias("runs"))
     probes = visits.join(runs, ["label", "block"]).withColumn("run", F.pmod(F.xxhash64("node", F.lit(9)), F.col("runs")))
     base = at.select("node", "label", "block").join(runs, ["label", "block"]).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)))
     key = part("label", "block", "run")
     second = probes.select("node", key.alias("grp"), F.lit(True).alias("probe")).unionByName(base.select("node", key.alias("grp"), F.lit(False).alias("probe")))
-    again = cut(second.withColumn("part", F.col("grp")), "second")
+    again = cut(second.withColumn("part", F.col("grp")).coalesce(few), "second")
     visited = runs.agg(F.coalesce(F.sum("runs"), F.lit(0))).first()[0]  # groups of two blocks' elements at most: a task each
-    return components(edges.unionByName(_links(again.join(large.select("node", "elements"), "node"), join, max(8, int(visited)))))
+    more = cut(_links(again.join(large.select("node", "elements"), "node"), join, max(8, int(visited))), "links")
+    return components(edges.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, join: Join | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,7 +320,8 @@ def near_duplicates(docs: DataFrame, join: Join | None = None, id_col: str = "do
     found = meet.applyInArrow(_postings(join), "token long, node long, n int, rest int")
     postings = cut(found.withColumn("class", size_class(F.col("n"), join.percent)), "postings")
     links = cut(_near_links(postings, join.percent), "near-links")
-    shared = cut(postings.select("token", "class", "node").join(links.select("token").distinct(), "token", "left_semi"), "shared")
+    shared = postings.select("token", "class", "node").join(links.select("token").distinct(), "token", "left_semi")
+    shared = cut(shared.coalesce(tasks_for(links.count())), "shared")
     discard(postings)
     labels = components(links.select("a", "b"))
 

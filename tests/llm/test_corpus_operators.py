@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from doclens.llm import components as comp
 from doclens.llm import lm
 from doclens.llm import near_dup as nd
 from doclens.llm import packing as pk
@@ -291,6 +292,34 @@ def test_texts_that_share_a_passage_by_chance_are_no_cluster(spark, monkeypatch)
     assert met["members"].groupBy("label").count().agg({"count": "max"}).first()[0] == 4
 
 
+@pytest.mark.parametrize("kind", ["stars that overlap", "chain", "random", "none"])
+def test_components_meet_in_their_centres(spark, monkeypatch, kind):
+    """Stars that overlap, as those of near copies do, are joined by their centres: the rounds do not see every edge again."""
+    rng = np.random.default_rng(7)
+    edges = {"stars that overlap": [(a, b) for a in range(20, 420) for b in range(20)], "chain": [(k + 1, k) for k in range(60)] + [(100, 101)] * 2 + [(7, 7)], "random": rng.integers(0, 300, (250, 2)).tolist(), "none": []}[kind]
+    names = (rng.permutation(500) - 250).tolist()
+    edges = [(names[a], names[b]) for a, b in edges]
+    group = {k: {k} for e in edges for k in e if e[0] != e[1]}
+    for a, b in edges:
+        if a != b and group[a] is not group[b]:
+            group[a] |= group[b]
+            for k in group[b]:
+                group[k] = group[a]
+    rows, write = [], comp.cut
+
+    def counted(df, name):
+        out = write(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(comp, "cut", counted)
+    found = {r["node"]: r["label"] for r in comp.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found.keys() == group.keys()
+    assert all(label in group[node] and all(found[k] == label for k in group[node]) for node, label in found.items())
+    if kind == "stars that overlap":
+        assert max(n for name, n in rows if name == "edges") < 100 < 2 * len(edges)
+
+
 @pytest.mark.parametrize("percent", [50, 85, 99, 100])
 def test_similar_sizes_are_of_neighbouring_classes(spark, percent):
     pairs = spark.range(1, 40_000).select(F.col("id").alias("a"), F.floor(100 * F.col("id") / percent).alias("b"))
