@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclens.session import bound_batches, cut, give_back, hold
+from doclens.session import bound_batches, cut, give_back
 
 MOST_PIVOTS, RINGS = 1024, 16
 #: Queries that visit a block together, and rows of a block, at least; times by which both grow, and groups or blocks from which they do.
@@ -272,8 +272,20 @@ def _visits(queries: DataFrame, rings: Rings, k: int, first: bool) -> DataFrame:
     return queries.mapInArrow(run, f"place int, chunk int, {_ITEM}")
 
 
-def _grouped(queries: DataFrame, by: list[str], most: int) -> DataFrame:
-    """Queries (id, label, v, far) packed to groups of about `most` with the same values of `by` at the most: by, slot, visitor_items, visitor_v, visitor_wide, far."""
+def _open_blocks(own: Rings, x: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """By number of a block, whether the bounds leave it for any of the queries x."""
+    open_, few = np.zeros(len(own.cell), dtype=bool), max(1, AT_ONCE // max(1, len(own.cell)))
+    for at in range(0, len(far), few):
+        open_ |= (own.least(x[at : at + few]) <= far[at : at + few, None]).any(axis=0)
+    return np.repeat(open_, own.blocks)
+
+
+def _grouped(queries: DataFrame, by: list[str], most: int, rings: Rings | None = None) -> DataFrame:
+    """Queries (id, label, v, far) packed to groups of about `most` with the same values of `by` at the most: by, slot, visitor_items, visitor_v, visitor_wide, far.
+
+    With rings also `wanted`, the blocks that a group's bounds leave, in the same call: a Python worker more a task is memory.
+    """
+    held = queries.sparkSession.sparkContext.broadcast(rings) if rings is not None else None
     slots = queries.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("slots"))
     dealt = queries.join(slots, by).withColumn("slot", F.pmod(F.xxhash64("id", F.lit(5)), F.col("slots")).cast("int"))
 
@@ -282,10 +294,15 @@ def _grouped(queries: DataFrame, by: list[str], most: int) -> DataFrame:
         data, wide = _packed(_vectors(x))
         named = {c: pa.array([v.as_py()], pa.int32()) for c, v in zip([*by, "slot"], key, strict=True)}
         bounds = pa.array([far.to_numpy().tobytes()], pa.binary())
-        return pa.Table.from_pydict({**named, "visitor_items": _items(ids, labels), "visitor_v": pa.array([data], pa.binary()), "visitor_wide": pa.array([wide]), "far": bounds})
+        out = {**named, "visitor_items": _items(ids, labels), "visitor_v": pa.array([data], pa.binary()), "visitor_wide": pa.array([wide]), "far": bounds}
+        if held is not None:
+            wanted = _open_blocks(held.value, _vectors(x), far.to_numpy())
+            out["wanted"] = pa.ListArray.from_arrays(pa.array([0, len(wanted)], pa.int32()), pa.array(wanted))
+        return pa.Table.from_pydict(out)
 
     kinds = ", ".join(f"{c} int" for c in [*by, "slot"])
-    return dealt.select(*by, "slot", "id", "label", "v", "far").groupBy(*by, "slot").applyInArrow(pack, f"{kinds}, {_PACKED.format('visitor')}, far binary")
+    wanted = ", wanted array<boolean>" if held is not None else ""
+    return dealt.select(*by, "slot", "id", "label", "v", "far").groupBy(*by, "slot").applyInArrow(pack, f"{kinds}, {_PACKED.format('visitor')}, far binary{wanted}")
 
 
 def _group(batch: pa.RecordBatch, row: int, k: int) -> tuple[Best, np.ndarray]:
@@ -328,23 +345,8 @@ def _groups_of_cells(bounded: DataFrame, rings: Rings, most: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], [*batch.schema.names, "cell"])
         give_back()
 
-    def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        few = max(1, AT_ONCE // max(1, len(own.cell)))
-        for batch in batches:
-            for row in range(batch.num_rows):
-                best, far = _group(batch, row, 1)
-                open_ = np.zeros(len(own.cell), dtype=bool)
-                for at in range(0, len(far), few):
-                    open_ |= (own.least(best.x[at : at + few]) <= far[at : at + few, None]).any(axis=0)
-                wanted = np.repeat(open_, own.blocks)
-                one = batch.slice(row, 1)
-                yield pa.RecordBatch.from_arrays([*one.columns, pa.ListArray.from_arrays(pa.array([0, len(wanted)], pa.int32()), pa.array(wanted))], [*one.schema.names, "wanted"])
-        give_back()
-
     placed = bounded.select("id", "label", "v", "far").mapInArrow(place, f"{_ITEM}, far double, cell int")
-    kinds = f"cell int, slot int, {_PACKED.format('visitor')}, far binary"
-    return _grouped(placed, ["cell"], most).mapInArrow(want, f"{kinds}, wanted array<boolean>")
+    return _grouped(placed, ["cell"], most, rings)
 
 
 def _candidates(groups: DataFrame, blocks: DataFrame, rings: Rings, k: int, sides: tuple[int, int]) -> DataFrame:
@@ -391,7 +393,8 @@ class Found:
 
 def neighbours(train: DataFrame, test: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "vector", label: str = "label", block_rows: int | None = None) -> Found:
     bound_batches(train.sparkSession)
-    known, asked = hold(_rows(train, id_col, vector, label)), hold(_rows(test, id_col, vector, label).dropDuplicates(["id", "label"]))
+    # Written, not held: what is held in memory stays there while all that follows runs.
+    known, asked = cut(_rows(train, id_col, vector, label), "known"), cut(_rows(test, id_col, vector, label).dropDuplicates(["id", "label"]), "asked")
     n_known, n_asked = known.count(), asked.count()
     if not n_known:
         none = test.sparkSession.createDataFrame([], f"{FOUND}, r int")

@@ -166,3 +166,13 @@ def test_batches_of_large_rows_are_bounded_by_bytes(spark):
     rows = spark.createDataFrame([(k, k % 2, [float(k), 1.0]) for k in range(20)], "vec_id long, label int, vector array<double>")
     nb.neighbours(rows.filter("vec_id >= 5"), rows.filter("vec_id < 5"), 2)
     assert int(spark.conf.get(key)) <= 8 << 20
+
+
+def test_vectors_are_written_not_held_in_memory(spark):
+    """What is held in the executors' memory stays there beside all that follows."""
+    from doclens import session
+
+    rows = spark.createDataFrame([(k, k % 3, [float(k), float(k * k % 7)]) for k in range(60)], "vec_id long, label int, vector array<float>")
+    before = len(session._held)
+    assert nb.knn_predictions(rows.filter("vec_id % 5 > 0"), rows.filter("vec_id % 5 = 0")).count() == 12
+    assert len(session._held) == before
