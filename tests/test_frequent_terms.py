@@ -99,3 +99,12 @@ def test_distinct_cells_make_the_same_tiles(spark):
     how = sparse.Tiling(8, 16)
     rows = lambda distinct: sorted(map(str, sparse.tiles(cells, how, distinct=distinct).collect()))
     assert rows(True) == rows(False)
+
+
+def test_columns_of_the_matrix_are_written_without_held_or_joined_weights(spark, monkeypatch):
+    """Tiles of s15_sparse_columns come from rows that count their own terms, each cell going to its tile in one shuffle."""
+    given, original = [], sparse.tiles
+    monkeypatch.setattr(sparse, "tiles", lambda cells, how, row, column, value, distinct: given.append(distinct) or original(cells, how, row, column, value, distinct))
+    monkeypatch.setattr(tf, "postings", lambda *a: pytest.fail("postings of the whole corpus"))
+    assert catalog.QUERIES["s15_sparse_columns"](spark, SF).count() > 0
+    assert given == [True]
