@@ -148,3 +148,19 @@ def test_files_are_decoded_once(spark, tree):
 
     pi.process_images(image_files(spark, str(tree / "in")), str(tree / "once"), (16, 32), build)
     assert calls.value == 6
+
+
+def test_images_of_one_size_are_described_together():
+    from doclens.functions import image_kernels as ik
+
+    rng = np.random.default_rng(4)
+    images = np.concatenate([rng.integers(0, 64, (30, 8, 8)), np.full((2, 8, 8), 5)])
+    for dy, dx in ((0, 1), (1, 1), (2, -2)):
+        found = ik.glcm_rows(images, dy, dx)
+        for image, row in zip(images, found, strict=True):
+            a, b = image[: 8 - dy, max(0, -dx) : 8 - max(0, dx)].ravel(), image[dy:, max(0, -dx) + dx : 8 - max(0, dx) + dx].ravel()
+            i, j = np.concatenate([a, b]), np.concatenate([b, a])
+            _, n = np.unique(i * 256 + j, return_counts=True)
+            correlation = 1.0 if i.std() == 0 else ((i * j).mean() - i.mean() ** 2) / i.var()
+            assert np.allclose(row, [((i - j) ** 2).mean(), abs(i - j).mean(), (1 / (1 + (i - j) ** 2)).mean(), np.sqrt(((n / n.sum()) ** 2).sum()), correlation])
+    assert (ik.lbp_histograms(images) == np.stack([ik.lbp_histogram(image) for image in images])).all()

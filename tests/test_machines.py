@@ -151,3 +151,32 @@ def test_predictions_bring_no_support_vectors_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(mc, "cascade", lambda *a: pytest.fail("the model came to the driver"))
     monkeypatch.setattr(mc, "GROUP_ROWS", 25)  # many groups of rows and of support vectors
     assert sorted(map(tuple, mc.kernel_predictions(table, table, kernel).collect())) == once
+
+
+@pytest.mark.parametrize(("held", "copies"), [(1 << 28, 0), (1 << 20, 0), (1, 0), (1 << 28, 40)])
+def test_active_sets_reach_the_optimum_of_the_whole_dual(monkeypatch, held, copies):
+    x, place = clouds(700, 2, spread=2.0, width=6 if copies else 26)
+    x[600 : 600 + copies], place[600 : 600 + copies] = x[:copies], 1 - place[:copies]  # the same rows in both classes
+    y, kernel = np.where(place == 0, 1.0, -1.0), mc.Kernel(gamma=1 / (4 * x.shape[1]))
+    whole, bias = mc.solve_dual(x, y, kernel)
+    monkeypatch.setattr(mc, "HELD_BYTES", held)
+    monkeypatch.setattr(mc, "TILE", 100)
+    if not copies:  # sets that do not settle are solved on by the plain solver
+        monkeypatch.setattr(mc, "solve_dual", lambda *a: pytest.fail("the sets did not settle"))
+    alpha, found = mc.solve_pair(x.astype(np.float32), y, kernel)
+    assert abs((alpha * y).sum()) < 1e-8 and alpha.min() >= 0 and alpha.max() <= kernel.cost
+    assert mc._gap(y, alpha, y * (mc.rbf(x, x, kernel.gamma) @ (alpha * y)) - 1, kernel.cost) < 2 * kernel.tolerance
+    assert objective(x, y, alpha, kernel.gamma) == pytest.approx(objective(x, y, whole, kernel.gamma), rel=1e-4)
+    assert found == pytest.approx(bias, abs=5e-3)
+
+
+def test_pairs_that_fit_need_no_cascade_and_predict_alike(spark, monkeypatch):
+    x, place = clouds(900, spread=0.3)
+    table = spark.createDataFrame([(k, int(c), v.tolist()) for k, (c, v) in enumerate(zip(place, x, strict=True))], "vec_id long, label int, vector array<double>")
+    kernel, original = mc.Kernel(gamma=0.5, block_rows=700), mc.cascaded
+    monkeypatch.setattr(mc, "cascaded", lambda *a: pytest.fail("a cascade of pairs that fit"))
+    whole = sorted(map(tuple, mc.kernel_predictions(table, table, kernel).collect()))
+    monkeypatch.setattr(mc, "cascaded", original)
+    monkeypatch.setattr(mc, "PAIR_ROWS", 100)
+    cascade = sorted(map(tuple, mc.kernel_predictions(table, table, kernel).collect()))
+    assert len(whole) == 900 and sum(a != b for a, b in zip(whole, cascade, strict=True)) <= 2  # values at the border, within the tolerance
